@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing
+from . import decontamination, license_scan, line_dedup, packing
 
-QUERIES = {"op9_line_dedup": line_dedup.query, "op10_packing": packing.query}
-ORACLE = {"op9_line_dedup": line_dedup.ORACLE}
+QUERIES = {"op4_decontamination": decontamination.query, "op5_license_scan": license_scan.query, "op9_line_dedup": line_dedup.query, "op10_packing": packing.query}
+ORACLE = {"op4_decontamination": decontamination.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
