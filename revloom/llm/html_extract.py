@@ -3,7 +3,8 @@
 A page is cut into text nodes, each with the path of tags from the root to it. Elements that never hold the article (scripts, styles, forms, menus, adverts and so on, by tag,
 role, class or id) go first. For each path that is left, the length of its text and its punctuation are summed and divided by its number of nodes; both ratios
 are smoothed over the paths' order in the page with a Gaussian, fused by product, and paths whose fused ratio exceeds the standard deviation of all
-(scaled by THRESHOLD) are content. The content's container is the deepest element that holds most of the text of these paths; what is left inside it, short headings too, is the article.
+(scaled by THRESHOLD) are content. The content's container is the deepest article or main element (else the deepest element that holds blocks) with most of the text of these
+paths; what is left inside it, short headings too, is the article.
 
 Text of a block-level element is a block; <br> and any white space are one space inside it.
 
@@ -38,11 +39,15 @@ ENDS |= {"tr": ({"tr", "tbody", "tfoot", "thead"}, frozenset(["table"])), "td":
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist status".split())
 #: Words of class and id names that mark what isn't the article.
 SIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar side aside rail widget widgets comment comments reply replies discussion disqus respond nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations recirc trending popular tags pager pagination paywall disclaimer copyright legal search skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar aside rail widget widgets comment comments reply replies discussion disqus respond nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations recirc trending popular tags pager pagination paywall disclaimer copyright".split()
 )
+#: With one of these, a "header" is the article's own.
+OWN_HEAD = frozenset("article post entry story content title headline".split())
 SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
+#: Elements that hold several blocks; a content's container is one of these, an article or main element where there is one.
+HOLDERS = frozenset("html body article main section div center td".split())
 SIGMA, RADIUS, THRESHOLD, HOLDS = 1.0, 2, 0.1, 0.8
 
 
@@ -54,7 +59,7 @@ def marks(attributes: str) -> tuple[str, bool]:
         if key in ("class", "id"):
             got = [x.lower() for x in SPLIT.split(value) if x]
             name += "." + ".".join(got[:3]) if got else ""
-            off = off or bool(SIDE.intersection(got))
+            off = off or bool(SIDE.intersection(got) - ({"header"} if OWN_HEAD.intersection(got) else set()))
         elif key == "role":
             off = off or value.lower() in ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -62,15 +67,15 @@ def marks(attributes: str) -> tuple[str, bool]:
     return name, off
 
 
-def nodes(page: str) -> list[tuple[tuple[int, ...], str, int, str]]:
-    """The text nodes outside of what is never the article: ids of the elements around each, its path, its block's number, its text."""
-    out: list[tuple[tuple[int, ...], str, int, str]] = []
+def nodes(page: str) -> list[tuple[tuple[tuple[int, str], ...], str, int, str]]:
+    """The text nodes outside of what is never the article: ids and tags of the elements around each, its path, its block's number, its text."""
+    out: list[tuple[tuple[tuple[int, str], ...], str, int, str]] = []
     stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, off, id
     serial, block = 0, 0
 
     def text(s: str) -> None:
         if s and not stack[-1][2]:
-            out.append((tuple(x[3] for x in stack), stack[-1][1], block, html.unescape(s)))
+            out.append((tuple((x[3], x[0]) for x in stack), stack[-1][1], block, html.unescape(s)))
 
     pos, n = 0, len(page)
     while pos < n:
@@ -154,17 +159,19 @@ def main_text(page: str | None) -> str:
     paths = content_paths(found)
     if not paths:
         return ""
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
+    held: dict[tuple[int, str], int] = {}
+    depth: dict[tuple[int, str], int] = {}
     whole = 0
-    for ids, path, _, text in found:
+    for around, path, _, text in found:
         if path in paths:
             k = len(text.strip())
             whole += k
-            for d, i in enumerate(ids):
-                held[i] = held.get(i, 0) + k
-                depth[i] = d
-    inside = max((i for i, k in held.items() if k >= HOLDS * whole), key=lambda i: depth[i])
+            for d, x in enumerate(around):
+                held[x] = held.get(x, 0) + k
+                depth[x] = d
+    most = [x for x, k in held.items() if k >= HOLDS * whole]
+    named = [x for x in most if x[1] in ("article", "main")]
+    inside = max(named or [x for x in most if x[1] in HOLDERS or x[0] == 0], key=depth.get)
     inner = [x for x in found if inside in x[0]]
     blocks: dict[int, list[str]] = {}
     for _, _, block, text in inner:

@@ -2,7 +2,7 @@
 
 Every document gives a vector of statistics of its text (never its id, language, source or labels). Standardised by the labelled training rows,
 it is mapped to `features` random cosines, which approximate a Gaussian kernel. Each partition sums its part of the normal equations
-(features x features numbers, whatever its rows); sums meet in a tree of FAN_IN rows a task, and the driver solves one system. Raw scores are
+(features x features numbers, whatever its rows); sums meet in a tree of few rows a task, and the driver solves one system. Raw scores are
 calibrated by isotonic regression on a histogram of at most 2 x BINS + 1 cells.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0; labels that are null are left out, several of one doc_id are averaged.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, written
+from .common import held_out, table, total, written
 
-FEATURES, RIDGE, WIDTH, SEED, BINS, FAN_IN, CUT = 256, 1e-3, 0.8, 20, 1000, 16, 0.3
+FEATURES, RIDGE, WIDTH, SEED, BINS, CUT = 256, 1e-3, 0.8, 20, 1000, 0.3
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 space, 4 stop, 5 comma, 6 quote and dash, 7 other sign, 8 upper case, 9 beyond ASCII
 for _c in range(256):
@@ -72,31 +72,6 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def total(df: DataFrame, partial) -> np.ndarray | None:
-    """The sum over partitions of the array that partial(batches) returns; no task gets more than about FAN_IN of them."""
-
-    def first(batches):
-        got = partial(batches)
-        if got is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(got.tobytes())], pa.int64()), "v": pa.array([got.astype(np.float64).tobytes()], pa.binary())})
-
-    def add(batches):
-        out = None
-        for b in batches:
-            for v in b.column(1).to_pylist():
-                x = np.frombuffer(v, np.float64)
-                out = x.copy() if out is None else out + x
-        if out is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(out.tobytes())], pa.int64()), "v": pa.array([out.tobytes()], pa.binary())})
-
-    n, rows = df.rdd.getNumPartitions(), df.mapInArrow(first, "part long, v binary")
-    while n > 1:
-        n = -(-n // FAN_IN)
-        rows = rows.repartition(n, "part").mapInArrow(add, "part long, v binary")
-    got = [np.frombuffer(r["v"], np.float64) for r in rows.collect()]
-    return sum(got[1:], got[0]) if got else None
-
-
 def moments(batches):
     out = None
     for b in batches:
