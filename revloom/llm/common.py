@@ -52,26 +52,30 @@ def pow2_at_least(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
 
 
-def total(df: DataFrame, partial) -> np.ndarray | None:
+def total(df: DataFrame, partial, kind=np.float64) -> np.ndarray | None:
     """The sum over partitions of the array that partial(batches) returns; no task gets more than about FAN_IN of them."""
 
+    def row(x):
+        packed = zlib.compress(x.tobytes(), 1)
+        return pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(packed)], pa.int64()), "v": pa.array([packed], pa.binary())})
+
     def first(batches):
         got = partial(batches)
         if got is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(got.tobytes())], pa.int64()), "v": pa.array([got.astype(np.float64).tobytes()], pa.binary())})
+            yield row(got.astype(kind))
 
     def add(batches):
         out = None
         for b in batches:
             for v in b.column(1).to_pylist():
-                x = np.frombuffer(v, np.float64)
+                x = np.frombuffer(zlib.decompress(v), kind)
                 out = x.copy() if out is None else out + x
         if out is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(out.tobytes())], pa.int64()), "v": pa.array([out.tobytes()], pa.binary())})
+            yield row(out)
 
     n, rows = df.rdd.getNumPartitions(), df.mapInArrow(first, "part long, v binary")
     while n > 1:
         n = -(-n // FAN_IN)
         rows = rows.repartition(n, "part").mapInArrow(add, "part long, v binary")
-    got = [np.frombuffer(r["v"], np.float64) for r in rows.collect()]
+    got = [np.frombuffer(zlib.decompress(r["v"]), kind) for r in rows.collect()]
     return sum(got[1:], got[0]) if got else None

@@ -14,7 +14,6 @@ Rows that repeat a doc_id are one document; each keeps or loses its own lines. O
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pow2_at_least, table, written
+from .bloom import bits_for, built, has_all, opened, places
+from .common import table, written
 
 STRIP = b" \t\n\x0b\x0c\r"
-HASHES, SEGMENTS = 4, 64
 
 
 def key_of(line: bytes) -> bytes:
@@ -36,21 +35,6 @@ def counts_as_line(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least)
 
 
-def places(h: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each 64-bit hash, by double hashing: one row of HASHES positions for each."""
-    a, b = h, (h >> np.uint64(32)) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
-
-
-def has_all(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def put(filled: np.ndarray, at: np.ndarray) -> None:
-    at = np.unique(at)
-    np.bitwise_or.at(filled, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-
-
 def line_hashes(texts, least: int):
     for text in texts:
         for line in (text or b"").split(b"\n"):
@@ -59,45 +43,9 @@ def line_hashes(texts, least: int):
                 yield xxhash.xxh3_64_intdigest(key)
 
 
-def fill(bits: int, least: int):
-    def run(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            h = np.fromiter(line_hashes(b.column(0).to_pylist(), least), dtype=np.uint64)
-            if not len(h):
-                continue
-            u, n = np.unique(h, return_counts=True)
-            at = places(u, bits)
-            again = has_all(once, at) | (n > 1)
-            put(twice, at[again].ravel())
-            put(once, at.ravel())
-        size = bits // 8 // SEGMENTS
-        rows = [(s, zlib.compress(once[s * size : (s + 1) * size].tobytes(), 1), zlib.compress(twice[s * size : (s + 1) * size].tobytes(), 1)) for s in range(SEGMENTS) if once[s * size : (s + 1) * size].any()]
-        for at in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([r[0] for r in rows[at : at + 16]], pa.int32()), "once": [r[1] for r in rows[at : at + 16]], "twice": [r[2] for r in rows[at : at + 16]]})
-
-    return run
-
-
-def merge(batches):
-    """The "twice" filter of each segment; holds two arrays for each segment of its partition, whatever the number of tasks."""
-    state: dict[int, list[np.ndarray]] = {}
-    for b in batches:
-        for s, once, twice in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            new = [np.frombuffer(zlib.decompress(x), np.uint8) for x in (once, twice)]
-            if s not in state:
-                state[s] = [x.copy() for x in new]
-            else:
-                old = state[s]
-                old[1] |= new[1] | (old[0] & new[0])
-                old[0] |= new[0]
-    for s, (_, twice) in state.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-
 def suspects(filter_of, bits: int, least: int):
     def run(batches):
-        twice = np.frombuffer(zlib.decompress(filter_of.value), np.uint8)
+        twice = opened(filter_of)
         for b in batches:
             ids, where, keys, hashes = [], [], [], []
             for doc_id, th, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -120,14 +68,9 @@ def suspects(filter_of, bits: int, least: int):
 
 def drops(docs: DataFrame, least: int = 10) -> DataFrame:
     """The keys that each document loses: doc_id, th (a hash of its text), keys array<binary>."""
-    spark = docs.sparkSession
-    bits = pow2_at_least(min(max(docs.count() * 10 * 16, 1 << 20), 1 << 30))
+    bits = bits_for(docs.count() * 10, 16)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    parts = rows.select("text").mapInArrow(fill(bits, least), "segment int, once binary, twice binary")
-    merged = {r["segment"]: r["twice"] for r in parts.repartition(SEGMENTS // 4, "segment").mapInArrow(merge, "segment int, twice binary").collect()}  # at most `bits` / 8 bytes
-    size = bits // 8 // SEGMENTS
-    whole = b"".join(zlib.decompress(merged[s]) if s in merged else bytes(size) for s in range(SEGMENTS))
-    twice = spark.sparkContext.broadcast(zlib.compress(whole, 1))
+    twice = built(rows.select("text"), lambda b: np.fromiter(line_hashes(b.column(0).to_pylist(), least), dtype=np.uint64), bits)
     found = written(rows.mapInArrow(suspects(twice, bits, least), "doc_id long, th long, line_key binary"), "suspects")
     first = found.groupBy("line_key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("line_key", "first_id")
     lost = found.join(first, "line_key").where("doc_id > first_id")
