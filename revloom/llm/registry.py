@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality
+from . import decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality, rans_tokens
 
-QUERIES = {"op1_html_extract": html_extract.query, "op2_hmm": hmm.query, "op3_quality": quality.query, "op7_gif": gif_media.query, "op4_decontamination": decontamination.query, "op5_license_scan": license_scan.query, "op8_ngram_join": ngram_join.query, "op9_line_dedup": line_dedup.query, "op10_packing": packing.query}
+QUERIES = {"op1_html_extract": html_extract.query, "op2_hmm": hmm.query, "op3_quality": quality.query, "op6_rans_tokens": rans_tokens.query, "op7_gif": gif_media.query, "op4_decontamination": decontamination.query, "op5_license_scan": license_scan.query, "op8_ngram_join": ngram_join.query, "op9_line_dedup": line_dedup.query, "op10_packing": packing.query}
 ORACLE = {"op4_decontamination": decontamination.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
