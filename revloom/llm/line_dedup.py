@@ -108,6 +108,26 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return joined(docs, drops(docs, least)).mapInArrow(apply_drops, "doc_id long, kept binary, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def rewrite(docs: DataFrame, least: int = 10) -> DataFrame:
+    """The documents with the text that is left, its n_chars, and all their other columns."""
+    lost = drops(docs, least).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"), F.col("keys").alias("__keys"))
+    marked = docs.join(lost, (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__doc_id", "__th")
+    at, last = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for text, keys in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(last).to_pylist(), strict=True):
+                if keys:
+                    keys = set(keys)
+                    text = b"\n".join(x for x in text.split(b"\n") if x.strip(STRIP).lower() not in keys)
+                texts.append(text)
+            yield b.select(list(range(last))).set_column(at, b.schema.field(at), pa.array(texts, pa.binary()).cast(b.schema.field(at).type))
+
+    out = marked.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return joined(docs, drops(docs)).mapInArrow(digest_only, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -121,47 +121,69 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return got[:, 0] / got[:, 2], got[:, 1] / got[:, 2]
 
 
-def scorer(cosines: Cosines | None, weights, xs, ys):
-    def run(batches):
-        for b in batches:
-            if cosines is None:
-                s = np.full(len(b), ys[0])
-            else:
-                s = np.interp(cosines(matrix(b.column(1))) @ weights, xs, ys) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    return run
+def stats(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(stats_of, "doc_id long, stats array<double>"), "stats")
 
 
-def score(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
-    stats = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(stats_of, "doc_id long, stats array<double>"), "stats")
+def fit(rows: DataFrame, labels: DataFrame, features: int = FEATURES) -> tuple:
+    """The model of the statistics' rows that have labels and aren't held out."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
-    train = written(stats.where(~held_out(F.col("doc_id"), 5)).join(marks, "doc_id").select("stats", "y"), "train")
+    train = written(rows.where(~held_out(F.col("doc_id"), 5)).join(marks, "doc_id").select("stats", "y"), "train")
     m = total(train, moments)
     mean_y = m[1] / m[0] if m is not None else 0.5
     if m is None or not 0 < mean_y < 1:
-        model = (None, None, None, [mean_y])
-    else:
-        n, mean = m[0], m[2 : 2 + N_STATS] / m[0]
-        dev = np.sqrt(np.maximum(m[2 + N_STATS :] / n - mean**2, 1e-8))
-        cosines = Cosines(mean, dev, features)
-        t = total(train, normal_equations(cosines))
-        d = features + N_STATS + 1
-        weights = np.linalg.solve(t[: d * d].reshape(d, d) + RIDGE * n * np.eye(d) / d, t[d * d :])
-
-        def raw(batches):
-            for b in batches:
-                s = cosines(matrix(b.column(0))) @ weights if len(b) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), b.column(1)], names=["s", "y"])
-
-        cell = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("s"))) * (BINS * 2 / 3)).cast("int")
-        hist = train.mapInArrow(raw, "s double, y double").groupBy(cell.alias("cell")).agg(F.avg("s").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("cell").collect()
-        xs, ys = isotonic(*(np.array([r[k] for r in hist], np.float64) for k in ("x", "y", "n")))
-        model = (cosines, weights, xs, np.clip(ys, 0, 1))
-    scored = stats.mapInArrow(scorer(*model), "doc_id long, score double")
+        return None, None, None, [mean_y]
+    n, mean = m[0], m[2 : 2 + N_STATS] / m[0]
+    dev = np.sqrt(np.maximum(m[2 + N_STATS :] / n - mean**2, 1e-8))
+    cosines = Cosines(mean, dev, features)
+    t = total(train, normal_equations(cosines))
+    d = features + N_STATS + 1
+    weights = np.linalg.solve(t[: d * d].reshape(d, d) + RIDGE * n * np.eye(d) / d, t[d * d :])
+
+    def raw(batches):
+        for b in batches:
+            s = cosines(matrix(b.column(0))) @ weights if len(b) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), b.column(1)], names=["s", "y"])
+
+    cell = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("s"))) * (BINS * 2 / 3)).cast("int")
+    hist = train.mapInArrow(raw, "s double, y double").groupBy(cell.alias("cell")).agg(F.avg("s").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("cell").collect()
+    xs, ys = isotonic(*(np.array([r[k] for r in hist], np.float64) for k in ("x", "y", "n")))
+    return cosines, weights, xs, np.clip(ys, 0, 1)
+
+
+def values(model: tuple, x: np.ndarray) -> np.ndarray:
+    cosines, weights, xs, ys = model
+    if cosines is None:
+        return np.full(len(x), ys[0])
+    return np.interp(cosines(x) @ weights, xs, ys) if len(x) else np.zeros(0)
+
+
+def score(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    rows = stats(docs)
+    model = fit(rows, labels, features)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values(model, matrix(b.column(1)) if len(b) else np.zeros((0, N_STATS))), pa.float64())], names=["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents whose score is at least CUT, with all their columns. Statistics are computed anew, which is cheaper than to shuffle texts to their scores."""
+    model = fit(stats(docs), labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            x = np.array([statistics(t or b"") for t in texts], np.float64).reshape(-1, N_STATS)
+            yield b.filter(pa.array(values(model, x) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
