@@ -42,6 +42,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def epoch_seconds(name: str) -> Column:
+    """Seconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name).cast("timestamp_ntz"))
+
+
 def any_of(c: Column, tests) -> Column:
     out = F.lit(False)
     for t in tests:
