@@ -23,7 +23,7 @@ from .common import held_out, table, total, written
 from .tokens import Words, mix
 
 STATES, CLASSES, PASSES, START_DOCS, START_PASSES, CUT, ALPHA = 12, 4096, 2, 1500, 12, 2048, 0.1
-CHUNK_BYTES, CHUNK_DOCS, GROUP = 16 << 20, 5000, 1_000_000
+CHUNK_BYTES, CHUNK_DOCS, GROUP = 8 << 20, 2500, 500_000
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token's hash
 
 
@@ -158,8 +158,10 @@ def chunk_counts(batches):
     def rows(chunk, texts, held):
         h, cls, at = with_ends(texts)
         train = np.repeat(~np.array(held, bool), np.diff(at))
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        c = np.bincount(inverse, weights=train, minlength=len(u)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, cls, train = h[order], cls[order], train[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        u, c = h[first], np.add.reduceat(train.astype(np.int64), first)
         for k in range(0, len(u), 100_000):
             n = len(u[k : k + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(u[k : k + n].view(np.int64)), pa.array(cls[first[k : k + n]].astype(np.int32)), pa.array(c[k : k + n])], names=["chunk", "h", "cls", "c"])
@@ -172,7 +174,7 @@ def chunk_counts(batches):
             texts.append(text)
             helds.append(held)
             size += len(text or b"")
-        if size >= CHUNK_BYTES * 2:
+        if size >= CHUNK_BYTES * 4:
             for chunk, (texts, helds) in got.items():
                 yield from rows(chunk, texts, helds)
             got, size = {}, 0
