@@ -76,12 +76,12 @@ CHANGES = """
 
 def change_files(t: Tables) -> DataFrame:
     """change, path, blob, mode: the last line of each part in an order."""
-    x = t.lineitem.groupBy(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("part")).agg(F.max_by(F.struct("l_suppkey", "l_quantity"), "l_linenumber").alias("r"))
+    x = t.lineitem.groupBy(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("part")).agg(F.max_by(F.struct("l_suppkey", "l_quantity"), F.struct("l_linenumber", "l_suppkey", "l_quantity")).alias("r"))
     return x.select("change", F.concat(F.lit("d"), (F.col("part") % 50).cast("string"), F.lit("/p"), F.col("part").cast("string")).alias("path"), F.col("r.l_suppkey").cast("string").alias("id"), (F.col("r.l_quantity").cast("int") % 2).alias("mode"))
 
 
 CHANGE_FILES = """
-  change_files AS (SELECT l_orderkey AS change, 'd' || (l_partkey % 50)::VARCHAR || '/p' || l_partkey::VARCHAR AS path, arg_max(l_suppkey, l_linenumber)::VARCHAR AS id, arg_max(l_quantity, l_linenumber)::INT % 2 AS mode FROM lineitem GROUP BY l_orderkey, l_partkey)
+  change_files AS (SELECT l_orderkey AS change, 'd' || (l_partkey % 50)::VARCHAR || '/p' || l_partkey::VARCHAR AS path, arg_max(l_suppkey, (l_linenumber, l_suppkey, l_quantity))::VARCHAR AS id, arg_max(l_quantity, (l_linenumber, l_suppkey, l_quantity))::INT % 2 AS mode FROM lineitem GROUP BY l_orderkey, l_partkey)
 """
 
 
@@ -106,7 +106,7 @@ def holds(t: Tables) -> DataFrame:
 
 
 HOLDS = """
-  held AS (SELECT json_extract_string(props, '$.k') AS file, user_id::VARCHAR AS agent, event_type AS task, epoch(ts)::BIGINT AS taken, event_id FROM events),
+  held AS (SELECT json_extract_string(props, '$.k') AS file, user_id::VARCHAR AS agent, event_type AS task, floor(epoch(ts))::BIGINT AS taken, event_id FROM events),
   holds AS (SELECT 'd' || (file::INT % 7)::VARCHAR || '/' || file AS file, agent, task, taken FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY taken DESC, event_id DESC) AS rn FROM held WHERE file IS NOT NULL) WHERE rn = 1)
 """
 

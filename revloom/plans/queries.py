@@ -312,22 +312,22 @@ def provenance_why(t):
     return history.why(v, c, s, marks).select("path", "change", "rank", "author", "verification", "lesson")
 
 
-@query(f"WITH {A.CHANGES}, m AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_linenumber) AS f FROM lineitem GROUP BY 1) SELECT id, CASE WHEN f = 'A' THEN 'green' WHEN f = 'R' THEN 'red' ELSE verification END AS verification FROM changes LEFT JOIN m USING (id)")
+@query(f"WITH {A.CHANGES}, m AS (SELECT l_orderkey AS id, arg_max(l_returnflag, (l_linenumber, l_returnflag)) AS f FROM lineitem GROUP BY 1) SELECT id, CASE WHEN f = 'A' THEN 'green' WHEN f = 'R' THEN 'red' ELSE verification END AS verification FROM changes LEFT JOIN m USING (id)")
 def verification_fallback(t):
     """J-07: the last mark of a change, else what it was committed with"""
     v = F.when(F.col("l_returnflag") == "A", "green").when(F.col("l_returnflag") == "R", "red").otherwise("unverified")
-    marks = t.lineitem.select(F.col("l_orderkey").alias("change"), v.alias("v"), F.col("l_linenumber").alias("seq"))
+    marks = t.lineitem.select(F.col("l_orderkey").alias("change"), v.alias("v"), F.struct("l_linenumber", "l_returnflag").alias("seq"))
     return history.with_verification(A.changes(t), marks).select("id", "verification")
 
 
-@query(f"""WITH {A.CHANGES}, late AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_linenumber) AS f FROM lineitem GROUP BY 1)
+@query(f"""WITH {A.CHANGES}, late AS (SELECT l_orderkey AS id, arg_max(l_returnflag, (l_linenumber, l_returnflag)) AS f FROM lineitem GROUP BY 1)
 SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN 'own ' || id ELSE 'late ' || f END AS lesson FROM changes LEFT JOIN late USING (id) WHERE (id % 4 = 0 AND id % 8 <> 0) OR f IS NOT NULL""")
 def lesson_candidates(t):
     """J-06, SNK-13: a session's lesson, or one recorded afterwards"""
     c = A.changes(t).withColumn("session_id", F.when(F.col("id") % 4 == 0, F.col("id")))
     own = F.when(F.col("id") % 8 != 0, F.concat(F.lit("own "), F.col("id").cast("string"))).otherwise("")
     s = c.where("session_id is not null").select("id", F.lit("t").alias("task"), own.alias("lesson"))
-    later = t.lineitem.select(F.col("l_orderkey").alias("change"), F.lit("t").alias("task"), F.concat(F.lit("late "), "l_returnflag").alias("lesson"), F.col("l_linenumber").alias("seq"))
+    later = t.lineitem.select(F.col("l_orderkey").alias("change"), F.lit("t").alias("task"), F.concat(F.lit("late "), "l_returnflag").alias("lesson"), F.struct("l_linenumber", "l_returnflag").alias("seq"))
     return history.with_lessons(c, s, later).select("id", "lesson")
 
 
@@ -497,17 +497,17 @@ def predict_conflicts(t):
     return coordination.predict(A.holds(t), wanted, e, none)
 
 
-@query("""WITH e AS (SELECT user_id AS agent, json_extract_string(props, '$.k') AS file, epoch(ts)::BIGINT AS ts, event_id FROM events), f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 600 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY agent ORDER BY ts)),
+@query("""WITH e AS (SELECT user_id AS agent, json_extract_string(props, '$.k') AS file, floor(epoch(ts))::BIGINT AS ts, event_id FROM events), f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 600 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY agent ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY agent ORDER BY ts) AS span FROM f) SELECT agent, span::BIGINT AS span, min(ts) AS began, max(ts) AS last, count(*) AS events FROM s GROUP BY 1, 2""")
 def hold_spans(t):
     """WIN-13"""
     return coordination.hold_spans(t.events.select(F.col("user_id").alias("agent"), T.epoch_seconds("ts").alias("ts")), ("agent",))
 
 
-GLOBS_SQL = "g AS (SELECT DISTINCT s_nationkey::VARCHAR AS session, 'd' || (s_suppkey % 9)::VARCHAR || CASE WHEN s_suppkey % 3 = 0 THEN '/**' ELSE '/e' || (s_suppkey % 4)::VARCHAR || '/*' END AS glob FROM supplier), pp AS (SELECT *, regexp_replace(glob, '/?[*]+$', '') AS pre FROM g)"
+GLOBS_SQL = "g AS (SELECT DISTINCT s_nationkey::VARCHAR AS session, 'd' || (s_suppkey % 9)::VARCHAR || CASE WHEN s_suppkey % 3 = 0 THEN '/**' ELSE '/e' || (s_suppkey % 4)::VARCHAR || '/*' END AS claim FROM supplier), pp AS (SELECT *, regexp_replace(claim, '/?[*]+$', '') AS pre FROM g)"
 
 
-@query(f"WITH {GLOBS_SQL} SELECT a.session, a.glob, b.session AS other, b.glob AS other_glob FROM pp a JOIN pp b ON a.session <> b.session AND (a.pre = b.pre OR starts_with(a.pre, b.pre || '/') OR starts_with(b.pre, a.pre || '/'))")
+@query(f"WITH {GLOBS_SQL} SELECT a.session, a.claim AS \"glob\", b.session AS other, b.claim AS other_glob FROM pp a JOIN pp b ON a.session <> b.session AND (a.pre = b.pre OR starts_with(a.pre, b.pre || '/') OR starts_with(b.pre, a.pre || '/'))")
 def glob_collisions(t):
     """J-23, F-25"""
     k = F.col("s_suppkey")
@@ -676,8 +676,9 @@ def session_windows(t):
 
 @query()
 def reservation_stream(t):
-    """STR-06 to STR-10, X-06, X-07: the events table through the stateful operator, as one batch"""
-    return hold_stream.reservations(hold_stream.from_events(t.events))
+    """STR-06 to STR-10, X-06, X-07: the events table through the stateful operator, as a stream to its end"""
+    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return feeds.table_run(hold_stream.reservations(hold_stream.from_events(raw)))
 
 
 # By Arrow functions: no SQL for these; tests hold them against plain versions

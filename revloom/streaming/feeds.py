@@ -92,6 +92,15 @@ def running_total(usage: DataFrame) -> DataFrame:
     return usage.withColumn("total", F.sum("tokens_out").over(Window.partitionBy("session").orderBy("seq")))
 
 
+def table_run(stream: DataFrame) -> DataFrame:
+    """Runs a stream over what its source holds now and gives its whole output, as a table in the folder that the session's spark.checkpoint.dir names (a local one where it is unset)."""
+    spark = stream.sparkSession
+    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{top}/out").option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/out")
+
+
 def memory_run(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what its source holds now and gives its whole output; for batches of files, and for tests."""
     name = f"q_{uuid.uuid4().hex}"

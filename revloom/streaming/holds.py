@@ -1,7 +1,7 @@
 """Reservations as a stateful stream.
 
 events(repo, agent, file, task, kind, ts): kind reserve, heartbeat (all holds of the agent), release (of a file, or of all where file is null). One repository is one key, since a heartbeat touches all files of an agent; its
-state is its live holds alone, which expire by themselves. Events count in order of their time; a stamp before one already seen counts as that one.
+state is its holds, of which those that have expired go with its next event. Events count in order of their time; a stamp before one already seen counts as that one.
 """
 
 from __future__ import annotations
@@ -47,9 +47,6 @@ def step(held: dict[str, list], now: int, event: dict, ttl: int = TTL) -> tuple[
 
 
 def _run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     held, now = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
     rows = []
     events = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable").astype(object)
@@ -57,18 +54,17 @@ def _run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl: int
         now, out = step(held, now, e, ttl)
         rows += out
     state.update((json.dumps(held), now))
-    state.setTimeoutDuration(1000 * ttl)
     yield pd.DataFrame([(key[0], *r) for r in rows], columns=["repo", "ts", "kind", "file", "agent", "holder", "granted"])
 
 
 def reservations(events: DataFrame, ttl: int = TTL) -> DataFrame:
     """The stream of what each event did. seq orders events of one time; without such a column, equal times keep no order."""
     x = events if "seq" in events.columns else events.withColumn("seq", F.lit(0).cast("long"))
-    return x.groupBy("repo").applyInPandasWithState(lambda k, f, s: _run(k, f, s, ttl), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return x.groupBy("repo").applyInPandasWithState(lambda k, f, s: _run(k, f, s, ttl), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def from_events(raw: DataFrame) -> DataFrame:
-    """The supplied events as reservation events: views reserve, clicks are heartbeats, purchases release."""
+    """The supplied events as reservation events: views reserve, clicks are heartbeats, purchases release; every sixteenth user works in one repository."""
     kind = F.when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "purchase", "release")
     file = F.when(kind != "heartbeat", F.get_json_object("props", "$.k"))
-    return raw.select(F.lit("repo").alias("repo"), F.col("user_id").cast("string").alias("agent"), file.alias("file"), F.col("event_id").cast("string").alias("task"), kind.alias("kind"), T.epoch_seconds("ts").alias("ts"), F.col("event_id").alias("seq")).where("kind is not null")
+    return raw.select(F.concat(F.lit("repo"), F.col("user_id") % 16).alias("repo"), F.col("user_id").cast("string").alias("agent"), file.alias("file"), F.col("event_id").cast("string").alias("task"), kind.alias("kind"), T.epoch_seconds("ts").alias("ts"), F.col("event_id").alias("seq")).where("kind is not null")
