@@ -238,7 +238,9 @@ def score(docs: DataFrame) -> DataFrame:
     for r in counts.where("one and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
         class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
     train = docs.where(~held_out(F.col("doc_id"), 10)).select("doc_id", F.col("text").cast("binary").alias("text"))
-    sample = [r["text"] for r in train.select("text", F.xxhash64("doc_id", F.lit(3)).alias("k")).orderBy("k").limit(START_DOCS).collect()]
+    keyed = train.select("text", F.xxhash64("doc_id", F.lit(3)).alias("k"))
+    last = keyed.select("k").orderBy("k").limit(START_DOCS).agg(F.max("k")).collect()[0][0]  # keys first, so that no task sends texts that don't count
+    sample = [r["text"] for r in keyed.where(F.col("k") <= last).select("text").limit(2 * START_DOCS).collect()] if last is not None else []
     model = Model.start(sample or [b""])
     for _ in range(PASSES):
         sums = total(train.select("text"), model.counts)
