@@ -32,8 +32,11 @@ def has_all(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def put(filled: np.ndarray, at: np.ndarray) -> None:
-    at = np.unique(at)
-    np.bitwise_or.at(filled, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+    if len(at):
+        at = np.sort(at)
+        byte = at >> np.uint64(3)
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        filled[byte[first]] |= np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)), first)
 
 
 def fill(bits: int, hashes_of):

@@ -36,6 +36,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/revloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that are done; else they stay until the driver happens to collect
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,10 @@ their prefixes of size - need + 1, and at least two in those of size - need + 2
 longer prefix; large sets are found through inverted lists of the shorter one, which small sets within reach of the boundary also enter. The boundary is the size for which the estimated
 cost of both is least. Keys in fewer than two sets are left out by two Bloom filters before anything is shuffled.
 
-Verification. Lists are not expanded into pairs. In STARS rounds, every node of a list whose nodes aren't in one component yet is compared, by its whole set, with one pivot, the
-one that it shares most lists with; components grow. What is left is exact: in each list, every node outside its commonest component is compared with every node
-of another component, first by parity bitmaps (which never reject a link), then by whole sets. Every link between different components is thus found; links inside one change nothing.
+Verification. Lists are not expanded into pairs. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets PIVOTS pivots of the list; parity bitmaps rule out most,
+and the node is compared, by its whole set, with the closest pivot of those left; components grow. Rounds end with one that
+linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component is compared with every node
+of another component, first by the bitmaps (which never reject a link), then by whole sets. Every link between different components is thus found; links inside one change nothing.
 
 Defined results: a text without words (or null) has an empty set and links with nothing. A null doc_id has a set but takes no part, and its component_id is null. Rows that repeat a doc_id
 link by their own texts. Only doc_id and text are read.
@@ -29,8 +30,8 @@ from .common import table, total, written
 from .components import components
 from .tokens import BASE, Words, mix
 
-K, PERCENT, STARS = 5, 75, 3
-BUCKETS, BITMAP, MOST_SMALL = 1 << 20, 2048, 64
+K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.05
+BUCKETS, BITMAP, MOST_SMALL = 1 << 20, 1024, 64
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -65,8 +66,8 @@ def need(n):
 def sketch(batches):
     out = np.zeros(BUCKETS, np.uint32)
     for b in batches:
-        for s in shingle_sets(b.column(0).to_pylist()):
-            np.add.at(out, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        flat = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0).to_pylist())])
+        out += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
     return out
 
 
@@ -168,14 +169,15 @@ def linked(batches):
 
 
 def near_enough(batches):
-    """Pairs that the bitmaps don't rule out: sets that link differ in at most (n + m)(100 - PERCENT) / (100 + PERCENT) shingles, and bitmaps in no more bits."""
+    """(a, b, apart) of pairs that the bitmaps don't rule out: sets that link differ in at most (n + m)(100 - PERCENT) / (100 + PERCENT) shingles, and bitmaps in no more bits."""
     for b in batches:
         if not len(b):
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(len(b), -1) for k in (4, 5))
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(b), -1) for k in (4, 5))
         n = b.column(2).to_numpy(zero_copy_only=False) + b.column(3).to_numpy(zero_copy_only=False)
         apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        yield b.select(["a", "b"]).filter(pa.array(apart * (100 + PERCENT) <= n * (100 - PERCENT)))
+        keep = np.flatnonzero(apart * (100 + PERCENT) <= n * (100 - PERCENT))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(apart[keep])], names=["a", "b", "apart"])
 
 
 class Join:
@@ -195,7 +197,7 @@ class Join:
         self.small = boundary(sizes, length)
 
     def lists(self) -> None:
-        """The lists with at least two nodes, and the sets of their nodes."""
+        """The lists with at least two nodes; a document of each node."""
         rows = self.rows.where("n > 2 and doc_id is not null").select("prefix", "n", "node")
         expected = int(rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).collect()[0][0])
         bits = bits_for(expected, 8)
@@ -204,62 +206,84 @@ class Join:
         found = written(rows.mapInArrow(postings(twice, bits, small), "key long, node binary, n long").distinct(), "postings")
         often = found.groupBy("key").count().where("count > 1").select("key")
         self.found = written(found.join(often, "key"), "lists")
-        nodes = self.found.select("node").distinct()
-        self.nodes = written(self.rows.where("doc_id is not null").select("node", "n", "bitmap", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "nodes")
-        bits = bits_for(self.nodes.count(), 16)
-        once = built(self.nodes.select("doc_id"), lambda b: mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits, "once")
-        sets = self.docs.where("doc_id is not null").mapInArrow(sets_of(once, bits), "node binary, members binary")
-        self.sets = written(sets.join(self.nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        self.parts = self.nodes.select("node", F.col("node").alias("part"))
+        self.parts = written(self.found.select("node", F.col("node").alias("part")).distinct(), "parts")
+        maps = self.rows.where("n > 2 and doc_id is not null").select("node", "bitmap").join(self.parts.select("node"), "node", "left_semi")
+        self.maps = written(maps.groupBy("node").agg(F.first("bitmap").alias("bitmap")), "maps")
+        self.sets = None
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, apart) of pairs(a, b, n, m) that the bitmaps don't rule out."""
+        x = pairs.join(self.maps.select(F.col("node").alias("a"), F.col("bitmap").alias("x")), "a").join(self.maps.select(F.col("node").alias("b"), F.col("bitmap").alias("y")), "b")
+        return x.select("a", "b", "n", "m", "x", "y").mapInArrow(near_enough, "a binary, b binary, apart long")
 
     def placed(self) -> DataFrame:
         """The lists whose nodes are in more than one component: key, node, n, part."""
         lists = self.found.join(self.parts, "node")
         open_ = lists.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        return written(lists.join(open_, "key"), "placed")
+        return lists.join(open_, "key")
+
+    def have_sets(self, pairs: DataFrame) -> None:
+        """Reads the sets of the pairs' nodes that aren't at hand: of one document each, found in a scan by a Bloom filter of their ids."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = written(self.rows.where("doc_id is not null").select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+        n = wanted.count()
+        if not n:
+            return
+        bits = bits_for(n, 16)
+        once = built(wanted.select("doc_id"), lambda b: mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits, "once")
+        sets = self.docs.where("doc_id is not null").mapInArrow(sets_of(once, bits), "node binary, members binary")
+        sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         x = pairs.join(self.sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(self.sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
         return x.select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary")
 
-    def filtered(self, pairs: DataFrame) -> DataFrame:
-        of = lambda s, x, y: self.nodes.select(F.col("node").alias(s), F.col("n").alias(x), F.col("bitmap").alias(y))
-        x = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b")
-        return x.select("a", "b", "n", "m", "x", "y").mapInArrow(near_enough, "a binary, b binary")
-
-    def merge(self, links: DataFrame) -> bool:
-        """Joins the components that links(a, b) connect; False if there is none."""
+    def merge(self, links: DataFrame) -> int:
+        """Joins the components that links(a, b) connect; how many such links there are."""
         of = lambda s: self.parts.select(F.col("node").alias(s), F.col("part").alias(f"p{s}"))
         edges = written(links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "links")
-        if edges.isEmpty():
-            return False
+        n = edges.count()
+        if not n:
+            return 0
         roots = components(edges).withColumnRenamed("node", "part")
         self.parts = written(self.parts.join(roots, "part", "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
-        return True
+        return n
 
     fits = staticmethod(lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT))
 
-    def star(self, k: int) -> bool:
+    def star(self, k: int) -> int:
         lists = self.placed()
-        order = F.sha1(F.concat(F.col("node"), F.lit(str(k)).cast("binary")))
-        pivots = lists.groupBy("key").agg(F.min_by(F.struct("node", "n", "part"), order).alias("p"))
+        firsts = [F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(PIVOTS * k + i))) for i in range(PIVOTS)]
+        pivots = lists.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("p")).select("key", F.explode("p").alias("p"))
         met = lists.join(pivots, "key").where((F.col("part") != F.col("p.part")) & self.fits(F.col("n"), F.col("p.n")))
-        best = met.groupBy(F.col("node").alias("b"), F.col("p.node").alias("a")).count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-        return self.merge(self.verified(self.filtered(best.select("a", "b"))))
+        near = self.near(met.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m")).distinct())
+        best = written(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "pairs")
+        if best.isEmpty():
+            return 0
+        self.have_sets(best)
+        return self.merge(self.verified(best))
 
     def rest(self) -> None:
         lists = self.placed()
         common = lists.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("common"))
-        marked = written(lists.join(common, "key"), "marked")
+        marked = lists.join(common, "key")
         a = marked.where("part <> common").select("key", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"))
         b = marked.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), (F.col("part") == F.col("common")).alias("in_common"))
         pairs = a.join(b, "key").where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & self.fits(F.col("n"), F.col("m")))
-        self.merge(self.verified(self.filtered(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()  # near() needs the sum of the sizes only
+        near = written(self.near(both).select("a", "b"), "pairs")
+        if not near.isEmpty():
+            self.have_sets(near)
+            self.merge(self.verified(near))
 
     def result(self) -> DataFrame:
         self.lists()
+        nodes = self.parts.count()
         for k in range(STARS):
-            if not self.star(k):
+            if self.star(k) <= WORTH * nodes:
                 break
         self.rest()
         rows = self.rows.select("doc_id", "n", "node")
