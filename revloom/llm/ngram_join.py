@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bits_for, built, has_all, opened, places
-from .common import table, total, written
+from .common import pow2_at_least, table, total, written
 from .components import components
 from .tokens import BASE, Words, mix
 
 K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.05
-BUCKETS, BITMAP, MOST_SMALL = 1 << 20, 1024, 64
+BUCKETS, MOST_SMALL = 1 << 20, 64
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -63,6 +64,22 @@ def need(n):
     return -(-PERCENT * n // 100)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of a set, as wide as the set is large: bit i tells whether an odd number of shingles fall on it."""
+    bits = min(max(pow2_at_least(len(s)), LEAST_BITS), MOST_BITS)
+    return np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the wider one folded to the narrower one's width, which keeps parities."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def sketch(batches):
     out = np.zeros(BUCKETS, np.uint32)
     for b in batches:
@@ -94,7 +111,7 @@ def features(heavy):
                     light = np.concatenate([light, more[np.lexsort((more, c[c > 0]))]])
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefixes.append(light[:p].view(np.int64))
-                maps.append(np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes())
+                maps.append(parity(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["doc_id", "n", "node", "prefix", "bitmap"]
             )
@@ -173,11 +190,10 @@ def near_enough(batches):
     for b in batches:
         if not len(b):
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(b), -1) for k in (4, 5))
         n = b.column(2).to_numpy(zero_copy_only=False) + b.column(3).to_numpy(zero_copy_only=False)
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        keep = np.flatnonzero(apart * (100 + PERCENT) <= n * (100 - PERCENT))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(apart[keep])], names=["a", "b", "apart"])
+        far = np.array([apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+        keep = np.flatnonzero(far * (100 + PERCENT) <= n * (100 - PERCENT))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(far[keep])], names=["a", "b", "apart"])
 
 
 class Join:
