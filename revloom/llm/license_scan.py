@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over the words of a text, native expressions only.
 
-A rule is a regular expression over the text's words (lower-cased, joined by one space), with a keyword that must occur in the text before the
-expression is tried, a label and a tier. A cheap test of the raw text lets most documents pass by; in the others, the rules whose keyword
-occurs are tried, and each match becomes a detection: an interval of words. Overlapping detections resolve by interval containment: one that lies
+A rule is a regular expression over the text's words (lower-cased, joined by one space), with keywords of which one must occur in the text before the
+expression is tried, a label and a tier. Keywords come from the expression itself, one for each of its alternatives, so that no match lacks them. A cheap test of the raw
+text lets most documents pass by; in the others, the rules with a keyword that occurs are tried, and each match becomes a detection: an interval of words. Overlapping detections resolve by interval containment: one that lies
 inside another of the same or a better tier goes (of two equal intervals, the one of the better tier, then of the earlier rule, stays).
 The intervals of a document are swept once in order of their start, with a running maximum of the ends for each tier, so that a
 document with many mentions costs n log n.
@@ -28,95 +28,128 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 V = r"(?:v|version )?"
-#: Signatures: (label, keyword, names as a regular expression over words, the identifier in tags and addresses)
+#: Signatures: (label, names as a regular expression over words, the identifier in tags and addresses)
 SIGNATURES = [
-    ("mit", "mit", r"mit(?: x11)?|expat|massachusetts institute of technology", r"mit"),
-    ("apache-1.1", "apache", rf"apache(?: software)?(?: foundation)?(?: licen[sc]e)? {V}1 1", r"apache 1 1"),
-    ("apache-2", "apache", rf"apache(?: software)?(?: foundation)?(?: licen[sc]e)? {V}2(?: 0)?|al2|asl 2(?: 0)?", r"apache 2 0"),
-    ("gpl-1", "general", rf"(?:gnu )?general public licen[sc]e {V}1(?: 0)?", r"gpl 1 0"),
-    ("gpl-2", "general", rf"(?:gnu )?general public licen[sc]e {V}2(?: 0)?", r"gpl 2 0"),
-    ("gpl-3", "general", rf"(?:gnu )?general public licen[sc]e {V}3(?: 0)?", r"gpl 3 0"),
-    ("gpl-2", "gpl", rf"(?:gnu )?gpl ?{V}2(?: 0)?(?: only)?", r"gpl 2 0 only"),
-    ("gpl-3", "gpl", rf"(?:gnu )?gpl ?{V}3(?: 0)?(?: only)?", r"gpl 3 0 only"),
-    ("gpl-2-or-later", "later", rf"(?:gnu )?(?:gpl|general public licen[sc]e) {V}2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?", r"gpl 2 0 or later"),
-    ("gpl-3-or-later", "later", rf"(?:gnu )?(?:gpl|general public licen[sc]e) {V}3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?", r"gpl 3 0 or later"),
-    ("lgpl-2", "library", rf"(?:gnu )?library general public licen[sc]e {V}2(?: 0)?", r"lgpl 2 0"),
-    ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public licen[sc]e {V}2 1", r"lgpl 2 1"),
-    ("lgpl-3", "lesser", rf"(?:gnu )?lesser general public licen[sc]e {V}3(?: 0)?", r"lgpl 3 0"),
-    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl ?{V}2 1(?: only)?", r"lgpl 2 1 only"),
-    ("lgpl-3", "lgpl", rf"(?:gnu )?lgpl ?{V}3(?: 0)?(?: only)?", r"lgpl 3 0 only"),
-    ("agpl-3", "affero", rf"(?:gnu )?affero general public licen[sc]e {V}3(?: 0)?", r"agpl 3 0"),
-    ("agpl-3", "agpl", rf"(?:gnu )?agpl ?{V}3(?: 0)?", r"agpl 3 0 only"),
-    ("gfdl-1.3", "documentation", rf"(?:gnu )?free documentation licen[sc]e {V}1 3", r"gfdl 1 3"),
-    ("gfdl-1.2", "documentation", rf"(?:gnu )?free documentation licen[sc]e {V}1 2", r"gfdl 1 2"),
-    ("bsd-2", "bsd", r"(?:2|two) clause bsd|simplified bsd|freebsd|bsd 2 clause", r"bsd 2 clause"),
-    ("bsd-3", "bsd", r"(?:3|three) clause bsd|new bsd|modified bsd|revised bsd|bsd 3 clause", r"bsd 3 clause"),
-    ("bsd-4", "bsd", r"(?:4|four) clause bsd|original bsd|old bsd|bsd 4 clause", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"zero clause bsd|free public licen[sc]e 1 0 0|bsd zero clause", r"0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?", r"bsd"),
-    ("mpl-1.1", "mozilla", rf"mozilla public licen[sc]e {V}1 1", r"mpl 1 1"),
-    ("mpl-2", "mozilla", rf"mozilla public licen[sc]e {V}2(?: 0)?", r"mpl 2 0"),
-    ("mpl-2", "mpl", rf"mpl ?{V}2(?: 0)?", r"mpl 2 0 no copyleft exception"),
-    ("epl-1", "eclipse", rf"eclipse public licen[sc]e {V}1(?: 0)?", r"epl 1 0"),
-    ("epl-2", "eclipse", rf"eclipse public licen[sc]e {V}2(?: 0)?", r"epl 2 0"),
-    ("eupl-1.2", "european", rf"european union public licen[sc]e {V}1 2", r"eupl 1 2"),
-    ("cddl-1", "distribution", rf"common development and distribution licen[sc]e {V}1(?: 0)?", r"cddl 1 0"),
-    ("cpl-1", "common", rf"common public licen[sc]e {V}1(?: 0)?", r"cpl 1 0"),
-    ("isc", "isc", r"isc|internet systems consortium", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
-    ("libpng", "libpng", r"libpng(?: 2 0)?", r"libpng 2 0"),
-    ("boost-1", "boost", rf"boost software licen[sc]e(?: {V}1(?: 0)?)?", r"bsl 1 0"),
-    ("artistic-1", "artistic", rf"artistic licen[sc]e {V}1(?: 0)?", r"artistic 1 0"),
-    ("artistic-2", "artistic", rf"artistic licen[sc]e {V}2(?: 0)?", r"artistic 2 0"),
-    ("unlicense", "unlicense", r"the unlicense|unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl(?: v ?2| version 2)?", r"wtfpl"),
-    ("ofl-1.1", "font", rf"(?:sil )?open font licen[sc]e(?: {V}1 1)?", r"ofl 1 1"),
-    ("python-2", "python", r"python software foundation|psf", r"psf 2 0"),
-    ("php-3", "php", rf"php licen[sc]e {V}3(?: 0| 01)?", r"php 3 01"),
-    ("ruby", "ruby", r"ruby s?", r"ruby"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl", r"openssl"),
-    ("curl", "curl", r"curl", r"curl"),
-    ("ms-pl", "microsoft", r"microsoft public", r"ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal", r"ms rl"),
-    ("odbl-1", "database", rf"open (?:data commons )?open database licen[sc]e(?: {V}1 0)?|open database licen[sc]e", r"odbl 1 0"),
-    ("odc-by-1", "commons", r"open data commons attribution", r"odc by 1 0"),
-    ("pddl-1", "commons", r"public domain dedication and licen[sc]e", r"pddl 1 0"),
-    ("cc0-1", "cc0", rf"cc0(?: {V}1 0)?(?: universal)?", r"cc0 1 0"),
-    ("public-domain", "domain", r"(?:in|into|to) the public domain|public domain dedication", r"publicdomain"),
-    ("cc-by", "cc", r"cc by(?: [1-4] [05])?", r"cc by 4 0"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?", r"cc by sa 4 0"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] [05])?", r"cc by nc 4 0"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [05])?", r"cc by nd 4 0"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] [05])?", r"cc by nc sa 4 0"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] [05])?", r"cc by nc nd 4 0"),
-    ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?", r"by 4 0"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?", r"by sa 4 0"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"by nc 4 0"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?", r"by nd 4 0"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"by nc sa 4 0"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [05])?", r"by nc nd 4 0"),
-    ("all-rights-reserved", "reserved", r"all rights reserved(?: under)?(?: the)?(?: copyright)?", r"all rights reserved"),
-    ("proprietary", "proprietary", r"proprietary and confidential|proprietary software", r"proprietary"),
+    ("mit", r"mit(?: x11)?|expat|massachusetts institute of technology", r"mit"),
+    ("apache-1.1", rf"apache(?: software)?(?: foundation)?(?: licen[sc]e)? {V}1 1", r"apache 1 1"),
+    ("apache-2", rf"apache(?: software)?(?: foundation)?(?: licen[sc]e)? {V}2(?: 0)?|al2|asl 2(?: 0)?", r"apache 2 0"),
+    ("gpl-1", rf"(?:gnu )?general public licen[sc]e {V}1(?: 0)?", r"gpl 1 0"),
+    ("gpl-2", rf"(?:gnu )?general public licen[sc]e {V}2(?: 0)?", r"gpl 2 0"),
+    ("gpl-3", rf"(?:gnu )?general public licen[sc]e {V}3(?: 0)?", r"gpl 3 0"),
+    ("gpl-2", rf"(?:gnu )?gpl ?{V}2(?: 0)?(?: only)?", r"gpl 2 0 only"),
+    ("gpl-3", rf"(?:gnu )?gpl ?{V}3(?: 0)?(?: only)?", r"gpl 3 0 only"),
+    ("gpl-2-or-later", rf"(?:gnu )?(?:gpl|general public licen[sc]e) {V}2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?", r"gpl 2 0 or later"),
+    ("gpl-3-or-later", rf"(?:gnu )?(?:gpl|general public licen[sc]e) {V}3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?", r"gpl 3 0 or later"),
+    ("lgpl-2", rf"(?:gnu )?library general public licen[sc]e {V}2(?: 0)?", r"lgpl 2 0"),
+    ("lgpl-2.1", rf"(?:gnu )?lesser general public licen[sc]e {V}2 1", r"lgpl 2 1"),
+    ("lgpl-3", rf"(?:gnu )?lesser general public licen[sc]e {V}3(?: 0)?", r"lgpl 3 0"),
+    ("lgpl-2.1", rf"(?:gnu )?lgpl ?{V}2 1(?: only)?", r"lgpl 2 1 only"),
+    ("lgpl-3", rf"(?:gnu )?lgpl ?{V}3(?: 0)?(?: only)?", r"lgpl 3 0 only"),
+    ("agpl-3", rf"(?:gnu )?affero general public licen[sc]e {V}3(?: 0)?", r"agpl 3 0"),
+    ("agpl-3", rf"(?:gnu )?agpl ?{V}3(?: 0)?", r"agpl 3 0 only"),
+    ("gfdl-1.3", rf"(?:gnu )?free documentation licen[sc]e {V}1 3", r"gfdl 1 3"),
+    ("gfdl-1.2", rf"(?:gnu )?free documentation licen[sc]e {V}1 2", r"gfdl 1 2"),
+    ("bsd-2", r"(?:2|two) clause bsd|simplified bsd|freebsd|bsd 2 clause", r"bsd 2 clause"),
+    ("bsd-3", r"(?:3|three) clause bsd|new bsd|modified bsd|revised bsd|bsd 3 clause", r"bsd 3 clause"),
+    ("bsd-4", r"(?:4|four) clause bsd|original bsd|old bsd|bsd 4 clause", r"bsd 4 clause"),
+    ("0bsd", r"zero clause bsd|free public licen[sc]e 1 0 0|bsd zero clause", r"0bsd"),
+    ("bsd", r"bsd(?: style)?", r"bsd"),
+    ("mpl-1.1", rf"mozilla public licen[sc]e {V}1 1", r"mpl 1 1"),
+    ("mpl-2", rf"mozilla public licen[sc]e {V}2(?: 0)?", r"mpl 2 0"),
+    ("mpl-2", rf"mpl ?{V}2(?: 0)?", r"mpl 2 0 no copyleft exception"),
+    ("epl-1", rf"eclipse public licen[sc]e {V}1(?: 0)?", r"epl 1 0"),
+    ("epl-2", rf"eclipse public licen[sc]e {V}2(?: 0)?", r"epl 2 0"),
+    ("eupl-1.2", rf"european union public licen[sc]e {V}1 2", r"eupl 1 2"),
+    ("cddl-1", rf"common development and distribution licen[sc]e {V}1(?: 0)?", r"cddl 1 0"),
+    ("cpl-1", rf"common public licen[sc]e {V}1(?: 0)?", r"cpl 1 0"),
+    ("isc", r"isc|internet systems consortium", r"isc"),
+    ("zlib", r"zlib(?: libpng)?", r"zlib"),
+    ("libpng", r"libpng(?: 2 0)?", r"libpng 2 0"),
+    ("boost-1", rf"boost software licen[sc]e(?: {V}1(?: 0)?)?", r"bsl 1 0"),
+    ("artistic-1", rf"artistic licen[sc]e {V}1(?: 0)?", r"artistic 1 0"),
+    ("artistic-2", rf"artistic licen[sc]e {V}2(?: 0)?", r"artistic 2 0"),
+    ("unlicense", r"the unlicense|unlicense", r"unlicense"),
+    ("wtfpl", r"wtfpl(?: v ?2| version 2)?", r"wtfpl"),
+    ("ofl-1.1", rf"(?:sil )?open font licen[sc]e(?: {V}1 1)?", r"ofl 1 1"),
+    ("python-2", r"python software foundation|psf", r"psf 2 0"),
+    ("php-3", rf"php licen[sc]e {V}3(?: 0| 01)?", r"php 3 01"),
+    ("ruby", r"ruby(?: s)?", r"ruby"),
+    ("postgresql", r"postgresql", r"postgresql"),
+    ("openssl", r"openssl", r"openssl"),
+    ("curl", r"curl", r"curl"),
+    ("ms-pl", r"microsoft public", r"ms pl"),
+    ("ms-rl", r"microsoft reciprocal", r"ms rl"),
+    ("odbl-1", rf"open (?:data commons )?open database licen[sc]e(?: {V}1 0)?|open database licen[sc]e", r"odbl 1 0"),
+    ("odc-by-1", r"open data commons attribution", r"odc by 1 0"),
+    ("pddl-1", r"public domain dedication and licen[sc]e", r"pddl 1 0"),
+    ("cc0-1", rf"cc0(?: {V}1 0)?(?: universal)?", r"cc0 1 0"),
+    ("public-domain", r"(?:in|into|to) the public domain|public domain dedication", r"publicdomain"),
+    ("cc-by", r"cc by(?: [1-4] [05])?", r"cc by 4 0"),
+    ("cc-by-sa", r"cc by sa(?: [1-4] [05])?", r"cc by sa 4 0"),
+    ("cc-by-nc", r"cc by nc(?: [1-4] [05])?", r"cc by nc 4 0"),
+    ("cc-by-nd", r"cc by nd(?: [1-4] [05])?", r"cc by nd 4 0"),
+    ("cc-by-nc-sa", r"cc by nc sa(?: [1-4] [05])?", r"cc by nc sa 4 0"),
+    ("cc-by-nc-nd", r"cc by nc nd(?: [1-4] [05])?", r"cc by nc nd 4 0"),
+    ("cc-by", r"creative commons attribution(?: [1-4] [05])?", r"by 4 0"),
+    ("cc-by-sa", r"creative commons attribution share ?alike(?: [1-4] [05])?", r"by sa 4 0"),
+    ("cc-by-nc", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"by nc 4 0"),
+    ("cc-by-nd", r"creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?", r"by nd 4 0"),
+    ("cc-by-nc-sa", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"by nc sa 4 0"),
+    ("cc-by-nc-nd", r"creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [05])?", r"by nc nd 4 0"),
+    ("all-rights-reserved", r"all rights reserved(?: under)?(?: the)?(?: copyright)?", r"all rights reserved"),
+    ("proprietary", r"proprietary and confidential|proprietary software", r"proprietary"),
 ]
 GRANT = r"(?:licen[sc]ed|released|distributed|published|available|provided|offered|shared|covered|redistributed) (?:to you )?(?:under|by|with|according to)(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? "
-#: The forms that each signature takes: (tier, confidence, what makes the rule's expression of its names and identifier). A form whose words don't name a license needs the word.
+
+
+def alternatives(names: str) -> list[str]:
+    out, depth = [""], 0
+    for c in names:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def fixed(x: str) -> str:
+    """The longest text that each match of an expression without alternatives has: what stands outside of groups, classes and optional characters."""
+    out, depth = [""], 0
+    for k, c in enumerate(x):
+        if c in "([":
+            depth += 1
+            out.append("")
+        elif c in ")]":
+            depth -= 1
+        elif not depth and c == "?":
+            out[-1:] = [out[-1] if x[k - 1] in ")]" else out[-1][:-1], ""]
+        elif not depth:
+            out[-1] += c
+    return max(out, key=len)
+
+
+def keywords(names: str) -> list[str]:
+    return [fixed(x) for x in alternatives(names)]
+
+
+#: The forms that each signature takes: (tier, confidence, what makes the rule's keywords and expression of its names and identifier). A form whose words don't name a license needs the word.
 FORMS = [
-    (1, 0.99, lambda names, tag: rf"spdx licen[sc]e identifier {tag}"),
-    (2, 0.95, lambda names, tag: rf"{GRANT}(?:{names})(?: licen[sc]e)?"),
-    (3, 0.9, lambda names, tag: rf"(?:opensource|creativecommons|spdx|gnu|apache|choosealicense)(?: org| com) (?:licen[sc]es?|publicdomain) {tag}"),
-    (4, 0.8, lambda names, tag: rf"(?:{names}) licen[sc]ed?"),
-    (4, 0.7, lambda names, tag: rf"licen[sc]es? (?:type |is |name |information )?(?:the )?(?:{names})"),
+    (1, 0.99, lambda names, tag: ([f"identifier {tag}"], rf"spdx licen[sc]e identifier {tag}")),
+    (2, 0.95, lambda names, tag: (keywords(names), rf"{GRANT}(?:{names})(?: licen[sc]e)?")),
+    (3, 0.9, lambda names, tag: ([f" {tag}"], rf"(?:opensource|creativecommons|spdx|gnu|apache|choosealicense)(?: org| com) (?:licen[sc]es?|publicdomain) {tag}")),
+    (4, 0.8, lambda names, tag: (keywords(names), rf"(?:{names}) licen[sc]ed?")),
+    (4, 0.7, lambda names, tag: (keywords(names), rf"licen[sc]es? (?:type |is |name |information )?(?:the )?(?:{names})")),
 ]
 TIERS = 5
 
 
-def rules() -> list[tuple[int, int, str, str, str, float]]:
-    """(rank, tier, keyword, expression, label, confidence) in order of priority."""
-    found = [(0, phrase.split()[-2 if "license" in phrase.split()[-1] else 0], phrase, label, 1.0) for phrase, label in BASE]
-    found += [(tier, keyword, form(names, tag), label, sure) for tier, sure, form in FORMS for label, keyword, names, tag in SIGNATURES]
+def rules() -> list[tuple[int, int, list[str], str, str, float]]:
+    """(rank, tier, keywords, expression, label, confidence) in order of priority."""
+    found = [(0, [phrase], phrase, label, 1.0) for phrase, label in BASE]
+    found += [(tier, *form(names, tag), label, sure) for tier, sure, form in FORMS for label, names, tag in SIGNATURES]
     found.sort(key=lambda r: r[0])
-    return [(k, tier, keyword, rf"(?<![^ ])(?:{x})(?![^ ])", label, sure) for k, (tier, keyword, x, label, sure) in enumerate(found)]
+    return [(k, tier, words, rf"(?<![^ ])(?:{x})(?![^ ])", label, sure) for k, (tier, words, x, label, sure) in enumerate(found)]
 
 
 #: Whatever a rule can match has one of these; tried on the raw text.
@@ -135,9 +168,9 @@ def normal(text):
 
 def detections(docs: DataFrame) -> DataFrame:
     """Every match of every rule: doc_id, th, rank, tier, label, sure, first, last (its words, from 0), kept (not suppressed). docs: doc_id, th, text, no two rows alike."""
-    table_of = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rank", "tier", "keyword", "rx", "label", "sure"), r, strict=True)]) for r in rules()])
+    table_of = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if n == "keywords" else F.lit(v)).alias(n) for n, v in zip(("rank", "tier", "keywords", "rx", "label", "sure"), r, strict=True)]) for r in rules()])
     rows = docs.where(F.col("text").rlike(GATE)).select("doc_id", "th", normal(F.col("text")).alias("norm"))
-    tried = rows.withColumn("r", F.explode(F.filter(table_of, lambda r: F.contains(F.col("norm"), r["keyword"])))).where(F.expr("norm rlike r.rx"))
+    tried = rows.withColumn("r", F.explode(F.filter(table_of, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("norm"), k))))).where(F.expr("norm rlike r.rx"))
     pieces = tried.select("doc_id", "th", "r", F.split("norm", F.col("r.rx"), -1).alias("gaps"), F.expr("regexp_extract_all(norm, r.rx, 0)").alias("hits"))
     at = pieces.select("doc_id", "th", "r", F.posexplode(F.arrays_zip("gaps", "hits")).alias("at", "x"))
     at = at.select("doc_id", "th", "r.rank", "r.tier", "r.label", "r.sure", "at", words(F.coalesce("x.gaps", F.lit(""))).alias("gap"), F.when(F.col("x.hits").isNotNull(), words(F.col("x.hits"))).alias("hit"))

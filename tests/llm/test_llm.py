@@ -184,6 +184,49 @@ def test_license_containment(spark):
     assert license_scan.scan(rows).collect()[0].labels == "gpl-2-or-later"
 
 
+def samples(rx: str) -> list[str]:
+    """Texts that an expression takes: for each alternative, without what is optional and with it."""
+
+    def ways(part) -> list[str]:
+        out = [""]
+        for kind, x in part:
+            match str(kind):
+                case "LITERAL":
+                    got = [chr(x)]
+                case "IN":
+                    got = [chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])]
+                case "BRANCH":
+                    got = [w for b in x[1] for w in ways(b)]
+                case "SUBPATTERN":
+                    got = ways(x[3])
+                case "MAX_REPEAT":
+                    got = ["", *ways(x[2])[-1:]]
+                case "ASSERT_NOT":
+                    got = [""]
+            out = [a + b for a in out[:40] for b in got] if len(got) < 9 or len(out) < 9 else [a + b for a in out[:2] for b in got]
+        return out
+
+    return [w for w in ways(re._parser.parse(rx)) if re.fullmatch(rx, w)]
+
+
+def test_license_rules_alone(spark):
+    """A text that holds nothing but a rule's own match passes all that stands before the rule."""
+    every = license_scan.rules()
+    for _, _, keywords, rx, _, _ in every:
+        got = samples(rx)
+        assert got and all(any(k in x for k in keywords) for x in got) and all(re.search(license_scan.GATE, x) for x in got), rx
+        assert all(len(k) > 1 for k in keywords)
+    texts = [(r[0], min(samples(r[3]), key=len).upper().replace(" ", "-")) for r in every]
+    found = license_scan.detections(frame(spark, texts).select("doc_id", "th", "text")).where("doc_id = rank").select("rank").distinct().collect()
+    assert sorted(r[0] for r in found) == [r[0] for r in every]
+
+
+def test_license_identifiers_alone(spark):
+    names = {"GPL-2.0": "gpl-2", "MPL-2.0": "mpl-2", "LGPL-2.1": "lgpl-2.1", "AGPL-3.0": "agpl-3", "EPL-2.0": "epl-2", "EUPL-1.2": "eupl-1.2", "CDDL-1.0": "cddl-1", "BSL-1.0": "boost-1", "OFL-1.1": "ofl-1.1", "PSF-2.0": "python-2", "MS-PL": "ms-pl", "ODbL-1.0": "odbl-1"}
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame(spark, [(k, f"SPDX-License-Identifier: {x}") for k, x in enumerate(names)])).collect()}
+    assert got == {k: (x, 0.99) for k, x in enumerate(names.values())}
+
+
 def test_html():
     head = "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='ad'>Buy, now. Buy!</div>"
     body = "<article><h1>Big &amp; news</h1><p>One,  two.\n three&nbsp;four. <b>Five, six</b>.<br>Seven.<p>Eight, nine; ten. Eleven, twelve.</p><script>var a='</p>'</script><div id=comments><p>Nice, post. I agree, fully.</p></div></article>"
