@@ -15,6 +15,8 @@ repeated results. Only doc_id and text are read, so that other columns may have
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,52 @@ SIGNATURES = [
     ("all-rights-reserved", r"all rights reserved(?: under)?(?: the)?(?: copyright)?", r"all rights reserved"),
     ("proprietary", r"proprietary and confidential|proprietary software", r"proprietary"),
 ]
+#: Names without a version: (label, names). They need no form, and give way to longer matches.
+VERSIONLESS = [
+    ("gpl", r"(?:gnu )?general public licen[sc]e|(?:gnu )?gpl"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|(?:gnu )?lgpl"),
+    ("agpl", r"(?:gnu )?affero general public licen[sc]e|(?:gnu )?agpl"),
+    ("gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl"),
+    ("apache", r"apache(?: software)?(?: foundation)?(?: public)? licen[sc]e"),
+    ("mpl", r"mozilla public licen[sc]e"),
+    ("epl", r"eclipse public licen[sc]e"),
+    ("eupl", r"european union public licen[sc]e"),
+    ("cddl", r"common development and distribution licen[sc]e|cddl"),
+    ("cpl", r"common public licen[sc]e"),
+    ("artistic", r"artistic licen[sc]e"),
+    ("php", r"php licen[sc]e"),
+    ("creative-commons", r"creative commons licen[sc]e"),
+]
+#: Statements that stand by themselves.
+STATEMENTS = [
+    ("all-rights-reserved", r"all rights (?:are )?reserved"),
+    ("proprietary", r"proprietary and confidential|confidential and proprietary|proprietary software|proprietary information"),
+    ("public-domain", r"(?:in|into|to|within) the public domain|public domain dedication|public domain (?:work|software|text|notice)"),
+    ("cc0-1", r"no rights reserved|creativecommons org publicdomain zero 1 0"),
+    ("apache-2", rf"apache org licen[sc]es licen[sc]e 2 0|apache(?: software)?(?: foundation)? licen[sc]e {V}2(?: 0)?"),
+    ("apache-1.1", rf"apache(?: software)?(?: foundation)? licen[sc]e {V}1 1"),
+    ("cc-by", r"cc by [1-4] [05]"),
+]
+NOTICE = r"permission is hereby granted free of charge to any person"
+FSF = r"(?: as)? published by the free software foundation (?:either )?"
+THING = r"(?:it|them|this (?:program|library|software|file|work))"
+TERMS = rf"redistribute {THING} and or modify {THING} under the terms of the (?:gnu )?"
+LATER = r" of the licen[sc]e or (?:at your option )?any later version"
+#: What hand-written notices say.
+NOTICES = [
+    ("mit", rf"{NOTICE} obtaining a copy of this software(?: and associated documentation files)?"),
+    ("boost-1", rf"{NOTICE} or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", r"redistributions? and use in source and binary forms with or without modification (?:are|is) permitted"),
+    ("bsd-3", r"may be used to endorse or promote products derived from this software"),
+    ("bsd-4", r"all advertising materials mentioning features or use of this software must display"),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", r"do what the fuck you want to(?: public licen[sc]e)?"),
+    ("apache-2", r"may not use this (?:file|work|software) except in compliance with the licen[sc]e"),
+    *[(f"{label}-or-later", rf"{TERMS}{name}general public licen[sc]e{FSF}version {v}(?: 0)?{LATER}") for label, name, v in (("gpl-2", "", "2"), ("gpl-3", "", "3"), ("lgpl-2", "library ", "2"), ("lgpl-2.1", "lesser ", "2 1"), ("lgpl-3", "lesser ", "3"), ("agpl-3", "affero ", "3"))],
+]
 GRANT = r"(?:licen[sc]ed|released|distributed|published|available|provided|offered|shared|covered|redistributed) (?:to you )?(?:under|by|with|according to)(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? "
 
 
@@ -141,6 +189,13 @@ FORMS = [
     (4, 0.8, lambda names, tag: (keywords(names), rf"(?:{names}) licen[sc]ed?")),
     (4, 0.7, lambda names, tag: (keywords(names), rf"licen[sc]es? (?:type |is |name |information )?(?:the )?(?:{names})")),
 ]
+#: What takes no form: (tier, confidence, rules as (label, expression)). A full name with its version needs no form either.
+ALONE = [
+    (2, 0.95, NOTICES),
+    (4, 0.9, STATEMENTS),
+    (4, 0.75, [(label, "|".join(got)) for label, names, _ in SIGNATURES if (got := [x for x in alternatives(names) if re.search(r"licen\[sc\]e(?!\))|gpl|\bmpl|wtfpl|unlicense|cc0|creative commons|cc by [sn]", x)])]),
+    (4, 0.6, VERSIONLESS),
+]
 TIERS = 5
 
 
@@ -148,12 +203,19 @@ def rules() -> list[tuple[int, int, list[str], str, str, float]]:
     """(rank, tier, keywords, expression, label, confidence) in order of priority."""
     found = [(0, [phrase], phrase, label, 1.0) for phrase, label in BASE]
     found += [(tier, *form(names, tag), label, sure) for tier, sure, form in FORMS for label, names, tag in SIGNATURES]
+    found += [(tier, keywords(x), x, label, sure) for tier, sure, got in ALONE for label, x in got]
     found.sort(key=lambda r: r[0])
     return [(k, tier, words, rf"(?<![^ ])(?:{x})(?![^ ])", label, sure) for k, (tier, words, x, label, sure) in enumerate(found)]
 
 
 #: Whatever a rule can match has one of these; tried on the raw text.
-GATE = r"(?i)licen[sc]|spdx|apache|unlicense|cc" + GAP_RAW + r"by|opensource|creativecommons|choosealicense|gnu|(?:released|distributed|published|available|provided|offered|shared|covered)" + GAP_RAW + r"(?:to" + GAP_RAW + "you" + GAP_RAW + r")?(?:under|by|with|according)"
+GATE = "(?i)" + "|".join(
+    x.replace(" ", GAP_RAW)
+    for x in (
+        "licen[sc]", "spdx", "apache", "cc by", "cc0", "gnu", "[gm]pl", "gfdl", "cddl", "wtfpl", "opensource", "creativecommons", "creative commons", "choosealicense", "(?:released|distributed|published|available|provided|offered|shared|covered) (?:to you )?(?:under|by|with|according)",
+        "rights (?:are )?reserved", "proprietary (?:and|software|information)", "and proprietary", "public domain", "permission (?:is|to)", "and use in source", "endorse or promote", "advertising materials mentioning", "provided as is", "fuck you want", "redistribute [a-z]+",
+    )
+)
 
 
 def words(x):

@@ -227,6 +227,18 @@ def test_license_identifiers_alone(spark):
     assert got == {k: (x, 0.99) for k, x in enumerate(names.values())}
 
 
+def test_license_statements(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    said = {
+        "All rights reserved.": "all-rights-reserved", "It was released into the public domain.": "public-domain", "Proprietary and confidential": "proprietary", "see the GNU General Public License": "gpl", "GNU Lesser General Public License": "lgpl",
+        "GNU General Public License version 3": "gpl-3", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", bsd: "bsd", gpl: "gpl-2-or-later", "This is free and unencumbered software released into the public domain.": "unlicense",
+        "http://www.apache.org/licenses/LICENSE-2.0": "apache-2", "some rights in the domain": "", "the gnu reserved all": "",
+    }
+    got = {r.doc_id: (r.labels, r.score > 0) for r in license_scan.scan(frame(spark, list(enumerate(said)))).collect()}
+    assert got == {k: (x, x != "") for k, x in enumerate(said.values())}
+
+
 def test_html():
     head = "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='ad'>Buy, now. Buy!</div>"
     body = "<article><h1>Big &amp; news</h1><p>One,  two.\n three&nbsp;four. <b>Five, six</b>.<br>Seven.<p>Eight, nine; ten. Eleven, twelve.</p><script>var a='</p>'</script><div id=comments><p>Nice, post. I agree, fully.</p></div></article>"
