@@ -3,8 +3,8 @@
 A page is cut into text nodes, each with the path of tags from the root to it. Elements that never hold the article (scripts, styles, forms, menus, adverts and so on, by tag,
 role, class or id) go first. For each path that is left, the length of its text and its punctuation are summed and divided by its number of nodes; both ratios
 are smoothed over the paths' order in the page with a Gaussian, fused by product, and paths whose fused ratio exceeds the standard deviation of all
-(scaled by THRESHOLD) are content. The content's container is the deepest article or main element (else the deepest element that holds blocks) with most of the text of these
-paths; what is left inside it, short headings too, is the article.
+(scaled by THRESHOLD) are content. The content's container is the deepest article or main element (else the deepest element that holds blocks) around all text of these
+paths. The article is each block with text of these paths, whole, and the container's headings before the last such block.
 
 Text of a block-level element is a block; <br> and any white space are one space inside it.
 
@@ -48,7 +48,8 @@ SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 #: Elements that hold several blocks; a content's container is one of these, an article or main element where there is one.
 HOLDERS = frozenset("html body article main section div center td".split())
-SIGMA, RADIUS, THRESHOLD, HOLDS = 1.0, 2, 0.1, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIGMA, RADIUS, THRESHOLD = 1.0, 2, 0.1
 
 
 def marks(attributes: str) -> tuple[str, bool]:
@@ -159,23 +160,17 @@ def main_text(page: str | None) -> str:
     paths = content_paths(found)
     if not paths:
         return ""
-    held: dict[tuple[int, str], int] = {}
-    depth: dict[tuple[int, str], int] = {}
-    whole = 0
-    for around, path, _, text in found:
-        if path in paths:
-            k = len(text.strip())
-            whole += k
-            for d, x in enumerate(around):
-                held[x] = held.get(x, 0) + k
-                depth[x] = d
-    most = [x for x, k in held.items() if k >= HOLDS * whole]
-    named = [x for x in most if x[1] in ("article", "main")]
-    inside = max(named or [x for x in most if x[1] in HOLDERS or x[0] == 0], key=depth.get)
-    inner = [x for x in found if inside in x[0]]
+    content = [x for x in found if x[1] in paths and x[3].strip()]
+    first, last = min(x[0] for x in content), max(x[0] for x in content)
+    common = [x for x, y in zip(first, last, strict=False) if x == y]
+    named = [x for x in common if x[1] in ("article", "main")]
+    inside = (named or [x for x in common if x[1] in HOLDERS or x[0] == 0])[-1]
+    chosen = {x[2] for x in content}
+    end = max(chosen)
     blocks: dict[int, list[str]] = {}
-    for _, _, block, text in inner:
-        blocks.setdefault(block, []).append(text)
+    for around, _, block, text in found:
+        if block in chosen or block < end and inside in around and any(x[1] in HEADINGS for x in around):
+            blocks.setdefault(block, []).append(text)
     return "\n\n".join(s for x in blocks.values() if (s := " ".join("".join(x).split())))
 
 

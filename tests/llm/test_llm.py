@@ -247,6 +247,19 @@ def test_html():
         assert isinstance(html_extract.main_text(page), str)
 
 
+def test_html_parts():
+    """Content outside of the largest part stays; what no path of content holds goes, inside the container too."""
+    say = lambda name, n: " ".join(f"{name} {k}, and so on, it says." for k in range(n))
+    p = lambda name, n: f"<p>{say(name, n)}</p>"
+    long, short = say("long", 40), say("short", 7)
+    assert html_extract.main_text(f"<body><main><article>{p('long', 40)}</article><section>{p('short', 7)}</section></main></body>") == f"{long}\n\n{short}"
+    assert html_extract.main_text(f"<body><div><div>{p('short', 7)}</div><div>{p('long', 40)}</div></div></body>") == f"{short}\n\n{long}"
+    assert html_extract.main_text(f"<body><article>{p('long', 40)}</article><article>{p('short', 7)}</article></body>") == f"{long}\n\n{short}"
+    links = "<ul>" + "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(30)) + "</ul>"
+    page = f"<body><article><h1>Head</h1>{p('long', 20)}<h2>Part</h2><p>One <b>bold</b> word, and more, as said.</p>{links}</article></body>"
+    assert html_extract.main_text(page) == f"Head\n\n{say('long', 20)}\n\nPart\n\nOne bold word, and more, as said."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<body><p>Hello, world. It is, here.</p>"), (None, None, None), (1, "u", "")], "page_id long, url string, html string")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(pages).collect()), key=str) == sorted([(1, "Hello, world. It is, here.", 26), (None, "", 0), (1, "", 0)], key=str)
