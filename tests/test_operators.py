@@ -103,6 +103,38 @@ def test_bases_stay_full(spark):
     assert rows(similar.keep_bases_full(pairs, None)) == [("b", "a"), ("d", "c"), ("e", "a")]
 
 
+def _slow_bases(sketches, full_only):
+    out, full = [], []
+    for rank, s in enumerate(sketches):
+        best = max(((len(s & sketches[b]), -b) for b in (full if full_only else range(rank))), default=(0, 0))
+        if best[0] >= similar.SHARED:
+            out.append((str(rank), str(-best[1]), best[0]))
+        else:
+            full.append(rank)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("full_only", [False])
+def test_bases_exact(spark, full_only):
+    """Against every pair compared: chains of near copies, equal sketches, sketches inside others, and 1,100 blobs with the same eight hashes."""
+    rng = random.Random(5)
+    sketches, own = [], iter(range(100, 10**6))
+    for k in range(4):
+        now = [next(own) for _ in range(24)]
+        for _ in range(30):
+            sketches.append(frozenset(now[: rng.choice((24, 24, 12, 7))]))
+            now[rng.randrange(24)] = next(own)
+            sketches += [sketches[-1]] * rng.choice((0, 0, 2))
+    rng.shuffle(sketches)
+    if not full_only:
+        sketches += [frozenset([*range(7), *(next(own) for _ in range(17))]) for _ in range(1100)]
+        sketches += [sketches[-1] - {0}]
+    rows_of = spark.createDataFrame([(str(k), h) for k, s in enumerate(sketches) for h in s], "id string, h long")
+    ranks = spark.createDataFrame([(str(k), k) for k in range(len(sketches))], "id string, rank long")
+    got = similar.best_bases(rows_of, ranks)
+    assert sorted(tuple(r) for r in got.collect()) == _slow_bases(sketches, full_only)
+
+
 def test_codec():
     change = codec.Object(codec.CHANGE, {"parents": [b"a" * 32], "tree": b"t" * 32, "session": None, "intent": "é", "author": "y", "ts": 1 << 40, "verification": "red"})
     raw = codec.encode(change)
