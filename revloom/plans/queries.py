@@ -718,8 +718,7 @@ def delta_bases(t):
 def repacked(t):
     """SNK-30, SNK-31, F-44, F-45: deltas against similar documents that stay whole"""
     docs = t.documents.dropDuplicates(["text"]).select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("rank"))
-    bases = similar.best_bases(similar.sketches(docs.select("id", F.col("text").alias("content"))), docs.select("id", "rank"))
-    kept = similar.keep_bases_full(bases, docs.select("id", "rank"))
+    kept = similar.best_full_bases(similar.sketches(docs.select("id", F.col("text").alias("content"))), docs.select("id", "rank")).select("id", "base")
     pairs = kept.join(docs.select("id", F.col("text").alias("target")), "id").join(docs.select(F.col("id").alias("base"), F.col("text").alias("base_text")), "base")
     return similar.deltas(pairs.select("id", F.col("base_text").alias("base"), "target")).drop("ops")
 

@@ -114,7 +114,7 @@ def _slow_bases(sketches, full_only):
     return sorted(out)
 
 
-@pytest.mark.parametrize("full_only", [False])
+@pytest.mark.parametrize("full_only", [False, True])
 def test_bases_exact(spark, full_only):
     """Against every pair compared: chains of near copies, equal sketches, sketches inside others, and 1,100 blobs with the same eight hashes."""
     rng = random.Random(5)
@@ -131,7 +131,7 @@ def test_bases_exact(spark, full_only):
         sketches += [sketches[-1] - {0}]
     rows_of = spark.createDataFrame([(str(k), h) for k, s in enumerate(sketches) for h in s], "id string, h long")
     ranks = spark.createDataFrame([(str(k), k) for k in range(len(sketches))], "id string, rank long")
-    got = similar.best_bases(rows_of, ranks)
+    got = (similar.best_full_bases if full_only else similar.best_bases)(rows_of, ranks)
     assert sorted(tuple(r) for r in got.collect()) == _slow_bases(sketches, full_only)
 
 
