@@ -208,14 +208,14 @@ def rules() -> list[tuple[int, int, list[str], str, str, float]]:
     return [(k, tier, words, rf"(?<![^ ])(?:{x})(?![^ ])", label, sure) for k, (tier, words, x, label, sure) in enumerate(found)]
 
 
-#: Whatever a rule can match has one of these; tried on the raw text.
-GATE = "(?i)" + "|".join(
+#: Whatever a rule can match has one of these where a word begins; tried on the raw text.
+GATE = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(
     x.replace(" ", GAP_RAW)
     for x in (
-        "licen[sc]", "spdx", "apache", "cc by", "cc0", "gnu", "[gm]pl", "gfdl", "cddl", "wtfpl", "opensource", "creativecommons", "creative commons", "choosealicense", "(?:released|distributed|published|available|provided|offered|shared|covered) (?:to you )?(?:under|by|with|according)",
+        "(?:un)?licen[sc]", "spdx", "apache", "cc by", "cc0", "gnu", "[al]?gpl", "mpl", "gfdl", "cddl", "wtfpl", "opensource", "creativecommons", "creative commons", "choosealicense", "(?:released|distributed|published|available|provided|offered|shared|covered) (?:to you )?(?:under|by|with|according)",
         "rights (?:are )?reserved", "proprietary (?:and|software|information)", "and proprietary", "public domain", "permission (?:is|to)", "and use in source", "endorse or promote", "advertising materials mentioning", "provided as is", "fuck you want", "redistribute [a-z]+",
     )
-)
+) + ")"
 
 
 def words(x):
