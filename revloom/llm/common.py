@@ -11,12 +11,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 FAN_IN = 16
+SHARE, SALTS, FEW = 1000, 200, 1000
+SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         _own.append(tempfile.mkdtemp(prefix="revloom-", dir="/tmp/checkpoints"))
@@ -53,6 +58,31 @@ def pow2_at_least(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE):
+    """The batch in parts whose binary column has about `most` bytes each (one row at least), so that what is computed for a part is bounded by its longest text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def salted_join(rows: DataFrame, info: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with info (few rows for each key), whatever share of the rows one key has.
+
+    The keys with at least 1 / SHARE of the rows, of which there are at most SHARE, are found by an aggregate of key hashes; each is dealt over SALTS tasks, to which info's rows of that key go
+    all. rows are read twice and should be a table. Null keys of rows match nothing and stay where they are."""
+    key = F.xxhash64(*on)
+    n = rows.count()
+    heavy = [r["k"] for r in rows.groupBy(key.alias("k")).count().where((F.col("count") * SHARE >= n) & (F.col("count") > FEW)).collect()]  # at most SHARE numbers
+    if not heavy:
+        return rows.join(info, on, how)
+    left = rows.withColumn("__salt", F.when(key.isin(heavy), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(F.lit(0)))
+    right = info.withColumn("__salt", F.explode(F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
 def total(df: DataFrame, partial, kind=np.float64) -> np.ndarray | None:
     """The sum over partitions of the array that partial(batches) returns; no task gets more than about FAN_IN of them."""
 

@@ -5,16 +5,19 @@ sets are one node, however many documents share them. Two nodes link when their
 
 Candidates. Shingles have one global order: those that a count sketch of the whole corpus shows as frequent come last, the rest by hash. Sets that link share at least one shingle in
 their prefixes of size - need + 1, and at least two in those of size - need + 2 (need: the least overlap that a link takes). Small sets enumerate the two-element subsets of the
-longer prefix; large sets are found through inverted lists of the shorter one, which small sets within reach of the boundary also enter. The boundary is the size for which the estimated
+longer prefix; large sets are found through inverted lists of the shorter one, which small sets enter for their large partners. The boundary is the size for which the estimated
 cost of both is least. Keys in fewer than two sets are left out by two Bloom filters before anything is shuffled.
 
-Verification. Lists are not expanded into pairs. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets PIVOTS pivots of the list; parity bitmaps rule out most,
-and the node is compared, by its whole set, with the closest pivot of those left; components grow. Rounds end with one that
-linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component is compared with every node
-of another component, first by the bitmaps (which never reject a link), then by whole sets. Every link between different components is thus found; links inside one change nothing.
+The place of a key in a set's order bounds the overlap of pairs that have their first common shingles there, and so the sizes of the partners that the set may meet by this key. A list
+holds the sets of a key and of one pair of size classes; without sets on both sides it is dropped. Texts that share most of their words but too few to link thus meet in no list.
+
+Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. Rounds end with one that
+linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
+nodes outside are split first, by the next shingle that two of their nodes have in common (at most DESCENTS times). Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
+between different components is thus found; links inside one change nothing.
 
 Defined results: a text without words (or null) has an empty set and links with nothing. A null doc_id has a set but takes no part, and its component_id is null. Rows that repeat a doc_id
-link by their own texts. Only doc_id and text are read.
+link by their own texts. An empty table gives no rows. Texts of any length are taken whole; batches are cut by bytes, so that memory follows the longest text. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bits_for, built, has_all, opened, places
-from .common import pow2_at_least, table, total, written
+from .common import SHARE, pow2_at_least, salted_join, slices, table, total, written
 from .components import components
 from .tokens import BASE, Words, mix
 
 K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.05
 BUCKETS, MOST_SMALL = 1 << 20, 64
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+SHORT, DESCENTS = 64, 3
+EXACT_CLASSES, PER_DOUBLING = 16, 8
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -83,38 +88,39 @@ def apart(x: bytes, y: bytes) -> int:
 def sketch(batches):
     out = np.zeros(BUCKETS, np.uint32)
     for b in batches:
-        flat = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0).to_pylist())])
-        out += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        for part in slices(b, 0):
+            flat = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part.column(0).to_pylist())])
+            out += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
     return out
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
+
+
 def features(heavy):
-    """(doc_id, n, node, prefix, bitmap) of each row; prefix: the longer prefix in the global order. heavy: the sketch where it stands out, else 0."""
+    """(doc_id, n, d1, d2, prefix, bitmap) of each row; d1, d2: the set's digest; prefix: the longest that is needed, in the global order. heavy: the sketch where it stands out, else 0."""
 
     def run(batches):
         counts = heavy.value
         for b in batches:
-            ns, nodes, prefixes, maps = [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist()):
-                n = len(s)
-                ns.append(n)
-                if not n:
-                    nodes.append(None)
-                    prefixes.append([])
-                    maps.append(None)
-                    continue
-                c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                p = min(n - need(n) + 2, n)
-                light = s[c == 0]
-                if len(light) < p:
-                    more = s[c > 0]
-                    light = np.concatenate([light, more[np.lexsort((more, c[c > 0]))]])
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefixes.append(light[:p].view(np.int64))
-                maps.append(parity(s))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["doc_id", "n", "node", "prefix", "bitmap"]
-            )
+            for part in slices(b, 1):
+                out = {k: [] for k in ("n", "d1", "d2", "prefix", "bitmap")}
+                for s in shingle_sets(part.column(1).to_pylist()):
+                    n, row = len(s), (0, None, None, None, None)
+                    if n:
+                        c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                        p = min(n - need(n) + 2 + DESCENTS, n)
+                        light = s[c == 0]
+                        if len(light) < p:
+                            more = s[c > 0]
+                            light = np.concatenate([light, more[np.lexsort((more, c[c > 0]))]])
+                        row = (n, *digest(s), light[:p].view(np.int64), parity(s))
+                    for k, v in zip(out, row, strict=True):
+                        out[k].append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
     return run
 
@@ -128,72 +134,97 @@ def boundary(sizes: list[tuple[int, int]], length: float) -> int:
     return 2 + int(np.argmin(costs)) if len(n) else 2
 
 
-def keys_of(prefix: np.ndarray, n: int, small: int) -> np.ndarray:
-    """The keys of a set, of which two linked sets always share one. Sets of fewer than three shingles link with equal ones only."""
-    if n < 3:
-        return prefix[:0]
-    out = []
-    if n <= small:
-        i, j = np.triu_indices(len(prefix), 1)
-        a, b = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
-        out.append(mix(mix(a) * BASE + b))
-    if 100 * n > PERCENT * small:
-        out.append(prefix[: n - need(n) + 1])
-    return np.concatenate(out)
+def reach(overlap, n):
+    """The size of the largest set that links with one of n if they share at most `overlap` shingles."""
+    return np.minimum(overlap * (100 + PERCENT) // PERCENT - n, 100 * n // PERCENT)
+
+
+def keys_of(flat: np.ndarray, sizes: np.ndarray, n: np.ndarray, small: int) -> dict[str, np.ndarray]:
+    """The keys of sets, of which two that link always share one. flat: their prefixes one after another, `sizes` elements of each; n: their sizes.
+
+    key, row (which set), level (how many shingles make it), pos (the place of the last of them), lo and hi (the sizes of partners that it may find). Sets of fewer than three shingles link with equal ones only."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    row = np.repeat(np.arange(len(n)), sizes)
+    pos, m = np.arange(len(flat)) - at[row], n[row]
+    lo, hi = np.where(m > small, need(m), np.maximum(need(m), small + 1)), reach(m - pos, m)
+    keep = (m > 2) & (pos <= m - need(m)) & (lo <= hi)
+    parts = [(mix(flat[keep]), row[keep], np.ones(int(keep.sum()), np.int64), pos[keep], lo[keep], hi[keep])]
+    for i in np.flatnonzero((n > 2) & (n <= small)):
+        k = int(n[i])
+        first = flat[at[i] : at[i + 1]][: k - need(k) + 2]
+        x, y = np.triu_indices(len(first), 1)
+        far = np.minimum(reach(k - y + 1, k), small)
+        x, y, far = (v[far >= need(k)] for v in (x, y, far))
+        parts.append((mix(mix(first[x]) * BASE + first[y]), np.full(len(x), i), np.full(len(x), 2), y, np.full(len(x), need(k)), far))
+    return dict(zip(("key", "row", "level", "pos", "lo", "hi"), (np.concatenate([p[k] for p in parts]) for k in range(6)), strict=True))
 
 
-def batch_keys(b, small: int):
-    """The keys of each row of a batch of (prefix, n)."""
-    flat, at = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(b.column(0).value_lengths().to_numpy(zero_copy_only=False))])
-    return [keys_of(flat[at[i] : at[i + 1]], n, small) for i, n in enumerate(b.column(1).to_pylist())]
+def batch_keys(b, small: int) -> dict[str, np.ndarray]:
+    """The keys of a batch of (prefix, n)."""
+    return keys_of(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False), small)
+
+
+FEW_ROWS = 1000
 
 
 def postings(filter_of, bits: int, small: int):
+    """(key, node, n, level, pos, lo, hi) of each set's keys that the filter knows."""
+
     def run(batches):
         twice = opened(filter_of)
         for b in batches:
-            keys = batch_keys(b, small)
-            which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            k = np.concatenate([np.flatnonzero(has_all(twice, places(flat[i : i + (1 << 18)], bits))) + i for i in range(0, len(flat), 1 << 18)]) if len(flat) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[k].view(np.int64)), b.column(2).take(pa.array(which[k])), b.column(1).take(pa.array(which[k]))], names=["key", "node", "n"])
+            for at in range(0, len(b), FEW_ROWS):
+                part = b.slice(at, FEW_ROWS)
+                got = batch_keys(part, small)
+                key = got["key"]
+                k = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(has_all(twice, places(key[i : i + (1 << 18)], bits))) + i for i in range(0, len(key), 1 << 18))])
+                rows = pa.array(got["row"][k])
+                yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), part.column(2).take(rows), part.column(1).take(rows), *(pa.array(got[c][k].astype(np.int32)) for c in ("level", "pos", "lo", "hi"))], names=["key", "node", "n", "level", "pos", "lo", "hi"])
 
     return run
 
 
 def sets_of(filter_of, bits: int):
-    """(node, members) of the rows whose doc_id is in the filter."""
+    """(doc_id, d1, d2, members) of the rows whose doc_id is in the filter."""
 
     def run(batches):
         known = opened(filter_of)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             at = np.flatnonzero(has_all(known, places(mix(ids), bits))) if len(ids) else []
-            got = shingle_sets(b.column(1).take(pa.array(at, pa.int64())).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "members"])
+            for part in slices(b.take(pa.array(at, pa.int64())), 1):
+                got = shingle_sets(part.column(1).to_pylist())
+                ds = [digest(s) for s in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([d[k] for d in ds], pa.int64()) for k in (0, 1)), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["doc_id", "d1", "d2", "members"])
 
     return run
 
 
-def linked(batches):
+def near_enough(batches):
+    """(a, b) of pairs(a, b, n, x, y) that the bitmaps don't rule out: sets that link differ in at most n (100 - PERCENT) / (100 + PERCENT) shingles (n: both sizes together), and bitmaps in no more bits."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        far = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(b.column(3), b.column(4), strict=True)], np.int64)
+        keep = far * (100 + PERCENT) <= b.column(2).to_numpy(zero_copy_only=False) * (100 - PERCENT)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_enough(batches):
-    """(a, b, apart) of pairs that the bitmaps don't rule out: sets that link differ in at most (n + m)(100 - PERCENT) / (100 + PERCENT) shingles, and bitmaps in no more bits."""
-    for b in batches:
-        if not len(b):
-            continue
-        n = b.column(2).to_numpy(zero_copy_only=False) + b.column(3).to_numpy(zero_copy_only=False)
-        far = np.array([apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
-        keep = np.flatnonzero(far * (100 + PERCENT) <= n * (100 - PERCENT))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(far[keep])], names=["a", "b", "apart"])
+def size_class(n):
+    """Sizes that one list takes together: exact up to EXACT_CLASSES, then PER_DOUBLING to each doubling."""
+    return F.when(n <= EXACT_CLASSES, n).otherwise(EXACT_CLASSES + F.floor(F.log2(n / EXACT_CLASSES) * PER_DOUBLING + 1e-9)).cast("int")
+
+
+def tagged(keys: DataFrame) -> DataFrame:
+    """keys by lists, one for each pair of size classes: list, node, n, g (the node's class), h (its partners'), level, pos, lo, hi."""
+    x = keys.withColumn("g", size_class(F.col("n"))).withColumn("h", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
+    return x.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("list"), "node", "n", "g", "h", "level", "pos", "lo", "hi")
+
+
+def two_sided(rows: DataFrame) -> DataFrame:
+    """Of rows of lists (a table), those of lists that have nodes on both sides."""
+    n = rows.count()
+    sides = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("g").alias("x"), F.max("g").alias("y"), F.min("h").alias("z")).where("c > 1 and (x < y or x = z)")
+    both = sides.select("list", (F.col("c") * SHARE >= n).alias("heavy"))
+    return salted_join(rows, both, ["list"])
 
 
 class Join:
@@ -206,56 +237,57 @@ class Join:
         counts = np.zeros(BUCKETS, np.uint32) if counts is None else counts
         mean = counts.mean()
         heavy = np.where(counts > mean + 8 * np.sqrt(mean + 1) + 16, counts, 0).astype(np.uint32)
-        self.rows = written(self.docs.mapInArrow(features(self.spark.sparkContext.broadcast(heavy)), "doc_id long, n long, node binary, prefix array<long>, bitmap binary"), "features")
-        sizes = [(r["n"], r["c"]) for r in self.rows.where("n > 2").groupBy(F.least("n", F.lit(2 * MOST_SMALL)).alias("n")).agg(F.count("*").alias("c")).collect()]  # at most 2 x MOST_SMALL rows
+        self.rows = written(self.docs.mapInArrow(features(self.spark.sparkContext.broadcast(heavy)), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"), "features")
+        whole = self.rows.where("n > 0 and doc_id is not null")
+        self.classes = written(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
+        of = self.classes.where("n > 2").drop("n")
+        self.nodes = written(whole.where("n > 2").join(of, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "doc_id", "n", "prefix", "bitmap"), "nodes")
+        sizes = [(r["n"], r["c"]) for r in self.nodes.groupBy(F.least("n", F.lit(2 * MOST_SMALL)).alias("n")).agg(F.count("*").alias("c")).collect()]  # at most 2 x MOST_SMALL rows
         total_count = float(counts.sum(dtype=np.float64))
         length = max(0.0, float((counts.astype(np.float64) ** 2).sum()) / max(total_count, 1) - total_count / BUCKETS - 1)
         self.small = boundary(sizes, length)
+        self.sets = None
 
     def lists(self) -> None:
-        """The lists with at least two nodes; a document of each node."""
-        rows = self.rows.where("n > 2 and doc_id is not null").select("prefix", "n", "node")
-        expected = int(rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).collect()[0][0])
+        """The lists with nodes on both sides, and each of their nodes as its own component."""
+        expected = int(self.nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).collect()[0][0])
         bits = bits_for(expected, 8)
         small = self.small
-        twice = built(rows.select("prefix", "n"), lambda b: np.concatenate([np.zeros(0, np.uint64), *batch_keys(b, small)]), bits)
-        found = written(rows.mapInArrow(postings(twice, bits, small), "key long, node binary, n long").distinct(), "postings")
-        often = found.groupBy("key").count().where("count > 1").select("key")
-        self.found = written(found.join(often, "key"), "lists")
+
+        def hashes(b):
+            return np.concatenate([np.zeros(0, np.uint64), *(batch_keys(b.slice(at, FEW_ROWS), small)["key"] for at in range(0, len(b), FEW_ROWS))])
+
+        twice = built(self.nodes.select("prefix", "n"), hashes, bits)
+        keys = self.nodes.select("prefix", "n", "node").mapInArrow(postings(twice, bits, small), "key long, node long, n long, level int, pos int, lo int, hi int")
+        self.found = written(two_sided(written(tagged(keys), "postings")), "lists")
         self.parts = written(self.found.select("node", F.col("node").alias("part")).distinct(), "parts")
-        maps = self.rows.where("n > 2 and doc_id is not null").select("node", "bitmap").join(self.parts.select("node"), "node", "left_semi")
-        self.maps = written(maps.groupBy("node").agg(F.first("bitmap").alias("bitmap")), "maps")
-        self.sets = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, apart) of pairs(a, b, n, m) that the bitmaps don't rule out."""
-        x = pairs.join(self.maps.select(F.col("node").alias("a"), F.col("bitmap").alias("x")), "a").join(self.maps.select(F.col("node").alias("b"), F.col("bitmap").alias("y")), "b")
-        return x.select("a", "b", "n", "m", "x", "y").mapInArrow(near_enough, "a binary, b binary, apart long")
-
-    def placed(self) -> DataFrame:
-        """The lists whose nodes are in more than one component: key, node, n, part."""
-        lists = self.found.join(self.parts, "node")
-        open_ = lists.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        return lists.join(open_, "key")
+        """pairs(a, b, n), n being the sizes of both, without those that the bitmaps rule out."""
+        of = lambda a, x: self.nodes.select(F.col("node").alias(a), F.col("bitmap").alias(x))
+        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "n", "x", "y").mapInArrow(near_enough, "a long, b long")
 
     def have_sets(self, pairs: DataFrame) -> None:
         """Reads the sets of the pairs' nodes that aren't at hand: of one document each, found in a scan by a Bloom filter of their ids."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = written(self.rows.where("doc_id is not null").select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+            ids = ids.join(self.sets.select("node"), "node", "left_anti")
+        wanted = written(self.classes.join(ids, "node", "left_semi").select("node", "doc_id", "d1", "d2"), "wanted")
         n = wanted.count()
         if not n:
             return
         bits = bits_for(n, 16)
         once = built(wanted.select("doc_id"), lambda b: mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits, "once")
-        sets = self.docs.where("doc_id is not null").mapInArrow(sets_of(once, bits), "node binary, members binary")
-        sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        sets = self.docs.where("doc_id is not null").mapInArrow(sets_of(once, bits), "doc_id long, d1 long, d2 long, members array<long>")
+        sets = written(sets.join(wanted, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "members"), "sets")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        x = pairs.join(self.sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(self.sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-        return x.select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary")
+        """The pairs whose whole sets link."""
+        of = lambda a, x: self.sets.select(F.col("node").alias(a), F.col("members").alias(x))
+        both = F.size(F.array_intersect("x", "y")).cast("long")
+        x = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("n"))
+        return x.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * PERCENT).select("a", "b")
 
     def merge(self, links: DataFrame) -> int:
         """Joins the components that links(a, b) connect; how many such links there are."""
@@ -265,33 +297,71 @@ class Join:
         if not n:
             return 0
         roots = components(edges).withColumnRenamed("node", "part")
-        self.parts = written(self.parts.join(roots, "part", "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
+        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
         return n
 
+    def linked(self, pairs: DataFrame) -> int:
+        pairs = written(self.near(pairs), "pairs")
+        if pairs.isEmpty():
+            return 0
+        self.have_sets(pairs)
+        return self.merge(self.verified(pairs))
+
+    @staticmethod
+    def around(lists: DataFrame, info: DataFrame) -> DataFrame:
+        """Rows of lists with what is known of each list; those with at least 1 / SHARE of all rows, fewer than SHARE, by broadcast."""
+        on = ["list", "heavy"]
+        return lists.where("not heavy").join(info.where("not heavy"), on).unionByName(lists.where("heavy").join(F.broadcast(info.where("heavy")), on))
+
     fits = staticmethod(lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT))
 
     def star(self, k: int) -> int:
-        lists = self.placed()
-        firsts = [F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(PIVOTS * k + i))) for i in range(PIVOTS)]
-        pivots = lists.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("p")).select("key", F.explode("p").alias("p"))
-        met = lists.join(pivots, "key").where((F.col("part") != F.col("p.part")) & self.fits(F.col("n"), F.col("p.n")))
-        near = self.near(met.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m")).distinct())
-        best = written(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "pairs")
-        if best.isEmpty():
-            return 0
-        self.have_sets(best)
-        return self.merge(self.verified(best))
+        lists = self.found.select("list", "heavy", "node", "n", "lo", "hi").join(self.parts, "node")
+        firsts = [F.min_by("node", F.xxhash64("node", F.lit(PIVOTS * k + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        open_ = lists.groupBy("list", "heavy").agg(F.min("part").alias("x"), F.max("part").alias("y"), *firsts).where("x <> y")
+        pivots = open_.select("list", "heavy", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a"))
+        of = self.parts.join(self.nodes.select("node", "n"), "node").select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"))
+        met = self.around(lists, pivots.join(of, "a")).where((F.col("part") != F.col("pa")) & F.col("m").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
+        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"))
+        # the pivot with most lists in common; of equal ones, any fixed one
+        rank = F.col("c") * F.lit(1 << 20) + F.pmod(F.xxhash64("a"), F.lit(1 << 20))
+        best = pairs.groupBy("b").agg(F.max_by("a", rank).alias("a"), F.max_by("n", rank).alias("n"))
+        return self.linked(best.select("a", "b", "n"))
+
+    def split(self, long: DataFrame) -> DataFrame:
+        """Rows of lists, split by the next shingle that two nodes of a list have in common."""
+        x = long.join(self.nodes.select("node", "prefix"), "node")
+        upto = F.least(F.size("prefix"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("level") + 1)
+        rest = F.transform(F.slice("prefix", F.col("pos") + 2, F.greatest(F.lit(0), upto - F.col("pos") - 1).cast("int")), lambda s, i: F.struct(s.alias("s"), (F.col("pos") + 1 + i).alias("pos")))
+        x = x.withColumn("e", F.explode(rest))
+        overlap = F.col("n") - F.col("e.pos") + F.col("level")
+        hi = F.least(F.col("hi"), F.floor(overlap * (100 + PERCENT) / PERCENT + 1e-9) - F.col("n")).cast("int")
+        x = x.withColumn("hi", hi).where((F.col("hi") >= F.col("lo")) & (size_class(F.col("hi")) >= F.col("h")))
+        return x.select(F.xxhash64("list", "e.s").alias("list"), "node", "n", "g", "h", (F.col("level") + 1).alias("level"), F.col("e.pos").alias("pos"), "lo", "hi")
 
     def rest(self) -> None:
-        lists = self.placed()
-        common = lists.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("common"))
-        marked = lists.join(common, "key")
-        a = marked.where("part <> common").select("key", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"))
-        b = marked.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), (F.col("part") == F.col("common")).alias("in_common"))
-        pairs = a.join(b, "key").where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & self.fits(F.col("n"), F.col("m")))
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()  # near() needs the sum of the sizes only
-        near = written(self.near(both).select("a", "b"), "pairs")
+        lists, pairs = self.found, []
+        for step in range(DESCENTS + 1):
+            rows = written(lists.join(self.parts, "node"), "rows")
+            each = rows.groupBy("list", "heavy", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+            info = each.groupBy("list", "heavy").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.min("n").alias("least"))
+            info = written(info.where("outside > 0"), "info")
+            many = (F.col("outside") > SHORT) & (F.ceil(F.col("least") * PERCENT / 100) > F.col("level")) if step < DESCENTS else F.lit(False)
+            marked = self.around(rows, info)
+            now = marked.where(~many)
+            a = now.where("part <> common").select("list", "heavy", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"), F.col("lo").alias("x"), F.col("hi").alias("y"))
+            b = now.select("list", "heavy", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "lo", "hi", (F.col("part") == F.col("common")).alias("in_common"))
+            met = a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
+            both = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
+            pairs.append(written(self.near(both), "near"))
+            if step == DESCENTS or info.where(F.col("outside") > SHORT).isEmpty():
+                break
+            lists = two_sided(written(self.split(marked.where(many)), "split"))
+        near = pairs[0]
+        for p in pairs[1:]:
+            near = near.unionByName(p)
         if not near.isEmpty():
+            near = written(near.distinct(), "near")
             self.have_sets(near)
             self.merge(self.verified(near))
 
@@ -302,12 +372,10 @@ class Join:
             if self.star(k) <= WORTH * nodes:
                 break
         self.rest()
-        rows = self.rows.select("doc_id", "n", "node")
-        labelled = rows.where("node is not null and doc_id is not null").join(self.parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "doc_id")
-        by_node = labelled.groupBy("node", "part").agg(F.min("doc_id").alias("least"))
-        by_part = by_node.groupBy("part").agg(F.min("least").alias("component"))
-        classes = by_node.join(by_part, "part").select("node", "component")
-        out = rows.join(classes, "node", "left")
+        found = written(self.classes.select("node", "d1", "d2", "doc_id").join(self.parts, "node", "left").select("d1", "d2", "doc_id", F.coalesce("part", "node").alias("part")), "found")
+        least = found.groupBy("part").agg(F.min("doc_id").alias("component"))
+        classes = salted_join(found, least, ["part"]).select("d1", "d2", "component")
+        out = salted_join(self.rows.select("doc_id", "n", "d1", "d2"), classes, ["d1", "d2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -49,7 +49,11 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     lengths = np.diff(np.concatenate([starts, [len(where)]]))
     b = raw[where]
     inside = np.arange(len(b)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(TABLE[b] * _powers[inside & (len(_powers) - 1)], starts)
+    weights = _powers[inside & (len(_powers) - 1)]
+    if lengths.max() > len(_powers):  # BASE to the power of any place, from two tables
+        far = np.flatnonzero(inside >= len(_powers))
+        weights[far] *= (_powers[-1:] * BASE) ** (inside[far] // len(_powers)).astype(np.uint64)
+    sums = np.add.reduceat(TABLE[b] * weights, starts)
     hashes = mix(sums + lengths.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     stop = starts + lengths
     last = b[stop - 1].astype(np.uint32)
