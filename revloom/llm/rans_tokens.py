@@ -8,19 +8,20 @@ parallel; a CRC-32 of the ids and one of the frequency table guard the result.
 Layout of a block (little-endian): magic "RLT1", number of ids u32, CRC of ids u32, CRC of the table u32, lanes u16, checkpoints u16, words u32, documents u32; then per document its ids u32; the lanes' states u64; per
 checkpoint step u32, word u32 and the states; then the words u32.
 
-The order comes from bounds on doc_id (approximate quantiles; at most MOST_PARTS parts) and a sort inside each part; texts are compressed before that shuffle. A part's total is the only
-thing that the driver sees of it.
+The order comes from bounds on doc_id (approximate quantiles, for parts of PART_BYTES, beyond MANY_PARTS of them of up to MOST_PART_BYTES) and a sort inside each part; texts are compressed before that
+shuffle. A part's bound and total are the only things that the driver sees of it.
 
 Tokens are found for the distinct pieces of the tokenizer's own splitting rule, kept in a cache of bounded size in each worker; a text with a special token's string is
 encoded whole. The tokenizers library does all encoding.
 
-Defined results: a null or empty text is its end id alone. A null doc_id comes first. Rows that repeat a doc_id stand next to each other, ordered by text. Only doc_id and text are read.
+Defined results: a null or empty text is its end id alone. A null doc_id comes first. Rows that repeat a doc_id stand next to each other, ordered by a hash of the text. An empty table gives no
+blocks and no rows. A long text is one document of one block, however long. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import gc
-import itertools
+import json
 import re
 import struct
 import sys
@@ -33,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, total, written
+from .common import slices, table, total, written
 
 SCALE, LANES, CHECKPOINT, BLOCK_IDS, END_ID = 20, 512, 256, 1 << 18, 2
-JOINED = 1000
-LOW, MOST_PARTS, ROWS_PER_PART, CACHED = np.uint64(1 << 31), 4096, 4000, 1_000_000
+LOW, CACHED, LONGEST = np.uint64(1 << 31), 700_000, 200
+PART_BYTES, MANY_PARTS, MOST_PART_BYTES = 8 << 20, 4096, 256 << 20
 HEAD = struct.Struct("<4sIIIHHII")
 
 
@@ -47,6 +48,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The characters that stand for bytes in byte-level vocabularies; bytes that print stand for themselves, the others for 256 and up.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = sorted(set(range(256)) - set(_PRINTED))
+LETTERS = [chr(256 + _OTHERS.index(c)) if c in _OTHERS else chr(c) for c in range(256)]
+
+
+def letters(piece: str) -> str:
+    """A piece with each of its bytes as the character that stands for it."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", LETTERS[32])
+    return "".join(map(LETTERS.__getitem__, piece.encode()))
+
+
+class Known(dict):
+    """The ids of pieces as little-endian unsigned 16-bit integers; a new piece is encoded by the library when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        # With byte-level splitting and nothing else before the model, the model alone gives a piece's ids.
+        kind = json.loads(tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.bare = kind["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and kind["model"].get("dropout") is None
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.bare:
+            ids = [t.id for t in self.tokenize(letters(piece))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        got = array("H", ids).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = got
+        return got
+
+
 class Pieces:
     """Encodes texts by distinct pieces; one for each worker process and tokenizer file."""
 
@@ -61,39 +97,23 @@ class Pieces:
         # The same rule for texts without characters that Python's classes sort otherwise.
         self.fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.odd = frozenset("\x1c\x1d\x1e\x1f").union(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        """Puts pieces into the cache. Those of a space and letters are encoded JOINED at a time, as one text, which the splitting rule parts again where they meet; if it shouldn't, and for all others, each is encoded alone."""
-        plain, alone = [], []
-        for p in new:
-            (plain if p[0] == " " and p[1:].isalpha() else alone).append(p)
-        for k in range(0, len(plain), JOINED):
-            some = plain[k : k + JOINED]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            words = np.array(e.word_ids, np.int64)
-            cuts = [0, *(2 * (np.flatnonzero(np.diff(words)) + 1)).tolist(), 2 * len(words)]
-            if len(cuts) == len(some) + 1:
-                data = array("H", e.ids).tobytes()
-                self.cache.update(zip(some, [data[x:y] for x, y in itertools.pairwise(cuts)], strict=True))
-            else:
-                alone += some
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.cache[p] = array("H", e.ids).tobytes()
+        self.odd_ascii = re.compile("[\x1c-\x1f]").search
+        self.known = Known(self.tokenizer)
+
+    def plain(self, text: str) -> bool:
+        return not self.odd_ascii(text) if text.isascii() else self.odd.isdisjoint(set(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers, without an end id."""
-        split = [[] if any(s in t for s in self.special) else (self.fast if self.odd.isdisjoint(set(t)) else self.exact)(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        flat = list(itertools.chain.from_iterable(split))
-        got = list(map(self.cache.get, flat))
-        if None in got:
-            self.learn(list({p for p, v in zip(flat, got, strict=True) if v is None}))
-            get = self.cache.__getitem__
-            got = [get(p) if v is None else v for p, v in zip(flat, got, strict=True)]
-        ends = list(itertools.accumulate(map(len, split), initial=0))
-        return [b"".join(got[x:y]) if y > x else array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t, (x, y) in zip(texts, itertools.pairwise(ends), strict=True)]
+        if len(self.known) > CACHED:
+            self.known.clear()
+        known, out = self.known.__getitem__, []
+        for t in texts:
+            if any(s in t for s in self.special):
+                out.append(array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(known, (self.fast if self.plain(t) else self.exact)(t))))
+        return out
 
 
 _pieces: dict[str, Pieces] = {}
@@ -108,10 +128,17 @@ def pieces(path: str) -> Pieces:
     return _pieces[path]
 
 
-def packed(batches):
-    z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], names=["part", "doc_id", "z"])
+def packed(bounds: np.ndarray):
+    """(part, doc_id, h, z) of (doc_id, h, text): the part by the bounds, a null id in the first; the text compressed."""
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            ids = b.column(0)
+            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left"))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, b.column(1), pa.array([z.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], names=["part", "doc_id", "h", "z"])
+
+    return run
 
 
 def planes(ids: np.ndarray) -> bytes:
@@ -129,29 +156,30 @@ def blocks_of(path: str):
     def run(batches):
         encode, z = pieces(path), zstandard.ZstdDecompressor()
         gc.freeze()  # the cache holds no cycles
-        part, block, start, keys, sizes, held = None, 0, 0, [], [], []
+        part, block, start, n, keys, sizes, held = None, 0, 0, 0, [], [], []
 
         def row():
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), "<u2")
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([planes(ids)], pa.binary())],
                 names=["part", "block", "start", "doc_ids", "lengths", "ids"],
             )
 
+        end = int(END_ID).to_bytes(2, "little")
         for b in batches:
-            for at in range(0, len(b), 500):
-                some = b.slice(at, 500)
-                texts = [z.decompress(x).decode("utf-8", "replace") for x in some.column(2).to_pylist()]
+            for some in slices(b, 3):
+                texts = [z.decompress(x).decode("utf-8", "replace") for x in some.column(3).to_pylist()]
                 for p, doc_id, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), encode(texts), strict=True):
-                    if keys and (p != part or sum(sizes) >= BLOCK_IDS):
+                    if keys and (p != part or n >= BLOCK_IDS):
                         yield row()
-                        start, block = start + sum(sizes), block + 1
+                        start, block, n = start + n, block + 1, 0
                         keys, sizes, held = [], [], []
                     if p != part:
                         part, block, start = p, 0, 0
                     keys.append(doc_id)
                     sizes.append(len(ids) // 2 + 1)
-                    held.append(np.concatenate([np.frombuffer(ids, "<u2"), np.array([END_ID], "<u2")]))
+                    n += sizes[-1]
+                    held += (ids, end)
         if keys:
             yield row()
 
@@ -271,33 +299,28 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, np.
     """The corpus as a table of coded blocks in order of (part, block), and its frequency table."""
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    n = min(MOST_PARTS, max(1, -(-docs.count() // ROWS_PER_PART)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).collect()[0][0] or []
-    bounds = sorted(set(bounds)) if n > 1 else []
-    if bounds:
-        part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")
-    else:
-        part = F.lit(0)
-    small = rows.select(part.alias("part"), "doc_id", "text").mapInArrow(packed, "part int, doc_id long, z binary")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).collect()[0][0]
+    n = max(1, min(-(-size // PART_BYTES), MANY_PARTS), -(-size // MOST_PART_BYTES))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 4 * n))).collect()[0][0] if n > 1 else None  # n - 1 numbers
+    small = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(packed(np.unique(np.array(bounds or [], np.int64))), "part int, doc_id long, h long, z binary")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 4, 1)
-    ordered = small.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "z")
+    ordered = small.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "h")
     plain = written(ordered.mapInArrow(blocks_of(path), "part int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary"), "ids", "zstd")
     counts = total(plain.select("ids"), id_counts)
     freq = normalised(counts if counts is not None else np.zeros(1 << 16))
     return written(plain.mapInArrow(encoded(freq), BLOCKS), "rans"), freq
 
 
-def decoded(freq: np.ndarray, offsets: dict[int, int]):
+def decoded(freq: np.ndarray, offsets: np.ndarray):
     def run(batches):
         coder = Coder(freq)
         for b in batches:
             out = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32")}
             for part, start, keys, data in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 5)), strict=True):
                 ids, lengths = coder.decode(data)
-                flat, at = ids.astype("<u4"), 0
+                flat, at, first = ids.astype("<u4"), 0, int(offsets[part]) + start
                 for doc_id, n in zip(keys, lengths.tolist(), strict=True):
-                    for k, v in zip(out, (doc_id, offsets[part] + start + at, n, zlib.crc32(flat[at : at + n].tobytes())), strict=True):
+                    for k, v in zip(out, (doc_id, first + at, n, zlib.crc32(flat[at : at + n].tobytes())), strict=True):
                         out[k].append(v)
                     at += n
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
@@ -307,10 +330,11 @@ def decoded(freq: np.ndarray, offsets: dict[int, int]):
 
 def read(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
     """One row per document, from the coded blocks: doc_id, start, n_tokens, ids_crc32."""
-    sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # at most MOST_PARTS
-    offsets, at = {}, 0
-    for part in sorted(sizes):
-        offsets[part], at = at, at + sizes[part]
+    sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one number for each part
+    each = np.zeros(max(sizes, default=0) + 2, np.int64)
+    for part, n in sizes.items():
+        each[part + 1] = n
+    offsets = np.cumsum(each)
     return blocks.mapInArrow(decoded(freq, offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -387,3 +387,13 @@ def test_pieces(text):
     p = rans_tokens.pieces(rans_tokens.default_tokenizer())
     t = Tokenizer.from_file(rans_tokens.default_tokenizer())
     assert np.frombuffer(p([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_any_text():
+    """The ids of random texts of signs, letters and all kinds of white space are the library's."""
+    from tokenizers import Tokenizer
+
+    p, t, rng = rans_tokens.pieces(rans_tokens.default_tokenizer()), Tokenizer.from_file(rans_tokens.default_tokenizer()), random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "Be", " ", " ", "\n", "\t", "\xa0", "'s", "'", "1", "²", "é", ",", "_", "日", "'ll", "\u2003"], k=rng.randint(0, 12)))
+        assert np.frombuffer(p([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
