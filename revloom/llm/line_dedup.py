@@ -5,10 +5,12 @@ Each task does so for its own rows; tasks' filters merge segment by segment (twi
 two tasks is always in the merged "twice" filter. Filters have no false negatives. A second pass lets only lines whose keys are in
 the "twice" filter through: these few are shuffled with their whole keys for an exact count of documents and the smallest doc_id.
 
-The filter has 16 bits for each expected line, at most 2^30 (128 MB); beyond, more lines are suspected and shuffled, with the same result.
+The filter has 16 bits for each expected line, at most 2^30 (128 MB); beyond, more lines are suspected and shuffled, with the same result. A key that very many documents hold is dealt over many
+tasks when its first document is joined back.
 
 Defined results: a null or empty text is one empty line. A row with a null doc_id belongs to no document: its lines neither count nor drop.
-Rows that repeat a doc_id are one document; each keeps or loses its own lines. Only doc_id and text are read.
+Rows that repeat a doc_id are one document; each keeps or loses its own lines. An empty table gives no rows. Texts of any length are taken whole, in parts of batches cut by bytes. Only doc_id and text are
+read; rewrite() keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bits_for, built, has_all, opened, places
-from .common import table, written
+from .common import salted_join, slices, table, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -46,7 +48,7 @@ def line_hashes(texts, least: int):
 def suspects(filter_of, bits: int, least: int):
     def run(batches):
         twice = opened(filter_of)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             ids, where, keys, hashes = [], [], [], []
             for doc_id, th, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 seen = set()
@@ -73,12 +75,12 @@ def drops(docs: DataFrame, least: int = 10) -> DataFrame:
     twice = built(rows.select("text"), lambda b: np.fromiter(line_hashes(b.column(0).to_pylist(), least), dtype=np.uint64), bits)
     found = written(rows.mapInArrow(suspects(twice, bits, least), "doc_id long, th long, line_key binary"), "suspects")
     first = found.groupBy("line_key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("line_key", "first_id")
-    lost = found.join(first, "line_key").where("doc_id > first_id")
+    lost = salted_join(found, first, ["line_key"]).where("doc_id > first_id")
     return lost.groupBy("doc_id", "th").agg(F.collect_set("line_key").alias("keys"))
 
 
 def apply_drops(batches):
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 1)):
         out = {k: [] for k in ("doc_id", "kept", "n_lines", "n_dropped", "kept_sha256")}
         for doc_id, text, keys in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             lines = (text or b"").split(b"\n")
@@ -110,8 +112,12 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
 
 def rewrite(docs: DataFrame, least: int = 10) -> DataFrame:
     """The documents with the text that is left, its n_chars, and all their other columns."""
-    lost = drops(docs, least).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"), F.col("keys").alias("__keys"))
-    marked = docs.join(lost, (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__doc_id", "__th")
+    lost = drops(docs, least)
+    own = "lost"
+    while any(own in c.lower() for c in docs.columns):  # a name that no column of docs has
+        own += "_"
+    lost = lost.select(F.struct("doc_id", "th", "keys").alias(own))
+    marked = docs.join(lost, (docs["doc_id"] == F.col(f"{own}.doc_id")) & (F.xxhash64(docs["text"]) == F.col(f"{own}.th")), "left").select(*(docs[c] for c in docs.columns), F.col(f"{own}.keys").alias(own))
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):

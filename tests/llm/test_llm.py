@@ -10,8 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from revloom.llm import components, decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality, rans_tokens
+from revloom.llm import common, components, decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality, rans_tokens
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th int, keys string, node string, score string"
@@ -90,6 +91,17 @@ def test_line_dedup(spark, docs, texts):
     assert again.columns == docs.columns and sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in rows) == sorted(r[3] for r in got)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    odd = docs.withColumnsRenamed({"keys": "lost", "th": "__th", "node": "__doc_id", "score": "__keys"})
+    assert line_dedup.rewrite(odd).columns == odd.columns and sorted(map(str, (r.text for r in line_dedup.rewrite(odd).collect()))) == sorted(map(str, (r.text for r in rows)))
+
+
+def test_salted_join(spark):
+    """A key with most of the rows is dealt over many tasks; the rows are those of a plain join."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 < 2 THEN 7 WHEN id = 2 THEN NULL ELSE id END AS k", "id AS v")
+    info = spark.createDataFrame([(7, 1), (8, 2), (9, 3), (7, 4)], "k long, x int")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.salted_join(rows, info, ["k"], how).collect())) == sorted(map(str, rows.join(info, "k", how).collect()))
+    assert common.salted_join(rows, info, ["k"]).where("k = 7").groupBy(F.spark_partition_id()).count().count() > 1
 
 
 def components_plainly(texts):
