@@ -9,7 +9,8 @@ longer prefix; large sets are found through inverted lists of the shorter one, w
 cost of both is least. Keys in fewer than two sets are left out by two Bloom filters before anything is shuffled.
 
 The place of a key in a set's order bounds the overlap of pairs that have their first common shingles there, and so the sizes of the partners that the set may meet by this key. A list
-holds the sets of a key and of one pair of size classes; without sets on both sides it is dropped. Texts that share most of their words but too few to link thus meet in no list.
+holds the sets of a key; one of more than SHORT sets is cut into lists for each pair of size classes, of which those without sets on both sides are dropped. Texts that share most of their words but too few
+to link thus meet in no long list.
 
 Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. Rounds end with one that
 linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
@@ -224,7 +225,7 @@ def two_sided(rows: DataFrame) -> DataFrame:
     n = rows.count()
     sides = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("g").alias("x"), F.max("g").alias("y"), F.min("h").alias("z")).where("c > 1 and (x < y or x = z)")
     both = sides.select("list", (F.col("c") * SHARE >= n).alias("heavy"))
-    return salted_join(rows, both, ["list"])
+    return salted_join(rows, both, ["list"]).select("list", "node", "n", "g", "h", "level", "pos", "lo", "hi", "heavy")
 
 
 class Join:
@@ -258,9 +259,14 @@ class Join:
             return np.concatenate([np.zeros(0, np.uint64), *(batch_keys(b.slice(at, FEW_ROWS), small)["key"] for at in range(0, len(b), FEW_ROWS))])
 
         twice = built(self.nodes.select("prefix", "n"), hashes, bits)
-        keys = self.nodes.select("prefix", "n", "node").mapInArrow(postings(twice, bits, small), "key long, node long, n long, level int, pos int, lo int, hi int")
-        self.found = written(two_sided(written(tagged(keys), "postings")), "lists")
-        self.parts = written(self.found.select("node", F.col("node").alias("part")).distinct(), "parts")
+        keys = written(self.nodes.select("prefix", "n", "node").mapInArrow(postings(twice, bits, small), "key long, node long, n long, level int, pos int, lo int, hi int"), "postings")
+        sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("x"), F.max("n").alias("y")).where("c > 1")
+        met = written(salted_join(keys, sizes, ["key"]).where("hi >= x and lo <= y").drop("x", "y"), "met")
+        none = F.lit(None).cast("int")
+        short = met.where(F.col("c") <= SHORT).select(F.col("key").alias("list"), "node", "n", none.alias("g"), none.alias("h"), "level", "pos", "lo", "hi", F.lit(False).alias("heavy"))
+        long = two_sided(written(tagged(met.where(F.col("c") > SHORT)), "tagged"))
+        self.found = written(short.unionByName(long), "lists")
+        self.parts = written(self.found.groupBy("node").agg(F.max("n").alias("n")).select("node", F.col("node").alias("part"), "n"), "parts")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b, n), n being the sizes of both, without those that the bitmaps rule out."""
@@ -297,7 +303,7 @@ class Join:
         if not n:
             return 0
         roots = components(edges).withColumnRenamed("node", "part")
-        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
+        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part"), "n"), "parts")
         return n
 
     def linked(self, pairs: DataFrame) -> int:
@@ -316,11 +322,11 @@ class Join:
     fits = staticmethod(lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT))
 
     def star(self, k: int) -> int:
-        lists = self.found.select("list", "heavy", "node", "n", "lo", "hi").join(self.parts, "node")
+        lists = self.found.select("list", "heavy", "node", "lo", "hi").join(self.parts, "node")
         firsts = [F.min_by("node", F.xxhash64("node", F.lit(PIVOTS * k + i))).alias(f"p{i}") for i in range(PIVOTS)]
         open_ = lists.groupBy("list", "heavy").agg(F.min("part").alias("x"), F.max("part").alias("y"), *firsts).where("x <> y")
         pivots = open_.select("list", "heavy", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a"))
-        of = self.parts.join(self.nodes.select("node", "n"), "node").select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"))
+        of = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"))
         met = self.around(lists, pivots.join(of, "a")).where((F.col("part") != F.col("pa")) & F.col("m").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
         pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"))
         # the pivot with most lists in common; of equal ones, any fixed one
@@ -342,7 +348,7 @@ class Join:
     def rest(self) -> None:
         lists, pairs = self.found, []
         for step in range(DESCENTS + 1):
-            rows = written(lists.join(self.parts, "node"), "rows")
+            rows = written(lists.drop("n").join(self.parts, "node"), "rows")
             each = rows.groupBy("list", "heavy", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
             info = each.groupBy("list", "heavy").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.min("n").alias("least"))
             info = written(info.where("outside > 0"), "info")
