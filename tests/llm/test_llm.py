@@ -409,3 +409,35 @@ def test_pieces_of_any_text():
     for _ in range(3000):
         text = "".join(rng.choices(["a", "Be", " ", " ", "\n", "\t", "\xa0", "'s", "'", "1", "²", "é", ",", "_", "日", "'ll", "\u2003"], k=rng.randint(0, 12)))
         assert np.frombuffer(p([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_html_paths_plainly():
+    """The selection of paths against one written out anew, on random pages with boilerplate under names that mean nothing; without it other text comes out."""
+    rng = random.Random(21)
+    sentence = lambda n: " ".join(rng.choices(VOCABULARY, k=n)) + ", and so on."
+    for _ in range(30):
+        links = "".join(f"<a href=x>{w}</a>" for w in rng.choices(VOCABULARY, k=20))
+        parts = [f"<p>{sentence(rng.randint(20, 60))}</p>" for _ in range(rng.randint(3, 9))]
+        page = f"<body><div class=x1>{links}</div><div class=x2>" + "".join(parts) + f"</div><div class=x3><ul>{''.join(f'<li>{w}' for w in rng.choices(VOCABULARY, k=12))}</ul></div></body>"
+        got = html_extract.nodes(page)
+        rows = [(path, text.strip()) for _, path, _, text in got.texts if text.strip()]
+        order = list(dict.fromkeys(p for p, _ in rows))
+        ratio = lambda f: [sum(f(t) for q, t in rows if q == p) / sum(q == p for q, _ in rows) for p in order]  # noqa: E731,B023
+        weigh = lambda xs: [sum(math.exp(-((i - k) ** 2) / 2) * xs[k] for k in range(max(0, i - 2), min(len(xs), i + 3))) / sum(math.exp(-((i - k) ** 2) / 2) for k in range(max(0, i - 2), min(len(xs), i + 3))) for i in range(len(xs))]
+        each = [sum(q == p for q, _ in rows) for p in order]
+        signs = [x + 0.1 / n for x, n in zip(ratio(lambda t: len(re.findall(r"[.,;:!?]", t))), each, strict=True)]
+        fused = [math.sqrt(a * b * c * d) for a, b, c, d in zip(ratio(len), signs, weigh(ratio(len)), weigh(signs), strict=True)]
+        cut = 0.02 * float(np.std(fused))
+        assert html_extract.content_paths(got) == {p for p, x in zip(order, fused, strict=True) if x >= cut}
+        assert html_extract.main_text(page) == "\n\n".join(re.sub("</?p>", "", x) for x in parts)
+
+
+def test_html_hard_pages():
+    """Deep, broken and endless pages take time in proportion to their length."""
+    import time
+
+    began, n = time.process_time(), 20_000
+    assert html_extract.main_text("<div>x" * n).count("x") == n
+    for page in ("<a '" * n, "<a '>" * n + "<a '", "<b>" * n + "<p>x" * n, "<div>" * n + "</p>" * n, "<li>" * n, "<" * n, "<!--" * n, "<ul><li>x" * n, '<p title="a>b">Yes, it is.</p>' * n):
+        assert isinstance(html_extract.main_text(page), str)
+    assert time.process_time() - began < 20
