@@ -6,7 +6,8 @@ it is shown. encode() writes 8-bit samples as frames of WIDTH pixels a row on a
 Codes are cut out of a stream with one array operation for each run between clear codes: within a run, the width of the i-th code depends on i only.
 
 Defined results: a null text is an empty one; its payload is one unit of padding. A file that ends too early gives the frames and pixels read so far, the rest of a frame
-being 0; one that isn't a GIF gives no frames. A null doc_id is passed on. Repeated rows give repeated results. Only the columns named are read.
+being 0; one that isn't a GIF gives no frames. A null doc_id is passed on. Repeated rows give repeated results. An empty table gives no rows. A long text is one file of many frames. Only the columns
+named are read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 UNIT, WIDTH, ROWS = 576, 24, 144  # a frame has at most 24 x 144 samples, so that its codes stay below 4,096 without a clear code
 BINS = 8
@@ -32,6 +33,7 @@ class Frame:
     disposal: int
     pixels: np.ndarray  # height x width x 4, RGBA, as shown
     samples: np.ndarray  # the frame's own samples, in rows
+    palette: np.ndarray  # 256 x 3, the colours of samples
 
 
 def widths(first: int, n: int) -> np.ndarray:
@@ -210,8 +212,8 @@ def interlaced(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(media: bytes, shown: bool = True):
-    """The file's frames, in order. shown=False leaves their pixels out."""
+def decode(media: bytes):
+    """The file's frames, in order."""
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         return
     n16 = lambda k: int.from_bytes(media[k : k + 2], "little")
@@ -234,7 +236,7 @@ def decode(media: bytes, shown: bool = True):
     if flags & 0x80:
         common = palette(pos, flags & 7)
         pos += 3 * (2 << (flags & 7))
-    canvas = np.zeros((height, width, 4), np.uint8) if shown else None
+    canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear_to = 0, 0, None
     while pos < len(media):
         kind = media[pos]
@@ -259,20 +261,19 @@ def decode(media: bytes, shown: bool = True):
                 whole = np.empty_like(samples)
                 whole[interlaced(h)] = samples
                 samples = whole
-            if shown:
-                before = canvas.copy() if disposal == 3 else None
-                part = canvas[y : y + h, x : x + w]
-                seen = samples[: part.shape[0], : part.shape[1]]
-                rgba = np.concatenate([colours[seen], np.full((*seen.shape, 1), 255, np.uint8)], axis=2)
-                drawn = seen != clear_to if clear_to is not None else np.ones(seen.shape, bool)
-                part[drawn] = rgba[drawn]
-                yield Frame(10 * delay, disposal, canvas.copy(), samples)
-                if disposal == 2:
-                    part[:] = 0
-                elif disposal == 3:
-                    canvas = before
+            before = canvas.copy() if disposal == 3 else None
+            part = canvas[y : y + h, x : x + w]
+            seen = samples[: part.shape[0], : part.shape[1]]
+            if clear_to is None:
+                part[..., :3], part[..., 3] = colours[seen], 255
             else:
-                yield Frame(10 * delay, disposal, colours, samples)
+                drawn = seen != clear_to
+                part[drawn] = np.concatenate([colours[seen], np.full((*seen.shape, 1), 255, np.uint8)], axis=2)[drawn]
+            yield Frame(10 * delay, disposal, canvas.copy(), samples, colours)
+            if disposal == 2:
+                part[:] = 0
+            elif disposal == 3:
+                canvas = before
             delay, disposal, clear_to = 0, 0, None
         else:
             return
@@ -283,27 +284,36 @@ def histogram(values: np.ndarray) -> np.ndarray:
     return np.bincount(values.ravel() >> 5, minlength=BINS)
 
 
+FRAME = "frame int, start_ms long, delay_ms long, width int, height int, red array<long>, green array<long>, blue array<long>, transparent long"
+_hist = pa.list_(pa.int64())
+FRAME_ARROW = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("red", _hist), ("green", _hist), ("blue", _hist), ("transparent", pa.int64())])
+
+
+def described(got: list[Frame]) -> list[dict]:
+    """For each frame as shown: its place, start, delay, size, histograms of its drawn pixels by colour, and the number of transparent ones."""
+    out, at = [], 0
+    for k, f in enumerate(got):
+        clear = int((f.pixels[..., 3] == 0).sum())
+        drawn = f.pixels[f.pixels[..., 3] > 0] if clear else f.pixels.reshape(-1, 4)
+        out.append({"frame": k, "start_ms": at, "delay_ms": f.delay_ms, "width": f.pixels.shape[1], "height": f.pixels.shape[0], **{c: histogram(drawn[:, i]).tolist() for i, c in enumerate(("red", "green", "blue"))}, "transparent": clear})
+        at += f.delay_ms
+    return out
+
+
 def frames(media: DataFrame) -> DataFrame:
     """One row per frame of media(id, media): id, frame, start_ms, delay_ms, width, height, red, green, blue (histograms over drawn pixels), transparent (pixels)."""
 
     def run(batches):
-        names = ("id", "frame", "start_ms", "delay_ms", "width", "height", "red", "green", "blue", "transparent")
-        for b in batches:
-            rows = []
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = 0
-                for k, f in enumerate(decode(data or b"")):
-                    drawn = f.pixels[f.pixels[..., 3] > 0]
-                    rows.append((key, k, at, f.delay_ms, f.pixels.shape[1], f.pixels.shape[0], *(histogram(drawn[:, c]).tolist() for c in range(3)), int((f.pixels[..., 3] == 0).sum())))
-                    at += f.delay_ms
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            got = [described(list(decode(data or b""))) for data in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(FRAME_ARROW))], names=["id", "frames"])
 
-    return media.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, frame int, start_ms long, delay_ms long, width int, height int, red array<long>, green array<long>, blue array<long>, transparent long")
+    found = media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, f"id long, frames array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>")
+    return found.select("id", F.inline("frames"))
 
 
 def store_batches(batches):
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 1)):
         sizes, media = [], []
         for t in b.column(1).to_pylist():
             t = t or b""
@@ -318,18 +328,29 @@ def store(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(store_batches, "doc_id long, n_bytes long, media binary"), "gif")
 
 
+READ = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>"
+
+
 def read_back(batches):
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    for b in batches:
+    """Rows of a stored file: its digests, those of the samples it gives back, and its frames."""
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(FRAME_ARROW)]
+    for b in (part for whole in batches for part in slices(whole, 2)):
         rows = []
         for key, size, media in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            got = list(decode(media, shown=False))
-            payload = b"".join(np.ascontiguousarray(f.pixels[f.samples][..., 0]).tobytes() for f in got)  # the red of the palette's greys
-            counts = histogram(np.frombuffer(payload, np.uint8))
-            rows.append((key, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(got)}:{sum(f.delay_ms for f in got)}:" + ",".join(map(str, counts))))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            got = list(decode(media))
+            payload = b"".join(np.ascontiguousarray(f.palette[f.samples][..., 0]).tobytes() for f in got)  # the red of the palette's greys
+            rows.append((key, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(got)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """Stores the texts as files and their frames as a table of timed frames with colour histograms for each file; one row per document, its feature from that table: number of frames, length in ms, sums of the red histograms."""
+    stored = written(store(docs).mapInArrow(read_back, READ), "frames")
+    sums = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["red"], k)))
+    length = F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_ms"])
+    return stored.withColumn("feature", F.concat_ws(":", F.size("frames").cast("string"), length.cast("string"), F.array_join(sums.cast("array<string>"), ","))).drop("frames")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(table(spark, sf_dir, "documents")).mapInArrow(read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return features(table(spark, sf_dir, "documents"))
