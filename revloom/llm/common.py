@@ -68,14 +68,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE):
         at = upto
 
 
-def salted_join(rows: DataFrame, info: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, info: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with info (few rows for each key), whatever share of the rows one key has.
 
-    The keys with at least 1 / SHARE of the rows, of which there are at most SHARE, are found by an aggregate of key hashes; each is dealt over SALTS tasks, to which info's rows of that key go
-    all. rows are read twice and should be a table. Null keys of rows match nothing and stay where they are."""
+    The keys with at least 1 / SHARE of the rows, of which there are at most SHARE, are found by an aggregate of key hashes, or in counts, which has each key once with its `count` of rows; each is
+    dealt over SALTS tasks, to which info's rows of that key go all. rows (or counts) are read twice and should be a table. Null keys of rows match nothing and stay where they are."""
     key = F.xxhash64(*on)
     n = rows.count()
-    heavy = [r["k"] for r in rows.groupBy(key.alias("k")).count().where((F.col("count") * SHARE >= n) & (F.col("count") > FEW)).collect()]  # at most SHARE numbers
+    heavy = [r["k"] for r in (rows.groupBy(key.alias("k")).count() if counts is None else counts.select(key.alias("k"), "count")).where((F.col("count") * SHARE >= n) & (F.col("count") > FEW)).collect()]  # at most SHARE numbers
     if not heavy:
         return rows.join(info, on, how)
     left = rows.withColumn("__salt", F.when(key.isin(heavy), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(F.lit(0)))

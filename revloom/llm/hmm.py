@@ -4,25 +4,27 @@ A word's class is a fixed function of it: words of up to four bytes fall into CL
 own. A latent state emits a class and moves on; a class emits a word by its smoothed count. The probability of a text is therefore exact: the scaled
 forward recursion over its classes, times its words' probabilities within their classes; unknown words of a class share one more smoothed count.
 
-Training covers all training texts. Word counts are summed for each chunk of documents before they are shuffled, and a chunk gets the corpus counts of its own words only, so
-that no task ever holds the vocabulary. Baum-Welch starts from a model fitted to START_DOCS texts (a starting point only) and then makes PASSES passes over the whole corpus;
-each partition sums its expected counts, and the sums (STATES x CLASSES numbers, whatever the corpus) meet in a tree. In training, texts are cut after CUT tokens; in scoring never.
+Training covers all training texts, whole. Word counts are summed for each chunk of documents before they are shuffled, and a chunk gets the corpus counts of its own words only, so
+that no task ever holds the vocabulary; a word that nearly all chunks hold is dealt over many tasks. Baum-Welch starts from a model fitted to at most START_DOCS texts of at most START_BYTES together (a
+starting point only) and then makes passes over the whole corpus until the likelihood gains less than GAIN of itself, PASSES at most;
+each partition sums its expected counts, and the sums (STATES x CLASSES numbers, whatever the corpus) meet in a tree.
 
 Defined results: a null or empty text is its end token alone. Rows whose crc32(doc_id as text) mod 10 is 0 are held out; a null doc_id is not. Repeated rows are trained on as often as they occur
-and get equal scores. Without training rows every token is unknown. Only doc_id and text are read.
+and get equal scores. Without training rows every token is unknown. An empty table gives no rows. A long text is one sequence in training and scoring. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, total, written
+from .common import held_out, salted_join, table, total, written
 from .tokens import Words, mix
 
-STATES, CLASSES, PASSES, START_DOCS, START_PASSES, CUT, ALPHA = 12, 4096, 2, 1500, 12, 2048, 0.1
+STATES, CLASSES, PASSES, GAIN, ALPHA = 12, 4096, 3, 0.002, 0.1
+START_DOCS, START_BYTES, START_PASSES = 1500, 8 << 20, 12
 CHUNK_BYTES, CHUNK_DOCS, GROUP = 8 << 20, 2500, 500_000
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token's hash
 
@@ -88,15 +90,6 @@ def expected(obs, starts, lengths, pi, move, emit):
     return first, moves * move, emissions, logs.sum()
 
 
-def cut(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of at most CUT tokens, as starts and lengths."""
-    lengths = np.diff(at)
-    parts = -(-lengths // CUT)
-    which = np.repeat(np.arange(len(lengths)), parts)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return at[which] + k * CUT, np.minimum(lengths[which] - k * CUT, CUT)
-
-
 def grouped(batches, column: int, size: int):
     """Lists of texts of about `size` bytes."""
     got, n = [], 0
@@ -132,9 +125,8 @@ class Model:
         which = np.repeat(rng.integers(0, k, len(texts)), np.diff(at))
         emissions = np.stack([np.bincount(obs[which == i], minlength=CLASSES) for i in range(k)], axis=1).astype(float)
         model = Model.of(np.ones(k), np.eye(k) * 20 + 1, emissions)
-        starts, lengths = cut(at)
         for _ in range(START_PASSES):
-            model = Model.of(*expected(obs, starts, lengths, model.pi, model.move, model.emit)[:3])
+            model = Model.of(*expected(obs, at[:-1], np.diff(at), model.pi, model.move, model.emit)[:3])
         return model
 
     def counts(self, batches):
@@ -142,14 +134,14 @@ class Model:
         out = None
         for texts in grouped(batches, 0, 6 * GROUP):
             _, obs, at = with_ends(texts)
-            first, moves, emissions, _ = expected(obs, *cut(at), self.pi, self.move, self.emit)
-            new = np.concatenate([first, moves.ravel(), emissions.ravel()])
+            first, moves, emissions, likelihood = expected(obs, at[:-1], np.diff(at), self.pi, self.move, self.emit)
+            new = np.concatenate([first, moves.ravel(), emissions.ravel(), [likelihood]])
             out = new if out is None else out + new
         return out
 
     def after(self, sums: np.ndarray) -> Model:
         k = len(self.pi)
-        return Model.of(sums[:k], sums[k : k + k * k].reshape(k, k), sums[k + k * k :].reshape(CLASSES, k))
+        return Model.of(sums[:k], sums[k : k + k * k].reshape(k, k), sums[k + k * k : -1].reshape(CLASSES, k))
 
 
 def chunk_counts(batches):
@@ -227,24 +219,37 @@ def scorer(model: Model, n_all: int, v_all: int, class_n: np.ndarray, class_v: n
     return run
 
 
+def start_texts(train: DataFrame) -> list[bytes | None]:
+    """Texts to start from: those of the START_DOCS least hashes of doc_id, as far as they have START_BYTES together; a longer one is passed over."""
+    keyed = train.select("text", F.xxhash64("doc_id", F.lit(3)).alias("k"))
+    first = keyed.groupBy("k").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy("k").limit(START_DOCS).collect()  # START_DOCS pairs of numbers
+    chosen, size = [], 0
+    for r in first:
+        if size + r["size"] <= START_BYTES:
+            chosen.append(r["k"])
+            size += r["size"]
+    return [r["text"] for r in sorted(keyed.where(F.col("k").isin(chosen)).collect(), key=lambda r: (r["k"], r["text"] or b""))] if chosen else []
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = chunked(docs)
-    each = rows.select("chunk", "held_out", "text").mapInArrow(chunk_counts, "chunk long, h long, cls int, c long")
-    w = Window.partitionBy("h").orderBy("chunk")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = written(each.select("chunk", "h", "cls", F.sum("c").over(whole).alias("c"), (F.row_number().over(w) == 1).alias("one")), "counts")
+    each = written(rows.select("chunk", "held_out", "text").mapInArrow(chunk_counts, "chunk long, h long, cls int, c long"), "token_counts")
+    totals = written(each.groupBy("h").agg(F.sum("c").alias("c"), F.min("cls").alias("cls"), F.count("*").alias("count")), "totals")
     class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in counts.where("one and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
+    for r in totals.where("c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
         class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
     train = docs.where(~held_out(F.col("doc_id"), 10)).select("doc_id", F.col("text").cast("binary").alias("text"))
-    keyed = train.select("text", F.xxhash64("doc_id", F.lit(3)).alias("k"))
-    last = keyed.select("k").orderBy("k").limit(START_DOCS).agg(F.max("k")).collect()[0][0]  # keys first, so that no task sends texts that don't count
-    sample = [r["text"] for r in keyed.where(F.col("k") <= last).select("text").limit(2 * START_DOCS).collect()] if last is not None else []
-    model = Model.start(sample or [b""])
+    model, before = Model.start(start_texts(train) or [b""]), None
     for _ in range(PASSES):
         sums = total(train.select("text"), model.counts)
-        model = model.after(sums) if sums is not None else model
+        if sums is None:
+            break
+        model, likelihood = model.after(sums), sums[-1]
+        if before is not None and likelihood - before < GAIN * abs(before):
+            break
+        before = likelihood
+    counts = salted_join(each.select("chunk", "h"), totals.select("h", "c"), ["h"], counts=totals)
     run = scorer(model, int(class_n.sum()), int(class_v.sum()), class_n, class_v)
     return rows.groupBy("chunk").cogroup(counts.select("chunk", "h", "c").groupBy("chunk")).applyInArrow(run, SCORES)
 
