@@ -58,13 +58,34 @@ def test_packing(spark, docs, texts):
 
 @pytest.mark.parametrize("buckets", [1, 2, 3, 9])
 def test_best_edges(buckets):
+    """The least padding of all ways to cut the lengths, tried one by one."""
     rng = random.Random(buckets)
-    edges = sorted(rng.sample(range(1, 60), 7))
-    counts = [rng.randint(1, 9) for _ in edges]
-    cost = lambda cuts: sum(c * (min(x for x in cuts if x >= e) - e) for e, c in zip(edges, counts, strict=True))
-    got = packing.best_edges(*(np.array(x) for x in (edges, counts, [e * c for e, c in zip(edges, counts, strict=True)])), buckets)
-    best = min(cost((*c, edges[-1])) for k in range(min(buckets, 7)) for c in itertools.combinations(edges[:-1], k))
-    assert cost(got) == best and len(got) <= buckets
+    for _ in range(40):
+        lengths = np.array(sorted(rng.sample(range(1, 60), rng.randint(1, 8))))
+        counts = np.array([rng.randint(1, 9) for _ in lengths])
+        pad = lambda edges: sum(int(c) * (min(e for e in edges if e >= n) - int(n)) for n, c in zip(lengths, counts, strict=True))  # noqa: E731,B023
+        ways = [(*w, int(lengths[-1])) for k in range(min(buckets, len(lengths))) for w in itertools.combinations(lengths[:-1].tolist(), k)]
+        got = packing.best_edges(lengths, counts, buckets)
+        assert len(got) <= buckets and got == sorted(set(got)) and pad(got) == min(map(pad, ways))
+    assert packing.best_edges(np.zeros(0, int), np.zeros(0, int), buckets) == []
+
+
+def test_packing_plainly(spark, docs, texts):
+    """Batches and padding against a plain version with one shard: in each bucket documents by doc_id and length, as many to a batch as its edge allows."""
+    got = sorted(((r.n_tokens, r.bucket, r.bucket_edge, r.batch_id, r.padding) for r in packing.pack(docs, 3, 400).collect()))
+    rows = sorted(((i is not None, i or 0, len(WORD.findall((t or "").encode())) + 1) for i, t in texts))
+    hist = Counter(n for *_, n in rows)
+    edges = packing.best_edges(np.array(sorted(hist)), np.array([hist[k] for k in sorted(hist)]), 3)
+    want, seen = [], Counter()
+    for *_, n in rows:
+        k = next(i for i, e in enumerate(edges) if n <= e)
+        want.append((n, k, edges[k], seen[k] // max(1, 400 // edges[k]), edges[k] - n))
+        seen[k] += 1
+    assert got == sorted(want)
+    many = packing.pack(docs, 3, 400, rows_per_shard=7).collect()
+    assert sorted((r.n_tokens, r.bucket, r.padding) for r in many) == sorted((n, b, p) for n, b, _, _, p in want)
+    full = Counter((r.bucket, r.batch_id) for r in many)
+    assert full.keys() == Counter((b, k) for _, b, _, k, _ in want).keys() and all(full[b, k] == c for (b, k), c in Counter((b, k) for _, b, _, k, _ in want).items())
 
 
 def lines_plainly(texts):
@@ -306,12 +327,20 @@ def test_gif_frames():
 
 def test_gif_rows(spark, docs, texts):
     stored = gif_media.store(docs)
-    got = stored.mapInArrow(gif_media.read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
+    got = gif_media.features(docs).collect()
     pay = lambda t: t + b"\xff" * (-len(t) % 576 if t else 576)
     want = sorted(((i, len(t := (x or "").encode()), len(pay(t)), hashlib.sha256(pay(t)).hexdigest(), zlib.crc32(pay(t)[-32:])) for i, x in texts), key=str)
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got), key=str) == want
     f = gif_media.frames(stored.withColumnRenamed("doc_id", "id")).collect()
-    assert len(f) >= len(texts) and all(sum(r.red) == r.width * r.height for r in f)
+    assert len(f) >= len(texts) and all(sum(r.red) + r.transparent == r.width * r.height for r in f)
+    media = {r.doc_id: r.media for r in stored.collect()}
+    for r in got:
+        shown = [x.pixels for x in gif_media.decode(media[r.doc_id])] if r.doc_id is not None else None
+        if shown is not None and r.n_bytes == len((dict(texts).get(r.doc_id) or "").encode()):
+            red = [sum(int(((p[..., 3] > 0) & (p[..., 0] // 32 == k)).sum()) for p in shown) for k in range(8)]
+            assert r.feature == f"{len(shown)}:{100 * len(shown)}:{','.join(map(str, red))}"
+            assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+    assert gif_media.features(frame(spark, [])).count() == 0
 
 
 def test_hmm(docs, texts):
@@ -336,6 +365,59 @@ def test_forward_is_exact():
         assert abs(math.log10(p) - x) < 1e-9
 
 
+def test_expected_counts():
+    """Baum-Welch's counts against sums over all ways through the states, for sequences of different lengths."""
+    rng = np.random.default_rng(5)
+    k, pi, move, emit = 2, rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), np.zeros((hmm.CLASSES, 2))
+    emit[:4] = rng.dirichlet(np.ones(4), 2).T
+    obs, starts, lengths = rng.integers(0, 4, 9), np.array([0, 5, 6]), np.array([5, 1, 3])
+    first, moves, emissions, whole = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.CLASSES, k)), 0.0
+    for s, n in zip(starts, lengths, strict=True):
+        ways = [(z, pi[z[0]] * emit[obs[s], z[0]] * math.prod(move[z[i - 1], z[i]] * emit[obs[s + i], z[i]] for i in range(1, n))) for z in itertools.product(range(k), repeat=int(n))]
+        p = sum(w for _, w in ways)
+        whole += math.log10(p)
+        for z, w in ways:
+            first[z[0]] += w / p
+            for i in range(n):
+                emissions[obs[s + i], z[i]] += w / p
+                if i:
+                    moves[z[i - 1], z[i]] += w / p
+    got = hmm.expected(obs, starts, lengths, pi, move, emit)
+    for x, y in zip(got, (first, moves, emissions, whole), strict=True):
+        assert np.allclose(x, y, atol=1e-5)
+
+
+def test_hmm_score_plainly(spark):
+    """The score end to end: scaled forward over classes with the model fitted by hand on the same texts, times words within classes; likelihood doesn't fall from pass to pass."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(VOCABULARY[:60], k=rng.randint(0, 30)))) for i in range(80)]
+    got = {r.doc_id: r.score for r in hmm.score(frame(spark, texts)).collect()}
+    train = [t.encode() for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+    by_hash = sorted((r.k, r.doc_id) for r in frame(spark, texts).select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("k")).collect())
+    model, said = hmm.Model.start([dict(texts)[i].encode() for _, i in by_hash if zlib.crc32(str(i).encode()) % 10]), []
+    batch = lambda ts: hmm.pa.RecordBatch.from_pydict({"text": hmm.pa.array(ts, hmm.pa.binary())})
+    while len(said) < hmm.PASSES and (len(said) < 2 or said[-1] - said[-2] >= hmm.GAIN * abs(said[-2])):
+        sums = model.counts([batch(train)])
+        said.append(sums[-1])
+        model = model.after(sums)
+    assert all(b > a - 1 for a, b in itertools.pairwise(said))
+    h, cls, _ = hmm.with_ends(train)
+    counts, of = Counter(h.tolist()), dict(zip(h.tolist(), cls.tolist(), strict=True))
+    n, v = Counter(), Counter()
+    for w, c in counts.items():
+        n[of[w]] += c
+        v[of[w]] += 1
+    for i, t in texts:
+        h, cls, _ = hmm.with_ends([t.encode()])
+        a, want = None, 0.0
+        for k, c in enumerate(cls):
+            a = model.emit[c].astype(float) * (model.pi if a is None else a @ model.move)
+            want += math.log10(a.sum()) + (math.log10((counts[int(h[k])] + 0.1) / (n[c] + 0.1 * (v[c] + 1))) if k + 1 < len(cls) else 0)
+            a = a / a.sum()
+        assert abs(got[i] - want) < 0.02 + 1e-3 * abs(want), i
+    assert hmm.score(frame(spark, [])).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices(VOCABULARY, k=60)).capitalize() + "."
