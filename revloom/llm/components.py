@@ -1,15 +1,41 @@
-"""Connected components by alternating large and small stars, on tables."""
+"""Connected components by alternating large and small stars, on tables; at most ONE_TASK edges are left to one task."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+ONE_TASK = 100_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges(a, b), root being the least node that it reaches. No node's neighbours are ever collected."""
+
+def united(batches):
+    """(node, root) of the edges of one task."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p, q = root(x), root(y)
+            up[max(p, q)] = min(p, q)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) of every node of edges(a, b), numbers, root being the least node that it reaches. No node's neighbours are ever collected."""
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    if edges.limit(one_task + 1).count() <= one_task:
+        return edges.where("a <> b").coalesce(1).mapInArrow(united, "node long, root long")
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:

@@ -34,7 +34,7 @@ from .common import SHARE, pow2_at_least, salted_join, slices, table, total, wri
 from .components import components
 from .tokens import BASE, Words, mix
 
-K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.05
+K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.15
 BUCKETS, MOST_SMALL = 1 << 20, 64
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 SHORT, DESCENTS = 64, 3

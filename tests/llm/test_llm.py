@@ -183,8 +183,9 @@ def test_components(spark):
         p, q = root(a), root(b)
         if p != q:
             up[max(p, q)] = min(p, q)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
-    assert all(got.get(x, x) == root(x) for x in range(61))
+    for few in (0, 100):
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a int, b int"), few).collect()}
+        assert all(got.get(x, x) == root(x) for x in range(61))
 
 
 def test_decontamination(spark, docs, texts):
