@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Z = 1.959963984540054
+#: The deviation of 95 % intervals, the margin of equivalence.
+Z, MARGIN = 1.96, 0.2
 
 
 def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
@@ -38,15 +39,14 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
-def compared(k1: Column, n1: Column, k2: Column, n2: Column, margin: float = 0.05, z: float = Z) -> Column:
-    """struct(diff, p, low, high, within): pooled two-sided test, unpooled interval, and whether the interval lies inside the margin (F-51)."""
+def compared(k1: Column, n1: Column, k2: Column, n2: Column, margin: float = MARGIN, z: float = Z) -> Column:
+    """struct(diff, p, low, high, within): the first share less the second, pooled two-sided test, unpooled interval, and whether the interval lies inside the margin, its ends included (F-51)."""
     p1, p2 = k1 / n1, k2 / n2
     pool = (k1 + k2) / (n1 + n2)
     se0, se = F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)), F.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2)
-    diff = p2 - p1
-    p = F.when(se0 > 0, 2 * (1 - normal_cdf(F.abs(diff) / se0))).otherwise(F.when(diff == 0, 1.0).otherwise(0.0))
-    low, high = diff - z * se, diff + z * se
-    return F.struct(diff.alias("diff"), p.alias("p"), low.alias("low"), high.alias("high"), ((low > -margin) & (high < margin)).alias("within"))
+    diff = p1 - p2
+    p = F.when(se0 > 0, 2 * (1 - normal_cdf(F.abs(diff) / se0))).otherwise(1.0)
+    return F.struct(diff.alias("diff"), p.alias("p"), (diff - z * se).alias("low"), (diff + z * se).alias("high"), (F.abs(diff) + z * se <= margin).alias("within"))
 
 
 def holm(pvals: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
@@ -65,19 +65,26 @@ def summarise(trials: DataFrame, *keys: str) -> DataFrame:
     return n.select(*keys, "correct", "total", (F.col("correct") / F.col("total")).alias("pct"), low.alias("low"), high.alias("high"))
 
 
-def compare_runs(a: DataFrame, b: DataFrame, margin: float = 0.05) -> DataFrame:
-    """Two reports(bench, condition, correct, total): shared rows compared, the rest marked only_a or only_b (J-29, SET-08)."""
+def compare_runs(a: DataFrame, b: DataFrame, margin: float = MARGIN, z: float = Z) -> DataFrame:
+    """Two reports(bench, condition, correct, total): shared rows compared, the rest marked only_a or only_b (J-29, SET-08). Rows whose counts make no share (null, negative, none in all, more right than in all) are "invalid"."""
     x = a.select("bench", "condition", F.col("correct").alias("k1"), F.col("total").alias("n1"))
     y = b.select("bench", "condition", F.col("correct").alias("k2"), F.col("total").alias("n2"))
-    side = F.when(F.col("n2").isNull(), "only_a").when(F.col("n1").isNull(), "only_b").otherwise("both")
-    out = x.join(y, ["bench", "condition"], "full_outer").withColumn("side", side)
-    return out.withColumn("r", F.when(F.col("side") == "both", compared(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"), margin))).select("bench", "condition", "k1", "n1", "k2", "n2", "side", "r.*")
-
-
-def verdict(compared_rows: DataFrame) -> DataFrame:
-    """One row: regressed if any shared row fell significantly beyond the margin, incomparable if nothing is shared, else same or improved (X-76)."""
-    x = compared_rows.agg(F.count_if(F.col("side") == "both").alias("shared"), F.max((F.col("high") < 0).cast("int")).alias("worse"), F.max((F.col("low") > 0).cast("int")).alias("better"))
-    return x.select(F.when(F.col("shared") == 0, "incomparable").when(F.col("worse") == 1, "regressed").when(F.col("better") == 1, "improved").otherwise("same").alias("verdict"))
+    share = lambda k, n: F.coalesce((F.col(n) > 0) & F.col(k).between(0, F.col(n)), F.lit(False))
+    found = lambda c, k, n: c.select("*", share(k, n).alias(f"ok_{k}"), F.lit(True).alias(f"in_{k}"))
+    side = F.when(F.col("in_k2").isNull(), "only_a").when(F.col("in_k1").isNull(), "only_b").when(F.col("ok_k1") & F.col("ok_k2"), "both").otherwise("invalid")
+    out = found(x, "k1", "n1").join(found(y, "k2", "n2"), ["bench", "condition"], "full_outer").withColumn("side", side)
+    return out.withColumn("r", F.when(F.col("side") == "both", compared(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"), margin, z))).select("bench", "condition", "k1", "n1", "k2", "n2", "side", "r.*")
+
+
+def verdict(compared_rows: DataFrame, manifests: tuple[str | None, str | None], z: float = Z) -> DataFrame:
+    """One row (X-76): manifest_mismatch unless both runs name the same manifest; no_data if nothing is shared; regression if a shared row differs by Holm's step-down over p-values of four places, at the level that z
+    stands for; equivalent if every row's interval lies inside the margin; else inconclusive. With its exit code: 0 for equivalent, 1 for regression, 2 for all else."""
+    alpha = 2 * (1 - 0.5 * (1 + math.erf(z / math.sqrt(2))))
+    shared = compared_rows.where("side = 'both'").select("bench", "condition", F.round("p", 4).alias("p"), "within", F.lit(0).alias("part"))
+    x = holm(shared, ["part"], alpha=alpha).agg(F.count("*").alias("n"), F.max("rejected").alias("differs"), F.min("within").alias("all_within"))
+    name = F.lit("manifest_mismatch") if manifests[0] is None or manifests[0] != manifests[1] else F.when(F.col("n") == 0, "no_data").when(F.col("differs"), "regression").when(F.col("all_within"), "equivalent").otherwise("inconclusive")
+    out = x.select(name.alias("verdict"))
+    return out.withColumn("exit_code", F.when(F.col("verdict") == "equivalent", 0).when(F.col("verdict") == "regression", 1).otherwise(2))
 
 
 def detection(results: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the folder that the session names, or, where it names none, a local one."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="closure-", dir="/tmp/checkpoints"))
     return df.checkpoint()
@@ -22,7 +25,7 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, keep_st
     """Everything that edges(src, dst) reach from starts(root, node): (root, node, depth), depth being the least number of steps; a start is left out unless keep_starts. Cycles are safe: only new nodes go on. G-02 to G-04, G-06, G-07."""
     frontier = _cut(starts.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     seen, at = frontier, 0
-    links = edges.select("src", "dst").distinct()
+    links = _cut(edges.select("src", "dst").distinct())  # else every step would compute the edges anew
     while depth is None or at < depth:
         at += 1
         step = frontier.join(links, frontier["node"] == links["src"]).select("root", F.col("dst").alias("node")).distinct()

@@ -143,12 +143,12 @@ def recall_at_k(t):
     return retrieve.recall_at(ranked, wanted).select(*[F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in (1, 2, 3)])
 
 
-@query(f"""WITH a AS (SELECT doc_id AS id, unnest({words_sql("split_part(text, chr(10), 1)")}) AS tag FROM documents), b AS (SELECT doc_id AS id, unnest({words_sql("text[-200:]")}) AS tag FROM documents)
+@query(f"""WITH a AS (SELECT doc_id AS id, unnest({words_sql("text")}) AS tag FROM documents), b AS (SELECT id - 1 AS id, tag FROM a)
 SELECT id, tag, 'symbol' AS kind, 'add' AS op FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT id, tag, 'symbol', 'remove' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def posting_changes(t):
-    """SET-02, SNK-17, X-40: tags of a document's first line replaced by those of its end"""
-    one = lambda c: retrieve.tags(t.documents.select(F.col("doc_id").alias("id"), c.alias("text"))).where("kind = 'symbol'")
-    return retrieve.posting_changes(one(F.split("text", "\n")[0]), one(F.expr("right(text, 200)")))
+    """SET-02, SNK-17, X-40: tags of each document's whole text replaced by those of the next one's"""
+    old = retrieve.tags(t.documents.select(F.col("doc_id").alias("id"), "text")).where("kind = 'symbol'")
+    return retrieve.posting_changes(old, old.withColumn("id", F.col("id") - 1))
 
 
 @query(f"SELECT c.conv_id, c.turn, len(list_intersect({words_sql('c.text')}, {words_sql('d.text')})) AS shared FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1")
@@ -356,10 +356,10 @@ def blast_radius(t):
     return graph.blast_radius(A.edges(t), start).select("root", "node")
 
 
-@query(f"WITH RECURSIVE {A.EDGES}, starts AS (SELECT p_partkey AS node FROM part WHERE p_size = 50), r(root, node) AS (SELECT node, dst FROM starts JOIN edges ON src = node UNION SELECT root, dst FROM r JOIN edges ON src = node) SELECT root, node FROM r WHERE root <> node")
+@query(f"WITH RECURSIVE {A.EDGES}, starts AS (SELECT p_partkey AS node FROM part), r(root, node) AS (SELECT node, dst FROM starts JOIN edges ON src = node UNION SELECT root, dst FROM r JOIN edges ON src = node) SELECT root, node FROM r WHERE root <> node")
 def dependencies(t):
-    """G-03, X-51: all that the parts of size 50 depend on"""
-    return graph.dependencies(A.edges(t), t.part.where("p_size = 50").select(F.col("p_partkey").alias("node"))).select("root", "node")
+    """G-03, X-51: all that each part depends on"""
+    return graph.dependencies(A.edges(t), t.part.select(F.col("p_partkey").alias("node"))).select("root", "node")
 
 
 @query(f"WITH {A.EDGES} SELECT dst AS node, count(*) AS importers FROM edges GROUP BY dst")
@@ -482,19 +482,15 @@ def conflicts_peek(t):
     return coordination.conflicts(A.holds(t), _wanted(t))
 
 
-FEW_WANTED_SQL = "wanted AS (SELECT agent, min(file) AS file FROM all_wanted GROUP BY agent)"
-
-
-@query(f"""WITH {A.HOLDS}, {WANTED_SQL.replace("wanted AS", "all_wanted AS")}, {FEW_WANTED_SQL}, e AS (SELECT DISTINCT 'd' || (k % 7)::VARCHAR || '/' || k::VARCHAR AS src, 'd' || (d % 7)::VARCHAR || '/' || d::VARCHAR AS dst FROM (SELECT k, (k * 3 + 1) % 100 AS d FROM range(0, 100) r(k))),
+@query(f"""WITH {A.HOLDS}, {WANTED_SQL}, {A.EDGES}, e AS (SELECT DISTINCT 'd' || (src % 7)::VARCHAR || '/' || src::VARCHAR AS src, 'd' || (dst % 7)::VARCHAR || '/' || dst::VARCHAR AS dst FROM edges),
 r AS (SELECT agent, dst AS held_file, 0 AS rank FROM wanted JOIN e ON file = src UNION ALL SELECT agent, src, 1 FROM wanted JOIN e ON file = dst UNION ALL SELECT w.agent, h.file, 3 FROM wanted w JOIN holds h ON split_part(w.file, '/', 1) = split_part(h.file, '/', 1))
 SELECT r.agent, held_file, h.agent AS holder, h.task, CASE min(rank) WHEN 0 THEN 'imports' WHEN 1 THEN 'imported-by' ELSE 'same-dir' END AS relation FROM r JOIN holds h ON h.file = held_file WHERE h.agent <> r.agent AND (r.agent, held_file) NOT IN (SELECT agent, file FROM wanted) GROUP BY 1, 2, 3, 4""")
 def predict_conflicts(t):
     """J-13"""
     name = lambda k: F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/"), k.cast("string"))
-    e = t.spark.range(100).select(name(F.col("id")).alias("src"), name((F.col("id") * 3 + 1) % 100).alias("dst"))
-    wanted = _wanted(t).groupBy("agent").agg(F.min("file").alias("file"))
+    e = A.edges(t).select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst")).distinct()
     none = t.spark.createDataFrame([], "file string, other string")
-    return coordination.predict(A.holds(t), wanted, e, none)
+    return coordination.predict(A.holds(t), _wanted(t), e, none)
 
 
 @query("""WITH e AS (SELECT user_id AS agent, json_extract_string(props, '$.k') AS file, floor(epoch(ts))::BIGINT AS ts, event_id FROM events), f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 600 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY agent ORDER BY ts)),
@@ -562,7 +558,7 @@ def holm(t):
 
 
 @query("""WITH a AS (SELECT source AS bench, lang AS condition, count(*) FILTER (quality = 1) AS k1, count(*) AS n1 FROM labels JOIN documents USING (doc_id) WHERE lang <> 'fr' GROUP BY ALL), b AS (SELECT source AS bench, lang AS condition, count(*) FILTER (toxic = 0) AS k2, count(*) AS n2 FROM labels JOIN documents USING (doc_id) WHERE lang <> 'es' GROUP BY ALL)
-SELECT bench, condition, k1, n1, k2, n2, CASE WHEN n2 IS NULL THEN 'only_a' WHEN n1 IS NULL THEN 'only_b' ELSE 'both' END AS side, round(k2 / n2 - k1 / n1, 6) AS diff FROM a FULL JOIN b USING (bench, condition)""")
+SELECT bench, condition, k1, n1, k2, n2, CASE WHEN n2 IS NULL THEN 'only_a' WHEN n1 IS NULL THEN 'only_b' ELSE 'both' END AS side, round(k1 / n1 - k2 / n2, 6) AS diff FROM a FULL JOIN b USING (bench, condition)""")
 def run_compare(t):
     """J-29, SET-08, F-51"""
     x = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id")
@@ -578,6 +574,19 @@ def equivalence_tests(t):
     return n.where("lang <> 'en'").join(F.broadcast(en)).select("lang", stats.compared(F.col("k0"), F.col("n0"), F.col("k"), F.col("n")).alias("r")).select("lang", "r.*")
 
 
+REPORT_SQL = "x AS (SELECT source AS bench, lang AS condition, count(*) FILTER (quality = 1) AS k1, count(*) FILTER (toxic = 0) AS k2, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL)"
+
+
+@query(f"""WITH {REPORT_SQL}, y AS (SELECT *, k1 / n - k2 / n AS d, 1.96 * sqrt(k1 / n * (1 - k1 / n) / n + k2 / n * (1 - k2 / n) / n) AS half FROM x)
+SELECT bench, condition, round(d, 6) AS diff, round(d - half, 6) AS low, round(d + half, 6) AS high, abs(d) + half <= 0.2 AS within FROM y""")
+def certified(t):
+    """F-51, AGG-15: two reports of the same benches, with the intervals of their differences"""
+    x = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id")
+    report = lambda ok: x.groupBy(F.col("source").alias("bench"), F.col("lang").alias("condition")).agg(F.count_if(ok).alias("correct"), F.count("*").alias("total"))
+    got = stats.compare_runs(report(F.col("quality") == 1), report(F.col("toxic") == 0))
+    return got.select("bench", "condition", *(F.round(c, 6).alias(c) for c in ("diff", "low", "high")), "within")
+
+
 @query("""WITH d AS (SELECT conv_id AS qid, turn AS position, text, strlen(text) // 4 AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER w AS run, row_number() OVER w AS place FROM d WINDOW w AS (PARTITION BY qid ORDER BY position ROWS UNBOUNDED PRECEDING)) SELECT qid, position, tokens FROM r WHERE place = 1 OR run <= 100""")
 def budget_cut(t):
     """WIN-02, F-32"""
@@ -597,10 +606,10 @@ def session_rank(t):
     return brief.ranked_sessions(c).select("qid", "change", "lesson", "rank")
 
 
-@query(f"WITH {A.EDGES}, t AS (SELECT p_partkey AS qid, p_partkey AS file FROM part WHERE p_size = 3) SELECT qid, file FROM t UNION SELECT qid, dst FROM t JOIN edges ON file = src UNION SELECT qid, src FROM t JOIN edges ON file = dst")
+@query(f"WITH {A.EDGES}, t AS (SELECT p_partkey AS qid, p_partkey AS file FROM part) SELECT qid, file FROM t UNION SELECT qid, dst FROM t JOIN edges ON file = src UNION SELECT qid, src FROM t JOIN edges ON file = dst")
 def neighbourhood(t):
     """SET-04"""
-    return brief.neighbourhood(A.edges(t), t.part.where("p_size = 3").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("file")))
+    return brief.neighbourhood(A.edges(t), t.part.select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("file")))
 
 
 @query("SELECT event_type AS verb, count(*) AS calls, sum(floor(value))::BIGINT AS tokens_out, sum(user_id)::BIGINT AS displaced FROM events GROUP BY ROLLUP (event_type)")
@@ -725,9 +734,9 @@ def repacked(t):
 
 @query()
 def brief_by_part(t):
-    """X-01, FLT-18: briefs of the parts of size 3, from all the pieces"""
+    """X-01, FLT-18: briefs of all parts, from all the pieces"""
     e = A.edges(t)
-    targets = t.part.where("p_size = 3").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("file"), F.col("p_brand").alias("symbol"), F.col("p_name").alias("task"))
+    targets = t.part.select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("file"), F.col("p_brand").alias("symbol"), F.col("p_name").alias("task"))
     near = brief.neighbourhood(e, targets.select("qid", "file"))
     defs = near.join(t.part.select(F.col("p_partkey").alias("file"), F.col("p_name").alias("text")), "file").select("qid", F.col("file").alias("position"), "file", "text")
     conflicts = coordination.predict(

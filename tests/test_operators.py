@@ -309,3 +309,21 @@ def test_edge_feed(spark, tmp_path):
     spark.createDataFrame([(1, "a", False, ["y"]), (2, "b", True, []), (3, "c", False, ["a", "a"])], schema).write.parquet(str(tmp_path / "in"))
     feeds.maintain_edges(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp")).awaitTermination()
     assert rows(store.read()) == [("a", "y"), ("c", "a")]
+
+
+def test_run_verdicts(spark):
+    """Two runs: other manifests, nothing shared, a real change, equal within the margin, too few trials; impossible counts don't count."""
+    from revloom.functions import stats
+
+    def said(a, b, manifests=("m", "m")):
+        rows = lambda got: spark.createDataFrame([(k, "with", x, n) for k, (x, n) in got.items()], "bench string, condition string, correct int, total int")
+        return tuple(stats.verdict(stats.compare_runs(rows(a), rows(b)), manifests).collect()[0])
+
+    many = {"x": (450, 500), "y": (100, 500)}
+    assert said(many, many) == ("equivalent", 0)
+    assert said(many, many, ("m", "other")) == said(many, many, (None, None)) == ("manifest_mismatch", 2)
+    assert said(many, {"x": (300, 500), "y": (100, 500)}) == ("regression", 1)
+    assert said({"x": (5, 10)}, {"x": (5, 10)}) == ("inconclusive", 2)
+    assert said({"x": (5, 10)}, {"y": (5, 10)}) == said({"x": (5, 4)}, {"x": (5, 10)}) == ("no_data", 2)
+    r = stats.compare_runs(*(spark.createDataFrame([("x", "with", k, 100)], "bench string, condition string, correct int, total int") for k in (80, 70))).collect()[0]
+    assert abs(r.diff - 0.1) < 1e-12 and abs((r.high - r.low) / 2 - 1.96 * (0.8 * 0.2 / 100 + 0.7 * 0.3 / 100) ** 0.5) < 1e-12 and abs(r.p - 0.1025) < 1e-3
