@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import held_out, salted_join, table, total, written
 from .tokens import Words, mix
 
-STATES, CLASSES, PASSES, GAIN, ALPHA = 12, 4096, 3, 0.002, 0.1
+STATES, CLASSES, PASSES, GAIN, ALPHA = 12, 4096, 2, 0.002, 0.1
 START_DOCS, START_BYTES, START_PASSES = 1500, 8 << 20, 12
 CHUNK_BYTES, CHUNK_DOCS, GROUP = 8 << 20, 2500, 500_000
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token's hash
