@@ -274,6 +274,14 @@ def test_sessions(spark):
     assert p.count() == 3 and s.collect()[0].verification == "green"
 
 
+def test_go_imports_and_c_names(spark):
+    src = '// import "a"\npackage m /* import "b" */\nimport "fmt"; import f `raw/p`\nimport (\n "a/b" // c\n . "dot/x"\n _ "blank/y"\n /* "n" */ z "q")\nvar x = "import \\"q\\""\nimport "late"\n'
+    assert list(symbols._go_specs(src)) == ["fmt", "raw/p", "a/b", "dot/x", "blank/y", "q"]
+    assert not list(symbols._go_specs("")) and list(symbols._go_specs('import ("a" /* open')) == ["a"]
+    c = spark.createDataFrame([("  static int begin(int a) { if (a) { return f(a); } while (a) { } }\nint g(void);\nvoid h(x,\n y)\n{ }", "t")], "text string, k string")
+    assert sorted(c.select(symbols.c_functions(F.col("text"))).collect()[0][0]) == ["begin", "h"]
+
+
 def test_imports_and_symbols(spark):
     fs = spark.createDataFrame([
         ("src/a.ts", "import {x} from './b';\nimport y from \"../lib/c.js\";"), ("src/b.ts", ""), ("lib/c.ts", ""), ("p/m.py", "from . import q\nfrom .q import z\nimport p.q\n@dec\ndef f():\n    return g(1)\n\nclass C:\n    def h(self): pass\n"), ("p/q.py", ""), ("p/__init__.py", ""),
