@@ -14,7 +14,8 @@ to link thus meet in no long list.
 
 Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. Rounds end with one that
 linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
-nodes outside are split first, by the next shingle that two of their nodes have in common (at most DESCENTS times). Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
+nodes outside are split first, by the next shingle that two of their nodes have in common (at most DESCENTS times), where that leaves fewer pairs
+or more than LONG are outside. Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
 between different components is thus found; links inside one change nothing.
 
 Defined results: a text without words (or null) has an empty set and links with nothing. A null doc_id has a set but takes no part, and its component_id is null. Rows that repeat a doc_id
@@ -37,7 +38,7 @@ from .tokens import BASE, Words, mix
 K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.15
 BUCKETS, MOST_SMALL = 1 << 20, 64
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
-SHORT, DESCENTS = 64, 3
+SHORT, LONG, DESCENTS = 64, 1024, 3
 EXACT_CLASSES, PER_DOUBLING = 16, 8
 
 
@@ -225,7 +226,7 @@ def two_sided(rows: DataFrame) -> DataFrame:
     n = rows.count()
     sides = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("g").alias("x"), F.max("g").alias("y"), F.min("h").alias("z")).where("c > 1 and (x < y or x = z)")
     both = sides.select("list", (F.col("c") * SHARE >= n).alias("heavy"))
-    return salted_join(rows, both, ["list"]).select("list", "node", "n", "g", "h", "level", "pos", "lo", "hi", "heavy")
+    return salted_join(rows, both, ["list"]).select(*rows.columns, "heavy")
 
 
 class Join:
@@ -343,26 +344,37 @@ class Join:
         overlap = F.col("n") - F.col("e.pos") + F.col("level")
         hi = F.least(F.col("hi"), F.floor(overlap * (100 + PERCENT) / PERCENT + 1e-9) - F.col("n")).cast("int")
         x = x.withColumn("hi", hi).where((F.col("hi") >= F.col("lo")) & (size_class(F.col("hi")) >= F.col("h")))
-        return x.select(F.xxhash64("list", "e.s").alias("list"), "node", "n", "g", "h", (F.col("level") + 1).alias("level"), F.col("e.pos").alias("pos"), "lo", "hi")
+        return x.select(F.col("list").alias("up"), F.xxhash64("list", "e.s").alias("list"), "node", "n", "g", "h", (F.col("level") + 1).alias("level"), F.col("e.pos").alias("pos"), "lo", "hi")
+
+    def measured(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of lists with each node's component, and what is known of the lists of more than one component: the commonest, the nodes outside it, and the cost, at most so many pairs."""
+        rows = written(lists.drop("n").join(self.parts, "node"), "rows")
+        each = rows.groupBy("list", "heavy", "up", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        info = each.groupBy("list", "heavy", "up").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("c"), F.min("n").alias("least"))
+        return rows, written(info.where("outside > 0").select("list", "heavy", "up", "common", "outside", "least", (F.col("outside") * F.col("c")).alias("cost")), "info")
+
+    def compared(self, marked: DataFrame) -> DataFrame:
+        """The pairs of nodes of different components that meet in a list, one at least outside the commonest, as far as sizes and bitmaps allow."""
+        a = marked.where("part <> common").select("list", "heavy", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"), F.col("lo").alias("x"), F.col("hi").alias("y"))
+        b = marked.select("list", "heavy", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "lo", "hi", (F.col("part") == F.col("common")).alias("in_common"))
+        met = a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
+        both = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
+        return written(self.near(both), "near")
 
     def rest(self) -> None:
-        lists, pairs = self.found, []
+        many = (F.col("outside") > SHORT) & (F.ceil(F.col("least") * PERCENT / 100) > F.col("level"))
+        (rows, info), pairs = self.measured(self.found.withColumn("up", F.lit(None).cast("long"))), []
         for step in range(DESCENTS + 1):
-            rows = written(lists.drop("n").join(self.parts, "node"), "rows")
-            each = rows.groupBy("list", "heavy", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-            info = each.groupBy("list", "heavy").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.min("n").alias("least"))
-            info = written(info.where("outside > 0"), "info")
-            many = (F.col("outside") > SHORT) & (F.ceil(F.col("least") * PERCENT / 100) > F.col("level")) if step < DESCENTS else F.lit(False)
-            marked = self.around(rows, info)
-            now = marked.where(~many)
-            a = now.where("part <> common").select("list", "heavy", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"), F.col("lo").alias("x"), F.col("hi").alias("y"))
-            b = now.select("list", "heavy", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "lo", "hi", (F.col("part") == F.col("common")).alias("in_common"))
-            met = a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
-            both = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
-            pairs.append(written(self.near(both), "near"))
             if step == DESCENTS or info.where(F.col("outside") > SHORT).isEmpty():
+                pairs.append(self.compared(self.around(rows, info.drop("up"))))
                 break
-            lists = two_sided(written(self.split(marked.where(many)), "split"))
+            parts = written(self.split(self.around(rows, info.drop("up")).where(many)), "split")
+            below, under = self.measured(two_sided(parts))
+            # a list is split where that leaves fewer pairs, or where its own are too many not to try further; one none of whose parts has two components leaves none
+            cost = under.groupBy(F.col("up").alias("list")).agg(F.sum("cost").alias("below"))
+            info = written(info.join(cost, "list", "left").withColumn("pays", (F.coalesce("below", F.lit(0)) < F.col("cost")) | (F.col("outside") > LONG)), "chosen")
+            pairs.append(self.compared(self.around(rows, info.drop("up")).where(~(many & F.col("pays")))))
+            rows, info = below, salted_join(under, info.where("pays").select(F.col("list").alias("up")), ["up"])
         near = pairs[0]
         for p in pairs[1:]:
             near = near.unionByName(p)
