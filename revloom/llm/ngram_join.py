@@ -12,7 +12,8 @@ The place of a key in a set's order bounds the overlap of pairs that have their
 holds the sets of a key; one of more than SHORT sets is cut into lists for each pair of size classes, of which those without sets on both sides are dropped. Texts that share most of their words but too few
 to link thus meet in no long list.
 
-Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. Rounds end with one that
+Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. A list's first pivot is the
+node that meets most others in all its lists, which is the text that a group of copies was made from or one close to it; so a group is one component after a round or two, and few of its pairs are left. Rounds end with one that
 linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
 nodes outside are split first, by the next shingle that two of their nodes have in common (at most DESCENTS times), where that leaves fewer pairs
 or more than LONG are outside. Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
@@ -216,9 +217,9 @@ def size_class(n):
 
 
 def tagged(keys: DataFrame) -> DataFrame:
-    """keys by lists, one for each pair of size classes: list, node, n, g (the node's class), h (its partners'), level, pos, lo, hi."""
+    """keys by lists, one for each pair of size classes: list, node, n, g (the node's class), h (its partners'), level, pos, lo, hi, w (how many sets have the key)."""
     x = keys.withColumn("g", size_class(F.col("n"))).withColumn("h", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
-    return x.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("list"), "node", "n", "g", "h", "level", "pos", "lo", "hi")
+    return x.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("list"), "node", "n", "g", "h", "level", "pos", "lo", "hi", F.col("c").alias("w"))
 
 
 def two_sided(rows: DataFrame) -> DataFrame:
@@ -264,10 +265,11 @@ class Join:
         sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("x"), F.max("n").alias("y")).where("c > 1")
         met = written(salted_join(keys, sizes, ["key"]).where("hi >= x and lo <= y").drop("x", "y"), "met")
         none = F.lit(None).cast("int")
-        short = met.where(F.col("c") <= SHORT).select(F.col("key").alias("list"), "node", "n", none.alias("g"), none.alias("h"), "level", "pos", "lo", "hi", F.lit(False).alias("heavy"))
+        short = met.where(F.col("c") <= SHORT).select(F.col("key").alias("list"), "node", "n", none.alias("g"), none.alias("h"), "level", "pos", "lo", "hi", F.col("c").alias("w"), F.lit(False).alias("heavy"))
         long = two_sided(written(tagged(met.where(F.col("c") > SHORT)), "tagged"))
-        self.found = written(short.unionByName(long), "lists")
-        self.parts = written(self.found.groupBy("node").agg(F.max("n").alias("n")).select("node", F.col("node").alias("part"), "n"), "parts")
+        found = written(short.unionByName(long), "lists")
+        self.found = found.drop("w")
+        self.parts = written(found.groupBy("node").agg(F.max("n").alias("n"), F.sum("w").alias("w")).select("node", F.col("node").alias("part"), "n", F.floor(F.log2(F.col("w") + 1) * (1 << 13)).alias("w")), "parts")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b, n), n being the sizes of both, without those that the bitmaps rule out."""
@@ -304,7 +306,7 @@ class Join:
         if not n:
             return 0
         roots = components(edges).withColumnRenamed("node", "part")
-        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part"), "n"), "parts")
+        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part"), "n", "w"), "parts")
         return n
 
     def linked(self, pairs: DataFrame) -> int:
@@ -324,14 +326,17 @@ class Join:
 
     def star(self, k: int) -> int:
         lists = self.found.select("list", "heavy", "node", "lo", "hi").join(self.parts, "node")
-        firsts = [F.min_by("node", F.xxhash64("node", F.lit(PIVOTS * k + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        # the node that meets most others in its lists, in later rounds that of a quarter, so that no pair comes twice for sure; then any nodes
+        tried = F.lit(True) if not k else F.pmod(F.xxhash64("node", F.lit(-k)), F.lit(4)) == 0
+        firsts = [F.max_by("node", F.when(tried, F.col("w"))).alias("p0")]
+        firsts += [F.min_by("node", F.xxhash64("node", F.lit(PIVOTS * k + i))).alias(f"p{i}") for i in range(1, PIVOTS)]
         open_ = lists.groupBy("list", "heavy").agg(F.min("part").alias("x"), F.max("part").alias("y"), *firsts).where("x <> y")
-        pivots = open_.select("list", "heavy", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a"))
-        of = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"))
+        pivots = open_.select("list", "heavy", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a")).where("a is not null")
+        of = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"), F.col("w").alias("wa"))
         met = self.around(lists, pivots.join(of, "a")).where((F.col("part") != F.col("pa")) & F.col("m").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
-        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"))
-        # the pivot with most lists in common; of equal ones, any fixed one
-        rank = F.col("c") * F.lit(1 << 20) + F.pmod(F.xxhash64("a"), F.lit(1 << 20))
+        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"), F.max("wa").alias("wa"))
+        # the pivot with most lists in common; of equal ones, the one that meets most others
+        rank = F.col("c") * F.lit(1 << 20) + F.col("wa")
         best = pairs.groupBy("b").agg(F.max_by("a", rank).alias("a"), F.max_by("n", rank).alias("n"))
         return self.linked(best.select("a", "b", "n"))
 
@@ -348,7 +353,7 @@ class Join:
 
     def measured(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of lists with each node's component, and what is known of the lists of more than one component: the commonest, the nodes outside it, and the cost, at most so many pairs."""
-        rows = written(lists.drop("n").join(self.parts, "node"), "rows")
+        rows = written(lists.drop("n").join(self.parts.drop("w"), "node"), "rows")
         each = rows.groupBy("list", "heavy", "up", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
         info = each.groupBy("list", "heavy", "up").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("c"), F.min("n").alias("least"))
         return rows, written(info.where("outside > 0").select("list", "heavy", "up", "common", "outside", "least", (F.col("outside") * F.col("c")).alias("cost")), "info")
