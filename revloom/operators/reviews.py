@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import objects
 
 VERDICTS = ["approve", "request-changes", "reject", "comment"]
 
@@ -47,3 +48,10 @@ def proof(changed: DataFrame) -> DataFrame:
 
 def proof_tally(proved: DataFrame) -> DataFrame:
     return proved.agg(*[F.count_if(F.col("proof") == k).alias(k) for k in ("covered", "untested", "test")])
+
+
+def record(reviews: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows that recording new(target, reviewer, by_human, verdict, summary, labels, findings) appends: each with its id, once each, without those of other verdicts, without a target, and those already stored (SNK-16, X-23)."""
+    body = ["target", "reviewer", "by_human", "verdict", "summary", "labels", "findings"]
+    named = new.where(F.col("verdict").isin(VERDICTS) & F.col("target").isNotNull()).withColumn("id", objects.object_id("review", F.to_json(F.struct(*body))))
+    return objects.put(reviews, named.select("id", *body))

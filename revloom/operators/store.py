@@ -100,3 +100,13 @@ def sessions_of(log: DataFrame, sessions: DataFrame, path_changes: DataFrame | N
 def replaceable(events: DataFrame) -> DataFrame:
     """events(kind, author, d, created_at, seq, ...): the last of each kind, author and tag; of one time, the later arrival (WIN-10, SRC-37)."""
     return history.latest(events.withColumn("at", F.struct("created_at", "seq")), ["kind", "author", "d"], "at").drop("at").orderBy(F.desc("created_at"))
+
+
+def pins(log: DataFrame) -> DataFrame:
+    """log(symbol, lesson, seq) -> the lesson pinned to each symbol, by symbol: a later pin overwrites, a null lesson takes the pin away (SNK-12, X-33)."""
+    return history.latest(log, ["symbol"], "seq").where("lesson is not null").orderBy("symbol")
+
+
+def bytes_at(listing: DataFrame, wanted: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The content at wanted(change, path), by way of listing(change, path, id) of files only; a path that is no file, or whose blob is gone, gives no row (FLT-14). blobs(id, content)."""
+    return wanted.distinct().join(listing.select("change", "path", "id"), ["change", "path"]).join(blobs.select("id", "content"), "id").select("change", "path", "id", "content")

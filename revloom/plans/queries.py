@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as T
-from ..operators import brief, coordination, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, trees
+from ..operators import brief, coordination, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -747,3 +747,75 @@ def brief_by_part(t):
     sessions = brief.ranked_sessions(c.join(targets.select("qid"), "qid", "left_semi"))
     pins = brief.pins_for(t.part.groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_type").alias("lesson")), targets.select("qid", "symbol"))
     return brief.assemble(targets, brief.within_budget(defs, 200), near, conflicts, sessions, pins).select("qid", "json")
+
+
+# Saved graphs, pins, recorded reviews, contents, redaction, texts of errors and headers
+
+
+@query(f"WITH {A.EDGES} SELECT p_partkey::VARCHAR AS file, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 7 * p_size END::BIGINT AS mtime, p_size::BIGINT AS size, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS imports FROM part LEFT JOIN edges ON src = p_partkey WHERE p_partkey % 11 <> 0 GROUP BY p_partkey, p_size")
+def loaded_graph(t):
+    """SRC-33"""
+    imports = A.edges(t).groupBy(F.col("src").alias("p_partkey")).agg(F.transform(F.array_sort(F.collect_set("dst")), lambda d: d.cast("string")).alias("imports"))
+    mtime = F.when(F.col("p_partkey") % 3 == 0, "none").otherwise((7 * F.col("p_size")).cast("string"))
+    file = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_partkey").cast("string"))
+    files = t.part.join(imports, "p_partkey", "left").select(file.alias("file"), mtime.alias("mtime"), F.col("p_size").cast("long").alias("size"), F.coalesce("imports", F.array().cast("array<string>")).alias("imports"))
+    return graph.loaded(graph.saved(files).withColumn("seq", F.lit(0))).withColumn("imports", F.array_join("imports", ","))
+
+
+@query("""WITH r AS (SELECT l_partkey AS symbol, 'kept by ' || l_suppkey AS lesson, l_quantity < 5 AS gone, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM lineitem) SELECT symbol, lesson FROM r WHERE rn = 1 AND NOT gone""")
+def listed_pins(t):
+    """SNK-12, X-33"""
+    lesson = F.when(F.col("l_quantity") >= 5, F.concat(F.lit("kept by "), F.col("l_suppkey").cast("string")))
+    return store.pins(t.lineitem.select(F.col("l_partkey").alias("symbol"), lesson.alias("lesson"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("seq"))).select("symbol", "lesson")
+
+
+@query(f"""WITH {A.REVIEWS}, n AS (SELECT DISTINCT target, reviewer, by_human, CASE WHEN target % 7 = 0 THEN 'maybe' ELSE verdict END AS verdict, summary FROM reviews JOIN documents ON doc_id = target)
+SELECT sha256(chr(5) || '{{"target":' || target || ',"reviewer":"' || reviewer || '","by_human":' || by_human || ',"verdict":"' || verdict || '","summary":"' || summary || '","labels":["' || reviewer || '","' || lang || '"],"findings":[]}}') AS id, target, reviewer, verdict FROM n JOIN documents ON doc_id = target WHERE verdict <> 'maybe'""")
+def recorded_reviews(t):
+    """SNK-16, X-23"""
+    new = A.reviews(t).drop("id").withColumn("verdict", F.when(F.col("target") % 7 == 0, "maybe").otherwise(F.col("verdict")))
+    return reviews.record(t.spark.createDataFrame([], "id string"), new).select("id", "target", "reviewer", "verdict")
+
+
+@query(f"WITH {A.CHANGE_FILES} SELECT change, path, id, s_name AS content FROM change_files JOIN supplier ON s_suppkey::VARCHAR = id WHERE s_suppkey % 10 <> 0")
+def bytes_at(t):
+    """FLT-14"""
+    files = A.change_files(t)
+    blobs = t.supplier.where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("content"))
+    return store.bytes_at(files, files.select("change", "path"), blobs)
+
+
+SECRET_RUN_SQL = "regexp_full_match(p, '" + "|".join(["A[KS]IA[A-Z0-9]{16}", *(f"{p}[A-Za-z0-9_-]{{{n},}}" for p, n in T.PREFIXES)]) + "') OR (regexp_full_match(p, 'sk-[A-Za-z0-9_-]{20,}') AND regexp_matches(p[4:], '[A-Z]') AND regexp_matches(p[4:], '[0-9]'))"
+
+
+@query(rf"""WITH k AS (SELECT doc_id, regexp_replace(text, '(?s)-----BEGIN [^\n]*PRIVATE KEY[^\n]*\n.*?-----END [^\n]*(?:\n|\z)', '[REDACTED-PRIVATE-KEY]', 'g') AS text FROM documents),
+  s AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), lambda p: CASE WHEN {SECRET_RUN_SQL} THEN '[REDACTED-SECRET]' ELSE p END), '') AS text FROM k)
+SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{{9,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}', '\1[REDACTED-JWT]', 'g') AS text FROM s""")
+def scrub_secrets(t):
+    """F-10, F-11, F-12"""
+    return t.documents.select("doc_id", T.scrub_secrets(F.col("text")).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 IN (4, 6) OR p_size = 0 THEN NULL ELSE p_size * CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 ELSE 1099511627776 END END::BIGINT AS bytes FROM part""")
+def size_texts(t):
+    """F-34"""
+    unit = F.element_at(F.array(*map(F.lit, ["", "k", "MiB", " gb", "x", "T ", "k-"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return t.part.select("p_partkey", T.size_of(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+MESSAGES = ["No such file: ", "fatal: not a git repository ", "Usage: pin ", "no history yet, commit first ", "out of memory "]
+
+
+@query(f"SELECT p_partkey, {[*MESSAGES]}[1 + p_partkey % 5] || p_name AS message, ['not_found', 'not_a_repo', 'usage', 'no_history', 'error'][1 + p_partkey % 5] AS kind FROM part")
+def error_kinds(t):
+    """F-28"""
+    message = F.concat(F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("p_partkey") % 5 + 1).cast("int")), "p_name")
+    return t.part.select("p_partkey", message.alias("message")).withColumn("kind", T.error_kind(F.col("message")))
+
+
+@query("SELECT o_orderkey, 'c' || o_custkey || ' <c' || o_custkey || '@x.org>' AS who, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE epoch(o_orderdate) END::BIGINT AS ts FROM orders")
+def author_headers(t):
+    """F-29"""
+    c = F.col("o_custkey").cast("string")
+    when = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit(" "), T.epoch_seconds("o_orderdate").cast("string"), F.lit(" +0200")))
+    return t.orders.select("o_orderkey", T.author(F.concat(F.lit("c"), c, F.lit(" <c"), c, F.lit("@x.org>"), when)).alias("a")).select("o_orderkey", "a.*")

@@ -335,3 +335,27 @@ def test_run_verdicts(spark):
     assert said({"x": (5, 10)}, {"y": (5, 10)}) == said({"x": (5, 4)}, {"x": (5, 10)}) == ("no_data", 2)
     r = stats.compare_runs(*(spark.createDataFrame([("x", "with", k, 100)], "bench string, condition string, correct int, total int") for k in (80, 70))).collect()[0]
     assert abs(r.diff - 0.1) < 1e-12 and abs((r.high - r.low) / 2 - 1.96 * (0.8 * 0.2 / 100 + 0.7 * 0.3 / 100) ** 0.5) < 1e-12 and abs(r.p - 0.1025) < 1e-3
+
+
+def test_saved_graph(spark):
+    """Lines without a file are skipped, numbers that are none are 0, a file's last line counts, a table without lines gives none."""
+    from revloom.operators import graph
+
+    lines = [("a\t5\t7\tb\tc", 0), ("\t1\t2\td", 1), ("b\tx", 2), ("c", 3), ("", 4), (None, 5), ("a\t6\t8\td", 6)]
+    got = graph.loaded(spark.createDataFrame(lines, "value string, seq int"))
+    assert rows(got) == [("a", 6, 8, ["d"]), ("b", 0, 0, []), ("c", 0, 0, [])]
+    assert rows(graph.loaded(graph.saved(got).selectExpr("value", "0 AS seq"))) == rows(got)
+    assert rows(graph.loaded(spark.createDataFrame([], "value string, seq int"))) == []
+
+
+def test_pins_reviews_contents(spark):
+    from revloom.operators import reviews, store
+
+    log = spark.createDataFrame([("f", "old", 1), ("f", "new", 2), ("g", "gone", 1), ("g", None, 2), ("a", "x", 1)], "symbol string, lesson string, seq int")
+    assert [tuple(r) for r in store.pins(log).collect()] == [("a", "x"), ("f", "new")]
+    new = spark.createDataFrame([("t", "r", True, "reject", "s", ["l"], [])] * 2 + [("t", "r", True, "odd", "s", ["l"], []), (None, "r", True, "reject", "s", ["l"], [])], "target string, reviewer string, by_human boolean, verdict string, summary string, labels array<string>, findings array<string>")
+    once = reviews.record(spark.createDataFrame([], "id string"), new)
+    assert once.count() == 1 and reviews.record(once, new).count() == 0
+    listing = spark.createDataFrame([("c", "a/b", "1"), ("c", "d", "2")], "change string, path string, id string")
+    wanted = spark.createDataFrame([("c", "a/b"), ("c", "a/b"), ("c", "a"), ("c", "d"), ("x", "d")], "change string, path string")
+    assert rows(store.bytes_at(listing, wanted, spark.createDataFrame([("1", "one")], "id string, content string"))) == [("c", "a/b", "1", "one")]
