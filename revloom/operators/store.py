@@ -104,7 +104,7 @@ def replaceable(events: DataFrame) -> DataFrame:
 
 def pins(log: DataFrame) -> DataFrame:
     """log(symbol, lesson, seq) -> the lesson pinned to each symbol, by symbol: a later pin overwrites, a null lesson takes the pin away (SNK-12, X-33)."""
-    return history.latest(log, ["symbol"], "seq").where("lesson is not null").orderBy("symbol")
+    return history.latest(log, ["symbol"], "seq").where("lesson is not null").select("symbol", "lesson").orderBy("symbol")
 
 
 def bytes_at(listing: DataFrame, wanted: DataFrame, blobs: DataFrame) -> DataFrame:
