@@ -785,15 +785,26 @@ def bytes_at(t):
     return store.bytes_at(files, files.select("change", "path"), blobs)
 
 
+#: What is put behind each text, since the table holds no secrets: five kinds that go and three that stay.
+PLANTED_SQL = r"""[' ghp_' || repeat('a1B2', 9), ' (AKIA' || repeat('Q7', 8) || ')', chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END RSA PRIVATE KEY-----' || chr(10), ' "sk-' || repeat('aB3', 8) || '".',
+  ' eyJ' || repeat('x', 12) || '.' || repeat('y', 9) || '.' || repeat('z', 9) || ',', ' ghp_short', ' xghp_' || repeat('a1B2', 9), ' sk-' || repeat('abc', 8)]"""
+
+
+def _planted():
+    r, say = (lambda x, n: F.repeat(F.lit(x), F.lit(n))), (lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x]))
+    key = "\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----\n"
+    return F.array(say(" ghp_", r("a1B2", 9)), say(" (AKIA", r("Q7", 8), ")"), F.lit(key), say(' "sk-', r("aB3", 8), '".'), say(" eyJ", r("x", 12), ".", r("y", 9), ".", r("z", 9), ","), F.lit(" ghp_short"), say(" xghp_", r("a1B2", 9)), say(" sk-", r("abc", 8)))
+
+
 SECRET_RUN_SQL = "regexp_full_match(p, '" + "|".join(["A[KS]IA[A-Z0-9]{16}", *(f"{p}[A-Za-z0-9_-]{{{n},}}" for p, n in T.PREFIXES)]) + "') OR (regexp_full_match(p, 'sk-[A-Za-z0-9_-]{20,}') AND regexp_matches(p[4:], '[A-Z]') AND regexp_matches(p[4:], '[0-9]'))"
 
 
-@query(rf"""WITH k AS (SELECT doc_id, regexp_replace(text, '(?s)-----BEGIN [^\n]*PRIVATE KEY[^\n]*\n.*?-----END [^\n]*(?:\n|\z)', '[REDACTED-PRIVATE-KEY]', 'g') AS text FROM documents),
+@query(rf"""WITH k AS (SELECT doc_id, regexp_replace(text || {PLANTED_SQL}[1 + doc_id % 8], '(?s)-----BEGIN [^\n]*PRIVATE KEY[^\n]*\n.*?-----END [^\n]*(?:\n|\z)', '[REDACTED-PRIVATE-KEY]', 'g') AS text FROM documents),
   s AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), lambda p: CASE WHEN {SECRET_RUN_SQL} THEN '[REDACTED-SECRET]' ELSE p END), '') AS text FROM k)
 SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{{9,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}', '\1[REDACTED-JWT]', 'g') AS text FROM s""")
 def scrub_secrets(t):
     """F-10, F-11, F-12"""
-    return t.documents.select("doc_id", T.scrub_secrets(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", T.scrub_secrets(F.concat("text", F.element_at(_planted(), (F.col("doc_id") % 8 + 1).cast("int")))).alias("text"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 IN (4, 6) OR p_size = 0 THEN NULL ELSE p_size * CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 ELSE 1099511627776 END END::BIGINT AS bytes FROM part""")
