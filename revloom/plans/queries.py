@@ -541,7 +541,7 @@ def scrub_emails(t):
 WILSON_SQL = "(p + z * z / (2 * n) {0} z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)"
 
 
-@query(f"""WITH s AS (SELECT lang, count(*) FILTER (quality = 1) AS correct, count(*) AS n, 1.959963984540054 AS z FROM labels JOIN documents USING (doc_id) GROUP BY lang), q AS (SELECT *, correct / n AS p FROM s)
+@query(f"""WITH s AS (SELECT lang, count(*) FILTER (quality = 1) AS correct, count(*) AS n, 1.96 AS z FROM labels JOIN documents USING (doc_id) GROUP BY lang), q AS (SELECT *, correct / n AS p FROM s)
 SELECT lang, correct, n AS total, round(p, 6) AS pct, round(greatest(0, {WILSON_SQL.format("-")}), 6) AS low, round(least(1, {WILSON_SQL.format("+")}), 6) AS high FROM q""")
 def wilson_by_lang(t):
     """F-50, AGG-15"""
