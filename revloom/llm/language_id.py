@@ -5,7 +5,7 @@ all texts to learn from: every task counts its own, the counts are summed by Spa
 is the sum, over the document's n-grams, of how many ranks each is out of place there, and `size` for one that the profile lacks. The language of the least distance is predicted; score is 1 less the distance over the
 greatest that there is (`size` for every n-gram).
 
-Profiles are `size` ranks a language. They are sent to all tasks, and there may be at most LANGUAGES languages; more are an error that says so.
+Profiles are at most `size` ranks a language. They are sent to all tasks and may have at most LANGUAGES * size ranks together, as many as LANGUAGES full ones; more are an error that says so. `longest` is at most 3.
 
 Defined results: a null text, and one without a letter, is `und` with score 0; so is every text if nothing was learned. A null doc_id isn't held out and is learned from. Rows that repeat a doc_id are scored each. Of equally
 frequent n-grams the smaller in byte order ranks first; of equally distant languages the smaller wins. An empty table gives no rows. Texts are taken whole, in parts that end between words. Only doc_id, text and lang are read,
@@ -141,7 +141,7 @@ def profiles(docs: DataFrame, longest: int = LONGEST, size: int = SIZE) -> dict[
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     got = ranked.limit(LANGUAGES * size + 1).collect()  # the bound of what is sent
     if len(got) > LANGUAGES * size:
-        raise ValueError(f"there are more than {LANGUAGES} languages to learn")
+        raise ValueError(f"the profiles have more than {LANGUAGES * size} n-grams")
     out: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"].encode(), r["rank"])):
         out.setdefault(r["lang"], []).append(r["gram"])
