@@ -1,8 +1,9 @@
 """Phrase collocations by prefix-projected pattern growth.
 
 Three passes over whole texts. The first counts words. The second counts pairs of neighbouring frequent words, which prunes the third: that one projects an occurrence pointer for every place where a frequent
-pair begins, together with what can still follow it (at most `longest` words, up to the first pair that isn't frequent). Equal projections of a task are one row with a count. Each frequent prefix then is one
-group of one task, which grows it to the right, depth first: the pointers of a prefix are a range of sorted rows, the ranges of its extensions lie inside it, and a range below the threshold isn't entered.
+pair begins, together with what can still follow it (at most `longest` words, up to the first pair that isn't frequent). Equal projections of a task are one with a count. Prefixes are dealt into buckets of about BUCKET
+pointers, and a task packs its pointers to each bucket into one row. All pointers of a prefix so meet in one task, which grows it to the right, depth first: the pointers of a prefix are a range of sorted rows, the ranges
+of its extensions lie inside it, and a range below the threshold isn't entered.
 
 A prefix is a pair. A pair with more than 1 / SHARE of all pointers or with more than GROUP of them is hot: its pointers are dealt out by one word more (and so on while the last pair is hot), and the shorter prefixes
 of these come as counts. So a group has at most that many pointers, or one row for each task of the third pass.
@@ -34,7 +35,7 @@ from .common import salted_join, slices, table, written
 from .tokens import mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-MOST, GROUP, SHARE, FEW = 4_000_000, 1_000_000, 2000, 1000
+MOST, GROUP, BUCKET, SHARE, FEW = 4_000_000, 1_000_000, 250_000, 2000, 1000
 PART, HELD = 1 << 19, 1_000_000
 
 STOP = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -200,18 +201,26 @@ def merged(some: list) -> tuple[np.ndarray, np.ndarray]:
     return p, np.bincount(where, np.concatenate([n for _, n in some]), len(p)).astype(np.int64)
 
 
-def project(words: Known, pairs: Known, hot: Known, seed: int, longest: int):
-    """For mapInArrow: lang, size (of the prefix that the pointers go to), window (the numbers of `longest` words, big-endian, 0 beyond its end), n."""
-    kind = ">u4" if words.exact else ">u8"
+def bucket_of(lang: str, m: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each row's prefix."""
+    h = np.full(len(m), hash_of(lang), np.uint64)
+    for k in range(1, m.shape[1] - 1):
+        h = np.where(m[:, 0] >= k, mix(h * ODD + m[:, k]), h)
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def project(words: Known, pairs: Known, hot: Known, seed: int, longest: int, buckets: int):
+    """For mapInArrow: lang, bucket, pointers. A row has a task's pointers to the prefixes of one bucket, packed."""
 
     def run(batches):
         of, held = Hash(seed), {}
 
         def rows(lang, m):
-            data = m[:, 1:-1].astype(kind).tobytes()
-            ends = np.arange(len(m) + 1, dtype=np.int32) * (longest * np.dtype(kind).itemsize)
-            window = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(m), pa.string()), pa.array(m[:, 0].astype(np.int32)), window, pa.array(m[:, -1].astype(np.int64))], names=["lang", "size", "window", "n"])
+            bucket = bucket_of(lang, m, buckets)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
+            packed = [pack(m[own], words.exact) for own in np.split(order, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(packed), pa.string()), pa.array(bucket[order[first]]), pa.array(packed, pa.binary())], names=["lang", "bucket", "pointers"])
 
         for lang, texts in grouped(batches):
             code, both = codes(words, of, lang, texts)
@@ -255,6 +264,18 @@ def project(words: Known, pairs: Known, hot: Known, seed: int, longest: int):
     return run
 
 
+def pack(m: np.ndarray, narrow: bool) -> bytes:
+    """Rows of pointers column by column, in 32 bits where all but the counts fit."""
+    return m[:, :-1].T.astype(np.uint32 if narrow else np.uint64).tobytes() + m[:, -1].tobytes()
+
+
+def unpacked(data: bytes, narrow: bool, longest: int) -> np.ndarray:
+    width = 4 if narrow else 8
+    n = len(data) // ((longest + 1) * width + 8)
+    left = np.frombuffer(data, np.uint32 if narrow else np.uint64, n * (longest + 1)).reshape(longest + 1, n)
+    return np.vstack([left.astype(np.uint64), np.frombuffer(data, np.uint64, n, n * (longest + 1) * width)[None, :]]).T
+
+
 def summed(m: np.ndarray) -> np.ndarray:
     """Rows that are equal but for their last column as one with its sum."""
     m = m[np.lexsort(m[:, -2::-1].T)]
@@ -264,33 +285,24 @@ def summed(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(width: int, longest: int, least: int):
-    """For mapInArrow over rows lang, size, window, n in the order of their prefixes: the frequent phrases, as lang, phrase, size, a."""
-    kind = ">u4" if width == 4 else ">u8"
+def grow(narrow: bool, longest: int, least: int):
+    """For mapInArrow over rows lang, bucket, pointers in the order of their buckets: the frequent phrases, as lang, phrase, size, a."""
+    kind = ">u4" if narrow else ">u8"
 
     def run(batches):
-        held = None
+        key, held = None, []
         for b in batches:
-            if not len(b):
-                continue
-            window = np.frombuffer(b"".join(b.column(2).to_pylist()), kind).reshape(-1, longest)
-            new = [np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), window.astype(np.uint64), b.column(3).to_numpy()]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            first = groups(*held[:3])
-            if len(first) > 1:
-                yield grown([x[: first[-1]] for x in held], first[:-1])
-                held = [x[first[-1] :] for x in held]
-        if held is not None:
-            yield grown(held, groups(*held[:3]))
-
-    def groups(lang, size, window):
-        """Where each prefix begins."""
-        same = (window[1:] == window[:-1]).cumprod(axis=1).sum(axis=1)
-        return np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (size[1:] != size[:-1]) | (same < size[1:])]))
-
-    def grown(rows, first):
-        lang, size, window, n = rows
-        upto = np.concatenate([[0], np.cumsum(n)])
+            for lang, bucket, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and key != (lang, bucket):
+                    yield grown(key[0], summed(np.concatenate(held)))
+                    held = []
+                key = lang, bucket
+                held.append(unpacked(data, narrow, longest))
+        if held:
+            yield grown(key[0], summed(np.concatenate(held)))
+
+    def grown(lang, m):
+        size, window, upto = m[:, 0].astype(np.int64), m[:, 1:-1], np.concatenate([[0], np.cumsum(m[:, -1].astype(np.int64))])
         found = []
 
         def extend(low, high, depth):
@@ -298,17 +310,19 @@ def grow(width: int, longest: int, least: int):
             count = int(upto[high] - upto[low])
             if count < least:
                 return
-            found.append((lang[low], window[low, :depth].astype(kind).tobytes(), depth, count))
+            found.append((window[low, :depth].astype(kind).tobytes(), depth, count))
             if depth < longest:
                 last = window[low:high, depth]
                 begin = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1, [high - low]]) + low
                 for k in np.flatnonzero((upto[begin[1:]] - upto[begin[:-1]] >= least) & (window[begin[:-1], depth] > 0)):
                     extend(int(begin[k]), int(begin[k + 1]), depth + 1)
 
-        for low, high in zip(first.tolist(), [*first[1:].tolist(), len(n)], strict=True):
+        same = (window[1:] == window[:-1]).cumprod(axis=1).sum(axis=1)
+        first = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (same < size[1:])]))
+        for low, high in zip(first.tolist(), [*first[1:].tolist(), len(m)], strict=True):
             extend(low, high, int(size[low]))
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "a"])
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), *(pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True))], names=["lang", "phrase", "size", "a"])
 
     return run
 
@@ -335,9 +349,10 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     from_n = max(min(max(every_pointer // share, FEW), group), every_pointer // most)
     hot, known = Known(pairs.where(F.col("n") > from_n), "pair", most), Known(pairs, "pair", most)
 
-    pointers = rows.mapInArrow(project(words, known, hot, seed, longest), "lang string, size int, window binary, n long").withColumn("prefix", F.expr(f"substring(window, 1, size * {width})"))
-    by_prefix = pointers.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "window").select("lang", "size", "window", "n")
-    phrases = written(by_prefix.mapInArrow(grow(width, longest, least), "lang string, phrase binary, size int, a long"), "phrases")
+    buckets = max(1, -(-every_pointer // BUCKET))
+    pointers = rows.mapInArrow(project(words, known, hot, seed, longest, buckets), "lang string, bucket long, pointers binary")
+    by_bucket = pointers.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    phrases = written(by_bucket.mapInArrow(grow(words.exact, longest, least), "lang string, phrase binary, size int, a long"), "phrases")
 
     def numbered(batches):
         for b in batches:
