@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import dealt_join
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the folder that the session names, or, where it names none, a local one."""
@@ -36,6 +38,38 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, keep_st
     return seen if keep_starts else seen.where("depth > 0")
 
 
+def ends(pointers: DataFrame) -> DataFrame:
+    """pointers(id, up), each id once -> (id, last, depth): where the way up ends, and after how many steps; last is null (and depth too) where it runs into a cycle. Pointers are doubled: log2 rounds for the longest way."""
+    state = _cut(pointers.select("id", F.col("up").alias("last"), F.lit(1).cast("long").alias("depth")))
+    steps, most = 1, state.count()
+    while steps <= most:
+        inner = state.select(F.col("id").alias("last"), F.col("last").alias("next"), F.col("depth").alias("d"))
+        x = dealt_join(state, inner, ["last"], "left")
+        state = _cut(x.select("id", F.coalesce("next", "last").alias("last"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.drop("moved")
+        state, steps = state.drop("moved"), steps * 2
+    left = state.select("id").withColumnRenamed("id", "last").withColumn("endless", F.lit(True))  # whoever still stands on an id with a way up never comes to an end
+    x = dealt_join(state, left, ["last"], "left")
+    return x.select("id", *(F.when(F.col("endless").isNull(), F.col(c)).alias(c) for c in ("last", "depth")))
+
+
+def along(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """starts(root, node), pointers(id, up), each id once and without a cycle -> (root, node, depth): all nodes on the way up from each start, itself at depth 0. Each round joins what is known with jumps of twice the length, so that
+    a way of n steps takes log2(n) rounds."""
+    seen = _cut(starts.select("root", "node", F.lit(0).cast("long").alias("depth")))
+    jump, length = _cut(pointers.select(F.col("id").alias("node"), F.col("up").alias("to"))), 1
+    most = jump.count()
+    while length <= most:
+        more = dealt_join(seen, jump, ["node"]).select("root", F.col("to").alias("node"), (F.col("depth") + length).alias("depth"))
+        more = _cut(more)
+        if more.isEmpty():
+            break
+        seen = seen.unionByName(more)
+        jump, length = _cut(jump.withColumnRenamed("to", "mid").join(jump.select(F.col("node").alias("mid"), "to"), "mid").select("node", "to")), length * 2
+    return seen
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level) of an acyclic graph edges(src, dst), level being the longest path that ends at the node (SRT-06). Kahn's order in rounds: a node is placed once all its sources are."""
     left = _cut(edges.select("src", "dst").distinct())

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .closure import levels, reach
+from .closure import along, levels, reach
 
 
 def first_parents(changes: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def parent_edges(changes: DataFrame) -> DataFrame:
 def log(changes: DataFrame, heads: DataFrame) -> DataFrame:
     """The first-parent chain of heads(head): (head, id, position), position 0 being the head (G-01, SRT-07)."""
     starts = heads.select(F.col("head").alias("root"), F.col("head").alias("node"))
-    return reach(starts, first_parents(changes), keep_starts=True).select(F.col("root").alias("head"), F.col("node").alias("id"), F.col("depth").alias("position"))
+    way = along(starts, first_parents(changes).select(F.col("src").alias("id"), F.col("dst").alias("up")))
+    return way.select(F.col("root").alias("head"), F.col("node").alias("id"), F.col("depth").alias("position"))
 
 
 def ancestors(changes: DataFrame, heads: DataFrame) -> DataFrame:

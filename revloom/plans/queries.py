@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as T
-from ..operators import brief, coordination, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
+from ..operators import brief, chains, coordination, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -732,6 +732,20 @@ def repacked(t):
     return similar.deltas(pairs.select("id", F.col("base_text").alias("base"), "target")).drop("ops")
 
 
+@query("""WITH texts AS (SELECT coalesce(text, '') AS body, min(doc_id) AS first_id FROM documents GROUP BY 1), c AS (SELECT body, row_number() OVER (PARTITION BY first_id // 64 ORDER BY first_id) - 1 AS depth FROM texts)
+SELECT doc_id, depth, 'ok' AS status, octet_length(encode(body))::BIGINT AS n_bytes, sha256(body) AS sha FROM documents JOIN c ON body = coalesce(text, '')""")
+def restored_documents(t):
+    """G-08, X-47: distinct texts stored as chains of up to 63 deltas on the first of 64, each read back from its chain and checked by its id"""
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body")).withColumn("id", objects.object_id("blob", F.col("body")))
+    blobs = rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.any_value("body").alias("body"))
+    w = Window.partitionBy(F.floor(F.col("first_id") / 64)).orderBy("first_id")  # at most 64 rows
+    x = blobs.withColumn("base", F.lag("id").over(w)).withColumn("base_body", F.lag("body").over(w))
+    made = x.where("base is not null")
+    stored = made.select("id", "base").join(similar.deltas(made.select("id", F.col("base_body").alias("base"), F.col("body").alias("target"))).select("id", "ops"), "id")
+    back = chains.restored(x.where("base is null").select("id", "body"), stored)
+    return rows.select("doc_id", "id").join(back.select("id", "depth", "status", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "id").drop("id")
+
+
 @query()
 def brief_by_part(t):
     """X-01, FLT-18: briefs of all parts, from all the pieces"""
