@@ -125,3 +125,33 @@ REVIEWS = """
   reviews AS (SELECT doc_id AS target, doc_id::VARCHAR || '-quality' AS id, 'quality' AS reviewer, true AS by_human, CASE WHEN quality = 1 THEN 'approve' ELSE 'reject' END AS verdict, 'Quality of ' || lang AS summary, ['quality', lang] AS labels FROM labels JOIN documents USING (doc_id)
     UNION ALL SELECT doc_id, doc_id::VARCHAR || '-tone', 'tone', false, CASE WHEN toxic = 0 THEN 'approve' ELSE 'reject' END, 'Tone of ' || lang, ['tone', lang] FROM labels JOIN documents USING (doc_id))
 """
+
+
+def modules(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as modules: declares, imports, exports. Each declares one function and exports it by another name; thirds pass on names of other parts by alias, quarters all names of one or two others."""
+    k = F.col("p_partkey")
+    n = F.broadcast(t.part.agg(F.count("*").alias("n")))
+    name = lambda prefix, x: F.concat(F.lit(prefix), (x % 40).cast("string"))
+    file = lambda x: F.concat(F.lit("m"), x.cast("long").cast("string"))
+    none = F.lit(None).cast("string")
+    row = lambda a, b, c: F.struct(a.alias("name"), b.alias("local"), c.alias("source"))
+    parts = t.part.select("p_partkey").join(n)
+    declares = parts.select(file(k).alias("file"), name("f", k).alias("name"))
+    imports = parts.where(k % 3 == 1).select(file(k).alias("file"), F.lit("h").alias("local"), file(F.floor(k / 2)).alias("source"), name("g", F.floor(k / 2)).alias("name"))
+    rows = F.array_compact(F.array(
+        row(name("g", k), name("f", k), none), F.when(k % 3 == 0, row(name("a", k), name("g", F.floor(k / 3)), file(F.floor(k / 3)))), F.when(k % 3 == 1, row(name("h", k), F.lit("h"), none)),
+        F.when(k % 4 == 0, row(F.lit("*"), F.lit("*"), file(F.floor(k / 4)))), F.when(k % 8 == 0, row(F.lit("*"), F.lit("*"), file((k * 7 + 1) % F.col("n")))), F.when(k % 5 == 0, row(F.lit("c"), F.lit("c"), file((k * 2) % F.col("n")))),
+    ))
+    return declares, imports, parts.select(file(k).alias("file"), F.explode(rows).alias("r")).select("file", "r.*")
+
+
+MODULES = """
+  declares AS (SELECT 'm' || p_partkey AS file, 'f' || p_partkey % 40 AS name FROM part),
+  imports AS (SELECT 'm' || p_partkey AS file, 'h' AS local, 'm' || p_partkey // 2 AS source, 'g' || (p_partkey // 2) % 40 AS name FROM part WHERE p_partkey % 3 = 1),
+  exports AS (SELECT 'm' || p_partkey AS file, 'g' || p_partkey % 40 AS name, 'f' || p_partkey % 40 AS local, NULL AS source FROM part
+    UNION ALL SELECT 'm' || p_partkey, 'a' || p_partkey % 40, 'g' || (p_partkey // 3) % 40, 'm' || p_partkey // 3 FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 'm' || p_partkey, 'h' || p_partkey % 40, 'h', NULL FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT 'm' || p_partkey, '*', '*', 'm' || p_partkey // 4 FROM part WHERE p_partkey % 4 = 0
+    UNION ALL SELECT 'm' || p_partkey, '*', '*', 'm' || (p_partkey * 7 + 1) % (SELECT count(*) FROM part) FROM part WHERE p_partkey % 8 = 0
+    UNION ALL SELECT 'm' || p_partkey, 'c', 'c', 'm' || (p_partkey * 2) % (SELECT count(*) FROM part) FROM part WHERE p_partkey % 5 = 0)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as T
-from ..operators import brief, chains, coordination, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
+from ..operators import brief, chains, coordination, exports, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -746,6 +746,28 @@ def restored_documents(t):
     return rows.select("doc_id", "id").join(back.select("id", "depth", "status", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "id").drop("id")
 
 
+ASKED_SQL = "SELECT DISTINCT 'm' || p_partkey AS file, p || (p_partkey * m) % 40 AS name FROM part, (VALUES ('g', 1), ('g', 7), ('a', 1), ('h', 3), ('a', 11)) v(p, m) UNION SELECT 'm' || p_partkey, 'c' FROM part"
+
+
+@query(f"""WITH RECURSIVE {A.MODULES}, explicit AS (SELECT e.file, e.name, CASE WHEN e.source IS NULL AND d.name IS NOT NULL THEN e.file END AS at_file, d.name AS at_name, CASE WHEN e.source IS NULL THEN i.source ELSE e.source END AS to_file, CASE WHEN e.source IS NULL THEN i.name ELSE e.local END AS to_name
+  FROM exports e LEFT JOIN declares d ON e.source IS NULL AND d.file = e.file AND d.name = e.local LEFT JOIN imports i ON e.source IS NULL AND i.file = e.file AND i.local = e.local WHERE e.name <> '*'),
+asked AS ({ASKED_SQL}),
+steps AS (SELECT file, name, to_file, to_name FROM explicit WHERE at_file IS NULL AND to_file IS NOT NULL),
+walk(file, name, f, n) AS (SELECT file, name, file, name FROM asked
+  UNION (WITH w AS (SELECT * FROM walk), x AS (SELECT w.*, e.file IS NOT NULL AS is_explicit, s.to_file, s.to_name FROM w LEFT JOIN explicit e ON e.file = f AND e.name = n LEFT JOIN steps s ON s.file = f AND s.name = n)
+    SELECT x.file, x.name, to_file, to_name FROM x WHERE to_file IS NOT NULL UNION ALL SELECT x.file, x.name, st.source, x.n FROM x JOIN exports st ON st.file = x.f AND st.name = '*' WHERE NOT is_explicit AND x.n <> 'default')),
+met AS (SELECT w.file, w.name, count(DISTINCT (at_file, at_name)) AS n, min(at_file) AS at_file, min(at_name) AS at_name FROM walk w JOIN explicit e ON e.file = w.f AND e.name = w.n AND at_file IS NOT NULL GROUP BY ALL)
+SELECT a.file, a.name, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN at_file END AS at_file, CASE WHEN n = 1 THEN at_name END AS at_name FROM asked a LEFT JOIN met USING (file, name)""")
+def resolved_exports(t):
+    """J-21: what five names of every part mean, through aliases and wildcards"""
+    declares, imports, out = A.modules(t)
+    k = F.col("p_partkey")
+    name = lambda p, m: F.concat(F.lit(p), ((k * m) % 40).cast("string"))
+    names = F.array(name("g", 1), name("g", 7), name("a", 1), name("h", 3), name("a", 11), F.lit("c"))
+    asked = t.part.select(F.concat(F.lit("m"), k.cast("string")).alias("file"), F.explode(names).alias("name"))
+    return exports.resolve(declares, imports, out, asked)
+
+
 @query()
 def brief_by_part(t):
     """X-01, FLT-18: briefs of all parts, from all the pieces"""
