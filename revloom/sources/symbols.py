@@ -6,11 +6,12 @@ import ast
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph
+from ..operators import exports, graph
+from . import lexer
 
 # What a bare specifier may stand for, in order.
 SCRIPT_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
@@ -129,36 +130,6 @@ def python_symbols(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-SCRIPT_DEF = re.compile(r"(?m)^([ \t]*)(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)")
-GO_DEF = re.compile(r"(?m)^(func)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)|^(type)\s+([A-Za-z_]\w*)")
-
-
-def _braces(text: str, at: int) -> int:
-    """Where the block that opens behind `at` closes; the end of the line if none opens there."""
-    depth, line = 0, text.find("\n", at)
-    for k in range(at, len(text)):
-        if text[k] == "{":
-            depth += 1
-        elif text[k] == "}":
-            depth -= 1
-            if depth <= 0:
-                return k
-        elif k == line and not depth:
-            return k - 1
-    return len(text) - 1
-
-
-def brace_symbols(text: str, lang: str) -> list[tuple[str, str, int, int]]:
-    """The same for languages with braces, by patterns (SRC-27, SRC-29); an approximation, since no parser for them is at hand."""
-    out = []
-    for m in (SCRIPT_DEF if lang == "ts" else GO_DEF).finditer(text):
-        kind, name = (m[2].rstrip("*"), m[3]) if lang == "ts" else (m[1] or m[3], m[2] or m[4])
-        kind = {"func": "function", "const": "variable", "let": "variable", "var": "variable"}.get(kind, kind)
-        end = _braces(text, m.end())
-        out.append((name, kind, text.count("\n", 0, m.start()) + 1, text.count("\n", 0, end) + 1))
-    return out
-
-
 RANGES = "file string, name string, kind string, start_line int, end_line int"
 
 
@@ -167,13 +138,10 @@ def symbols(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, text, lang in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                got = python_symbols(text or "") if lang == "py" else brace_symbols(text or "", lang)
-                rows += [(path, *g) for g in got]
+            rows = [(path, *g) for path, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True) for g in python_symbols(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()])], names=["file", "name", "kind", "start_line", "end_line"])
 
-    return files.select("path", "text", T.language(F.col("path")).alias("lang")).where("lang in ('py', 'ts', 'go')").mapInArrow(run, RANGES)
+    return files.select("path", "text").where(T.language(F.col("path")) == "py").mapInArrow(run, RANGES).unionByName(lexer.definitions(files))
 
 
 def python_calls(text: str) -> list[tuple[str, str]]:
@@ -194,23 +162,42 @@ def python_calls(text: str) -> list[tuple[str, str]]:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """(file, caller, callee) of Python files by their syntax; of others by names before a bracket inside each definition's lines (X-69, J-21)."""
+    """(file, caller, callee) of Python files by their syntax; of others by names before a bracket on each definition's lines, a member of a plain name as `name.member` (X-69, J-21)."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, text, lang in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if lang == "py":
-                    rows += [(path, *c) for c in python_calls(text or "")]
-                else:
-                    lines = (text or "").split("\n")
-                    for name, kind, start, end in brace_symbols(text or "", lang):
-                        if kind == "function":
-                            found = set(re.findall(r"([A-Za-z_$][\w$]*)\s*\(", "\n".join(lines[start - 1 : end]))) - set(T.CONTROL_WORDS) - {name, "function", "func", "return"}
-                            rows += [(path, name, c) for c in sorted(found)]
+            rows = [(path, *c) for path, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True) for c in python_calls(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["file", "caller", "callee"])
 
-    return files.select("path", "text", T.language(F.col("path")).alias("lang")).where("lang in ('py', 'ts', 'go')").mapInArrow(run, "file string, caller string, callee string")
+    python = files.select("path", "text").where(T.language(F.col("path")) == "py").mapInArrow(run, "file string, caller string, callee string")
+    w = Window.partitionBy("file").orderBy("pos")
+    t = lexer.tokens(files).select("file", "kind", "tok", "line", *(F.lag("tok", k).over(w).alias("b" * k) for k in (1, 2, 3)), F.lead("tok").over(w).alias("after"))
+    named = (F.col("kind") == "word") & (F.col("after") == "(") & ~F.col("tok").isin(*T.CONTROL_WORDS, "function", "func", "return", "super", "constructor") & ~F.coalesce("b", F.lit("")).isin("function", "func", "new")
+    member = (F.col("b") == ".") & F.col("bb").rlike(r"^[\p{L}_$]") & (F.coalesce("bbb", F.lit("")) != ".")
+    called = t.where(named).select("file", "line", F.when(member, F.concat("bb", F.lit("."), "tok")).otherwise(F.col("tok")).alias("callee")).distinct()
+    inside = lexer.definitions(files).where("kind in ('function', 'method', 'constructor', 'getter', 'setter')")
+    met = called.join(inside, "file").where("line between start_line and end_line and callee <> name")  # a file's calls and its definitions
+    return python.unionByName(met.select("file", F.col("name").alias("caller"), "callee").distinct())
+
+
+def linked(files: DataFrame) -> DataFrame:
+    """(file, caller, callee, at_file, at_name): the definitions that calls in scripts mean, through imports, aliases and re-exports (J-21, X-32)."""
+    imported, exported = lexer.module_names(files)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for file, spec in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                found = list(_script(file.rpartition("/")[0], f"import '{spec}'", ""))
+                rows.append((file, spec, found[0][1] if found else []))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.string(), pa.list_(pa.string())])], names=["src", "spec", "candidates"])
+
+    specs = imported.select("file", "spec").unionByName(exported.select("file", "spec")).where("spec is not null").distinct()
+    at = graph.first_match(specs.mapInArrow(run, "src string, spec string, candidates array<string>"), files, ("src", "spec")).select(F.col("src").alias("file"), "spec", F.col("dst").alias("source"))
+    exported = exported.join(at, ["file", "spec"], "left").where("spec is null or source is not null").select("file", "name", "local", "source")
+    imported = imported.join(at, ["file", "spec"]).select("file", "local", "source", "name")
+    declares = lexer.definitions(files).where("kind in ('function', 'method')").select("file", "name")
+    return exports.callees(calls(files.where(T.language(F.col("path")) == "ts")), declares, imported, exported)
 
 
 #: Fixed value, which decides what counts as a definition: a name, a bracket without any of ; { }, a brace.

@@ -290,7 +290,7 @@ def test_imports_and_symbols(spark):
     got = set(rows(symbols.imports(fs, "ex.org/r")))
     assert {("src/a.ts", "src/b.ts"), ("src/a.ts", "lib/c.ts"), ("p/m.py", "p/q.py"), ("p/m.py", "p/__init__.py"), ("m.go", "sub/s.go"), ("c/x.c", "c/x.h"), ("c/x.c", "include/y.h")} == got
     s = {(r.name, r.kind, r.start_line, r.end_line) for r in symbols.symbols(fs).collect()}
-    assert {("f", "function", 4, 6), ("C", "class", 8, 9), ("h", "method", 9, 9), ("Run", "function", 5, 7)} <= s
+    assert {("f", "function", 4, 6), ("C", "class", 8, 9), ("h", "method", 9, 9), ("Run", "method", 5, 7)} <= s
     assert ("p/m.py", "f", "g") in rows(symbols.calls(fs))
 
 
