@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text as T
+from ..functions import canonical, stats, text as T
 from ..operators import brief, chains, coordination, exports, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
@@ -683,9 +683,18 @@ def session_windows(t):
     return feeds.sessions(t.events)
 
 
-@query()
+@query("""WITH RECURSIVE ev AS (SELECT 'repo' || user_id % 16 AS repo, user_id::VARCHAR AS agent, CASE WHEN event_type <> 'click' THEN json_extract_string(props, '$.k') END AS file, CASE event_type WHEN 'view' THEN 'reserve' WHEN 'click' THEN 'heartbeat' ELSE 'release' END AS kind,
+  floor(epoch(ts))::BIGINT AS ts, event_id AS seq FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+sent AS (SELECT repo, agent, file, kind, ts, seq FROM ev WHERE file IS NOT NULL
+  UNION ALL SELECT DISTINCT e.repo, e.agent, a.file, e.kind, e.ts, e.seq FROM ev e JOIN ev a ON a.repo = e.repo AND a.agent = e.agent AND a.kind = 'reserve' AND a.file IS NOT NULL AND (a.ts, a.seq) < (e.ts, e.seq) WHERE e.file IS NULL AND e.kind <> 'reserve'),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY ts, seq) AS rn FROM sent),
+r AS (SELECT DISTINCT repo, file, 0::BIGINT AS rn, NULL::VARCHAR AS holder, NULL::BIGINT AS taken, NULL::VARCHAR AS kind, NULL::VARCHAR AS agent, NULL::BIGINT AS ts, false AS said, false AS granted FROM o
+  UNION ALL SELECT repo, file, rn, CASE kind WHEN 'reserve' THEN coalesce(h, agent) WHEN 'release' THEN CASE WHEN h = agent THEN NULL ELSE h END ELSE h END, CASE WHEN kind <> 'release' AND coalesce(h, CASE WHEN kind = 'reserve' THEN agent END) = agent THEN ts ELSE taken END, kind, agent, ts,
+    kind = 'reserve' OR coalesce(h = agent, false), kind <> 'reserve' OR coalesce(h, agent) = agent
+  FROM (SELECT o.*, r.taken, CASE WHEN o.ts - r.taken < 600 THEN r.holder END AS h FROM r JOIN o ON o.repo = r.repo AND o.file = r.file AND o.rn = r.rn + 1))
+SELECT repo, ts, kind, file, agent, holder, granted FROM r WHERE said""")
 def reservation_stream(t):
-    """STR-06 to STR-10, X-06, X-07: the events table through the stateful operator, as a stream to its end"""
+    """STR-06 to STR-10, SNK-24, X-06, X-07: the events table through the stateful operators, as a stream to its end"""
     raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     return feeds.table_run(hold_stream.reservations(hold_stream.from_events(raw)))
 
@@ -746,6 +755,39 @@ def restored_documents(t):
     return rows.select("doc_id", "id").join(back.select("id", "depth", "status", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "id").drop("id")
 
 
+STORED = """
+  stored AS (SELECT id, p1, pos, CASE WHEN pos % 16 > 0 THEN 'delta' WHEN id % 7 = 0 THEN 'manifest' ELSE 'full' END AS form, bytes FROM (SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS p1, row_number() OVER w - 1 AS pos, floor(o_totalprice)::BIGINT AS bytes FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))),
+  chunk_uses AS (SELECT DISTINCT 'o' || id AS src, 'c' || l_partkey AS dst FROM stored JOIN lineitem ON l_orderkey = id WHERE form = 'manifest'),
+  things AS (SELECT 'o' || id AS id, form, bytes FROM stored UNION ALL SELECT dst, 'chunk', substr(dst, 2)::BIGINT FROM (SELECT DISTINCT dst FROM chunk_uses)),
+  needs AS (SELECT 'o' || id AS src, 'o' || p1 AS dst FROM stored WHERE form = 'delta' UNION ALL SELECT * FROM chunk_uses)
+"""
+
+
+@query(f"""WITH RECURSIVE {STORED}, live(id) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 UNION SELECT dst FROM live JOIN needs ON src = id)
+SELECT form, (count(*) FILTER (WHERE id IN (FROM live)))::BIGINT AS retained, coalesce(sum(bytes) FILTER (WHERE id IN (FROM live)), 0)::BIGINT AS retained_bytes, (count(*) FILTER (WHERE id NOT IN (FROM live)))::BIGINT AS reclaimed, coalesce(sum(bytes) FILTER (WHERE id NOT IN (FROM live)), 0)::BIGINT AS reclaimed_bytes FROM things GROUP BY form""")
+def repack_report(t):
+    """X-27: each customer's orders as versions, every sixteenth whole, the others deltas on the one before; every seventh whole one in chunks, its parts, which others share; a third of the finished ones are referred to"""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    x = t.orders.select("o_orderkey", "o_orderstatus", F.floor("o_totalprice").cast("long").alias("bytes"), F.lag("o_orderkey").over(w).alias("p1"), (F.row_number().over(w) - 1).alias("pos"))
+    form = F.when(F.col("pos") % 16 > 0, "delta").when(F.col("o_orderkey") % 7 == 0, "manifest").otherwise("full")
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    x = x.select("o_orderkey", "o_orderstatus", name("o_orderkey").alias("id"), name("p1").alias("base"), form.alias("form"), "bytes")
+    chunks = x.where("form = 'manifest'").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("id").alias("src"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    stored = x.select("id", "form", "bytes").unionByName(chunks.select(F.col("dst").alias("id"), F.lit("chunk").alias("form"), F.expr("cast(substring(dst, 2) as long)").alias("bytes")).distinct())
+    roots = x.where("o_orderstatus = 'F' and o_orderkey % 3 = 0").select(F.col("id").alias("node"))
+    return objects.repack_report(stored, x.where("form = 'delta'").select("id", "base"), chunks, roots)
+
+
+@query("""SELECT event_id, props AS canonical, '{"a":[' || coalesce(props, 'null') || ',[],{}],"b":"' || event_type || '","c":{"x":null,"y":' || user_id || '}}' AS nested FROM (SELECT event_id, event_type, user_id, CASE WHEN props IS NOT NULL THEN '{"k":' || json_extract_string(props, '$.k') || '}' END AS props FROM events)""")
+def canonical_props(t):
+    """F-54, FLT-19: the properties of events, and a nested text about each, with sorted keys and without blanks"""
+    nested = F.concat(F.lit('{"c": {"y":'), F.col("user_id").cast("string"), F.lit(', "x" : null}, "b":"'), "event_type", F.lit('" ,"a":[ '), F.coalesce("props", F.lit("null")), F.lit(", [], { } ] }"))
+    both = t.events.select("event_id", F.explode(F.array(F.struct(F.lit("p").alias("what"), F.col("props").alias("json")), F.struct(F.lit("n").alias("what"), nested.alias("json")))).alias("x")).select(F.struct("event_id", "x.what").alias("id"), "x.json")
+    got = canonical.canonical(both).select("id.event_id", "id.what", "canonical")
+    one = lambda w, name: F.max(F.when(F.col("what") == w, F.col("canonical"))).alias(name)
+    return got.groupBy("event_id").agg(one("p", "canonical"), one("n", "nested"))
+
+
 ASKED_SQL = "SELECT DISTINCT 'm' || p_partkey AS file, p || (p_partkey * m) % 40 AS name FROM part, (VALUES ('g', 1), ('g', 7), ('a', 1), ('h', 3), ('a', 11)) v(p, m) UNION SELECT 'm' || p_partkey, 'c' FROM part"
 
 

@@ -294,15 +294,6 @@ def test_imports_and_symbols(spark):
     assert ("p/m.py", "f", "g") in rows(symbols.calls(fs))
 
 
-def test_hold_steps():
-    held, now = {}, 0
-    seen = []
-    for e in [("a", "f", "reserve", 0), ("b", "f", "reserve", 10), ("a", None, "heartbeat", 500), ("b", "f", "reserve", 1099), ("b", "f", "reserve", 1100), ("b", None, "release", 1101), ("a", "f", "reserve", 5)]:
-        now, out = holds.step(held, now, dict(zip(("agent", "file", "kind", "ts"), e, strict=True)) | {"task": "t"})
-        seen += [(o[0], o[4], o[5]) for o in out]
-    assert seen == [(0, "a", True), (10, "a", False), (500, "a", True), (1099, "a", False), (1100, "b", True), (1101, None, True), (1101, "a", True)]
-
-
 def test_hold_stream(spark, tmp_path):
     schema = "repo string, agent string, file string, task string, kind string, ts long, seq long"
     spark.createDataFrame([("r", "a", "f", "t", "reserve", 0, 0), ("r", "b", "f", "t", "reserve", 10, 1), ("r", "a", None, None, "release", 20, 2), ("q", "b", "f", "t", "reserve", 30, 3)], schema).write.parquet(str(tmp_path / "in"))
