@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import canonical, stats, text as T
-from ..operators import brief, chains, coordination, exports, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, store, trees
+from ..functions import canonical, cases, stats, text as T
+from ..operators import brief, chains, coordination, digest, exports, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, statcache, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -788,6 +788,70 @@ def canonical_props(t):
     return got.groupBy("event_id").agg(one("p", "canonical"), one("n", "nested"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT o_custkey::VARCHAR AS viewer, 'o' || o_orderkey AS path, o_orderpriority AS hash, floor(o_totalprice / 100)::BIGINT AS size, o_orderkey % 5 = 0 AS seen FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY path, hash) AS rn FROM p), r AS (SELECT viewer, path, hash, size, rn, CASE WHEN seen THEN 'seen' WHEN 200 + size <= 4000 THEN 'shown' ELSE 'elided' END AS state, CASE WHEN NOT seen AND 200 + size <= 4000 THEN 200 + size ELSE 200 END AS spent FROM o WHERE rn = 1
+  UNION ALL SELECT o.viewer, o.path, o.hash, o.size, o.rn, CASE WHEN o.seen THEN 'seen' WHEN r.spent + o.size <= 4000 THEN 'shown' ELSE 'elided' END, CASE WHEN NOT o.seen AND r.spent + o.size <= 4000 THEN r.spent + o.size ELSE r.spent END FROM r JOIN o ON o.viewer = r.viewer AND o.rn = r.rn + 1)
+SELECT viewer, (count(*) FILTER (state = 'shown'))::BIGINT AS shown, (count(*) FILTER (state = 'seen'))::BIGINT AS seen, (count(*) FILTER (state = 'elided'))::BIGINT AS elided, coalesce(sum(size) FILTER (state = 'shown'), 0)::BIGINT AS spent, min(path) FILTER (state = 'elided') AS first_elided,
+  CASE WHEN count(*) FILTER (state = 'elided') > 0 THEN 16000 END AS expand FROM r GROUP BY viewer""")
+def budget_digest(t):
+    """FLT-21: each customer looks at the own orders with a budget of 4,000; a fifth was shown before, another fifth in another state"""
+    o = t.orders.select(F.col("o_custkey").cast("string").alias("viewer"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderpriority").alias("hash"), F.floor(F.col("o_totalprice") / 100).alias("size"), (F.col("o_orderkey") % 5).alias("m"))
+    shown = o.where("m < 2").select("viewer", "path", F.when(F.col("m") == 0, F.col("hash")).otherwise("another").alias("hash"))
+    return digest.summary(digest.within_budget(o.drop("m"), shown, 4000, 200), 4000)
+
+
+@query("""WITH head AS (SELECT p_partkey, 'd' || p_partkey % 9 || '/p' || p_partkey AS path, p_size AS id FROM part WHERE p_partkey % 6 <> 0), work AS (SELECT p_partkey, 'd' || p_partkey % 9 || '/p' || p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS id, p_size AS lines FROM part WHERE p_partkey % 7 <> 0),
+x AS (SELECT coalesce(h.path, w.path) AS p, h.path IS NULL AS new, w.path IS NULL AS gone, coalesce(h.p_partkey, w.p_partkey) AS k, w.lines FROM head h FULL JOIN work w USING (path) WHERE h.id IS DISTINCT FROM w.id),
+other AS (SELECT 'd' || l_partkey % 9 || '/p' || l_partkey AS p, string_agg(DISTINCT 's' || l_suppkey % 20, ',' ORDER BY 's' || l_suppkey % 20) AS overlap FROM lineitem WHERE l_suppkey % 20 <> 3 GROUP BY 1)
+SELECT CASE WHEN new AND k % 12 = 0 THEN 'A?' WHEN new THEN 'A' WHEN gone THEN 'D' ELSE 'M' END AS s, p, (CASE WHEN new AND k % 12 = 0 THEN lines ELSE k % 10 END)::BIGINT AS added, (CASE WHEN new AND k % 12 = 0 THEN 0 ELSE k % 3 END)::BIGINT AS deleted, coalesce(overlap, '') AS overlap FROM x LEFT JOIN other USING (p)""")
+def status_rows(t):
+    """X-60: parts as files of a head and a working tree, suppliers as the sessions that report them"""
+    k = F.col("p_partkey")
+    path = lambda c: F.concat(F.lit("d"), (c % 9).cast("string"), F.lit("/p"), c.cast("string")).alias("path")
+    head = t.part.where(k % 6 != 0).select(path(k), F.col("p_size").cast("string").alias("id"), F.lit(0).alias("mode"))
+    work = t.part.where(k % 7 != 0).select(path(k), F.when(k % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string").alias("id"), F.lit(0).alias("mode"), (k % 12 != 0).alias("tracked"))
+    counts = t.part.select(path(k), (k % 10).alias("added"), (k % 3).alias("deleted"), F.col("p_size").alias("lines"))
+    reports = t.lineitem.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("session"), path(F.col("l_partkey"))).distinct()
+    return digest.status(head, work, counts, reports, "s3")
+
+
+@query("""WITH e AS (SELECT 'p' || user_id AS path, floor(epoch(ts))::BIGINT AS mtime, event_id % 1000 AS size, event_type AS id, floor(epoch(ts) / 86400)::BIGINT * 86400 AS epoch FROM events)
+SELECT path, (m).mtime AS mtime, (m).size AS size, (m).id AS id, (m).epoch AS epoch, (m).mtime < (SELECT max(epoch) FROM e) AS trusted FROM (SELECT path, max({'epoch': epoch, 'mtime': mtime, 'size': size, 'id': id}) AS m FROM e GROUP BY path)""")
+def stat_cache(t):
+    """SNK-25, F-56: events as stats of their users' files, written by walks that began at midnight"""
+    at = T.epoch_seconds("ts")
+    rows = t.events.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("path"), at.alias("mtime"), (F.col("event_id") % 1000).alias("size"), F.col("event_type").alias("id"), (F.floor(at / 86400) * 86400).alias("epoch"))
+    return statcache.merged(rows)
+
+
+DRAW_SQL = "(('0x' || substr(md5('1094|' || class || '|' || number || '|{0}'), 1, 8))::BIGINT % {1})"
+CASES_SQL = f"""k AS (SELECT class, side, p_partkey AS number FROM part, (VALUES {", ".join(f"('{c}', '{s}')" for c, s in cases.CLASSES.items())}) v(class, side)),
+  d AS (SELECT *, CASE WHEN class = 'clean-varied-op' THEN 6 ELSE 6 + {DRAW_SQL.format("lines", 4)} END AS n, CASE WHEN class = 'op-flip-removed' THEN 6 ELSE 8 END AS ops FROM k),
+  e AS (SELECT *, {DRAW_SQL.format("odd", "n")} AS place, {DRAW_SQL.format("major", "ops")} AS major, {DRAW_SQL.format("minor", "(ops - 1)")} AS minor, {DRAW_SQL.format("number", 6)} AS n1, {DRAW_SQL.format("other", 5)} AS n2, {DRAW_SQL.format("first", 6)} AS f1, {DRAW_SQL.format("second", 5)} AS f2 FROM d),
+  l AS (SELECT *, unnest(range(n)) AS line, {cases.COMPARE + cases.LOGICAL} AS all_ops, {cases.NUMBERS} AS numbers, {cases.NAMES} AS names FROM e),
+  c AS (SELECT *, side <> 'clean' AND line = place AS odd, names[f1 + 1] AS name_1, names[(f1 + 1 + f2) % 6 + 1] AS name_2 FROM l),
+  o AS (SELECT *, CASE WHEN class LIKE 'op-flip%' AND odd THEN all_ops[(major + 1 + minor) % ops + 1] WHEN class LIKE 'op-flip%' OR class = 'clean-uniform' THEN all_ops[major + 1] WHEN class = 'clean-varied-op' THEN all_ops[line + 1] ELSE '<=' END AS op,
+    CASE class WHEN 'literal-smuggle' THEN CASE WHEN odd THEN numbers[(n1 + 1 + n2) % 6 + 1] ELSE numbers[n1 + 1] END WHEN 'clean-uniform' THEN 7 WHEN 'clean-varied-lit' THEN line ELSE 1 END AS literal FROM c)
+"""
+
+
+@query(f"""WITH {CASES_SQL} SELECT class, number, line::INT AS line, odd, CASE WHEN class = 'op-flip-removed' THEN 'if (' || name_1 || line || ' ' || op || ' max) throw Error();' ELSE 'const r' || line || ' = ' || name_1 || line || ' ' || op || ' lim && ok(' || name_2 || line || ', ' || literal || ');' END AS text FROM o""")
+def detection_cases(t):
+    """X-77: six cases for each part"""
+    return cases.cases(t.part.select(F.col("p_partkey").alias("number"))).select("class", "number", "line", "odd", "text")
+
+
+@query(f"""WITH {CASES_SQL} SELECT class, side <> 'clean' AS is_bug, CASE WHEN side <> 'clean' THEN 1.0 ELSE 0.0 END::DOUBLE AS rate, count(DISTINCT number) AS n FROM o GROUP BY ALL""")
+def detection_recall(t):
+    """X-77, AGG-17: what the deviations find in the cases; all bugs and nothing else, says the SQL"""
+    rows = cases.cases(t.part.select(F.col("p_partkey").alias("number")))
+    part = F.concat_ws("|", "class", F.col("number").cast("string"))
+    lines = rows.select(F.col("line").cast("long").alias("seq"), part.alias("file"), F.lit(None).cast("string").alias("symbol"), "text", part.alias("part"))
+    both = semdiff.literal_anomalies(lines, ("part",)).select("part", "seq").unionByName(semdiff.operator_anomalies(lines, ("part",)).select("part", "seq"))
+    found = both.select(F.split_part("part", F.lit("|"), F.lit(1)).alias("class"), F.split_part("part", F.lit("|"), F.lit(2)).cast("long").alias("number"), F.col("seq").cast("int").alias("line"))
+    return stats.detection(cases.judged(rows, found))
+
+
 ASKED_SQL = "SELECT DISTINCT 'm' || p_partkey AS file, p || (p_partkey * m) % 40 AS name FROM part, (VALUES ('g', 1), ('g', 7), ('a', 1), ('h', 3), ('a', 11)) v(p, m) UNION SELECT 'm' || p_partkey, 'c' FROM part"
 
 
