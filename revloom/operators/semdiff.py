@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .closure import _cut
+from .joins import dealt_join
 
 MECHANICAL, SHARE_NUM, SHARE_DEN = 3, 4, 5  # lines that make a group mechanical; the share a common value needs
 
@@ -25,20 +27,18 @@ def in_order(groups: DataFrame) -> DataFrame:
 
 
 def _deviations(lines: DataFrame, by: tuple[str, ...], shape: Column, values: Column, say: str, least: int) -> DataFrame:
-    """Lines whose value at some place differs from one that a supermajority of the group shares. Values are counted before they are joined back, so that a group of any size is only ever summed."""
-    keyed = lines.withColumn("shape", shape).withColumn("vals", values).withColumn("width", F.size("vals")).where("width > 0")
-    group = (*by, "shape", "width")
-    places = keyed.select(*group, F.posexplode("vals").alias("at", "value"))
-    counts = places.groupBy(*group, "at", "value").agg(F.count("*").alias("c"))
-    modes = counts.groupBy(*group, "at").agg(F.sum("c").alias("n"), F.max(F.struct("c", "value")).alias("top"))
+    """Lines whose value at some place differs from one that a supermajority of the group shares. Values are counted, and only groups with a rule are joined back, with all their rules at once; a group with very many lines is dealt out."""
+    group = F.struct(*by, shape.alias("shape"), F.size(values).alias("width")).alias("grp")
+    keyed = _cut(lines.select(*dict.fromkeys([*by, "seq", "file", "symbol", "text"]), group, values.alias("vals")).where("size(vals) > 0"))  # lines are cut into tokens once
+    counts = keyed.select("grp", F.posexplode("vals").alias("at", "value")).groupBy("grp", "at", "value").agg(F.count("*").alias("c"))
+    modes = counts.groupBy("grp", "at").agg(F.sum("c").alias("n"), F.max(F.struct("c", "value")).alias("top"))
     ruled = modes.where((F.col("n") >= least) & (F.col("top.c") * SHARE_DEN >= F.col("n") * SHARE_NUM) & (F.col("top.c") < F.col("n")))
-    ruled = ruled.select(*group, "at", F.col("top.value").alias("mode"), F.col("top.c").alias("c"), "n")
-    each = keyed.select(*group, "seq", "file", "symbol", "text", F.posexplode("vals").alias("at", "value"))
-    met = [F.col(f"e.{k}").eqNullSafe(F.col(f"m.{k}")) for k in (*group, "at")]
-    odd = each.alias("e").join(ruled.alias("m"), met).where("value <> mode").select("e.*", "mode", "c", "n")
-    reason = F.concat(F.lit(say + " "), F.col("value"), F.lit(" where "), F.col("c").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" use "), F.col("mode"))
-    found = odd.groupBy(*by, "shape", "seq", "file", "symbol", "text").agg(F.array_sort(F.collect_list(F.struct("at", reason.alias("why")))).alias("whys"))
-    return found.select(*by, "seq", "file", "symbol", "text", F.array_join(F.transform("whys", lambda w: w["why"]), "; ").alias("reason"))
+    rules = ruled.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("at", F.col("top.value").alias("mode"), F.col("top.c").alias("c"), "n"))).alias("rules"))  # as many as a line has values
+    met = dealt_join(keyed, rules, ["grp"]).withColumn("odd", F.filter("rules", lambda r: F.get("vals", r["at"]) != r["mode"])).where("size(odd) > 0")
+    why = F.transform("odd", lambda r: F.struct(r["at"].alias("at"), F.concat(F.lit(say + " "), F.get("vals", r["at"]), F.lit(" where "), r["c"].cast("string"), F.lit("/"), r["n"].cast("string"), F.lit(" use "), r["mode"]).alias("why")))
+    own = [*by, "seq", *(c for c in ("file", "symbol", "text") if c not in by)]
+    found = met.select("grp", *own, why.alias("whys")).groupBy("grp", *own).agg(F.array_sort(F.flatten(F.collect_list("whys"))).alias("whys"))  # a line that stands twice under one number is one finding
+    return found.select(*own, F.array_join(F.transform("whys", lambda w: w["why"]), "; ").alias("reason"))
 
 
 def literal_anomalies(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
