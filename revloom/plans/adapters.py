@@ -155,3 +155,26 @@ MODULES = """
     UNION ALL SELECT 'm' || p_partkey, '*', '*', 'm' || (p_partkey * 7 + 1) % (SELECT count(*) FROM part) FROM part WHERE p_partkey % 8 = 0
     UNION ALL SELECT 'm' || p_partkey, 'c', 'c', 'm' || (p_partkey * 2) % (SELECT count(*) FROM part) FROM part WHERE p_partkey % 5 = 0)
 """
+
+
+def edited_files(t: Tables) -> DataFrame:
+    """Parts as files of functions of nine lines, in two versions: change, path, kind, old, new. Every seventh line is changed, lines of another step are removed or followed by a new one."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("int") + 5
+    head = lambda i: i % 10 == 1
+    line = lambda i: F.when(head(i), F.concat(F.lit("fn f"), i.cast("string"), F.lit("() {"))).otherwise(F.concat(F.lit("    item "), i.cast("string"), F.lit(" of "), k, F.lit(";")))
+    edit = lambda i: F.when(~head(i) & (i % 7 == 0), F.concat(F.lit("    changed "), i.cast("string"), F.lit(";"))).when(head(i) | (i % 11 != 5), line(i))
+    new = lambda i: F.when(i % 13 == 4, F.concat(F.lit("    new "), i.cast("string"), F.lit(";")))
+    every = F.sequence(F.lit(1), n)
+    text = lambda lines: F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+    path = F.concat(F.lit("src/d"), (F.col("p_partkey") % 9).cast("string"), F.lit("/p"), k, F.lit(".rs"))
+    return t.part.select(k.alias("change"), path.alias("path"), F.lit("M").alias("kind"), text(F.transform(every, line)).alias("old"), text(F.array_compact(F.flatten(F.transform(every, lambda i: F.array(edit(i), new(i)))))).alias("new"))
+
+
+EDITS = """
+  numbers AS (SELECT p_partkey::VARCHAR AS change, 'src/d' || p_partkey % 9 || '/p' || p_partkey || '.rs' AS path, p_partkey AS k, unnest(range(1, p_size::INT + 6)) AS i FROM part),
+  marked AS (SELECT *, i % 10 = 1 AS head, i % 10 <> 1 AND i % 7 = 0 AS changed, i % 10 <> 1 AND i % 7 <> 0 AND i % 11 = 5 AS removed, CASE WHEN i % 10 = 1 THEN 'fn f' || i || '() {' ELSE '    item ' || i || ' of ' || k || ';' END AS line FROM numbers),
+  kept AS (SELECT *, sum((NOT changed AND NOT removed)::INT) OVER (PARTITION BY path ORDER BY i) AS r FROM marked),
+  ops AS (SELECT change, path, i, r, ' ' AS tag, 0 AS o, line AS text FROM kept WHERE NOT changed AND NOT removed UNION ALL SELECT change, path, i, r, '-', 1, line FROM kept WHERE changed OR removed
+    UNION ALL SELECT change, path, i, r, '+', 2, '    changed ' || i || ';' FROM kept WHERE changed UNION ALL SELECT change, path, i + 0.5, r, '+', 2, '    new ' || i || ';' FROM kept WHERE i % 13 = 4),
+  listing AS (SELECT *, row_number() OVER w - 1 AS pos, (count(*) FILTER (tag <> '+') OVER w)::BIGINT AS old_line, (count(*) FILTER (tag <> '-') OVER w)::BIGINT AS new_line FROM ops WINDOW w AS (PARTITION BY path ORDER BY r, o, i))
+"""

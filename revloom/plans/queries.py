@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, cases, stats, text as T
-from ..operators import brief, chains, coordination, digest, exports, graph, history, linediff, objects, retrieve, reviews, semdiff, similar, statcache, store, trees
+from ..operators import brief, chains, coordination, digest, exports, graph, history, linediff, objects, reports, retrieve, reviews, semdiff, similar, statcache, store, trees
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -483,14 +483,18 @@ def conflicts_peek(t):
 
 
 @query(f"""WITH {A.HOLDS}, {WANTED_SQL}, {A.EDGES}, e AS (SELECT DISTINCT 'd' || (src % 7)::VARCHAR || '/' || src::VARCHAR AS src, 'd' || (dst % 7)::VARCHAR || '/' || dst::VARCHAR AS dst FROM edges),
-r AS (SELECT agent, dst AS held_file, 0 AS rank FROM wanted JOIN e ON file = src UNION ALL SELECT agent, src, 1 FROM wanted JOIN e ON file = dst UNION ALL SELECT w.agent, h.file, 3 FROM wanted w JOIN holds h ON split_part(w.file, '/', 1) = split_part(h.file, '/', 1))
-SELECT r.agent, held_file, h.agent AS holder, h.task, CASE min(rank) WHEN 0 THEN 'imports' WHEN 1 THEN 'imported-by' ELSE 'same-dir' END AS relation FROM r JOIN holds h ON h.file = held_file WHERE h.agent <> r.agent AND (r.agent, held_file) NOT IN (SELECT agent, file FROM wanted) GROUP BY 1, 2, 3, 4""")
+r AS (SELECT agent, dst AS held_file, 0 AS rank FROM wanted JOIN e ON file = src UNION ALL SELECT agent, src, 1 FROM wanted JOIN e ON file = dst UNION ALL SELECT w.agent, h.file, 3 FROM wanted w JOIN holds h ON split_part(w.file, '/', 1) = split_part(h.file, '/', 1)
+  UNION ALL SELECT w.agent, b.file, 2 FROM wanted w JOIN (SELECT 'd' || p_partkey % 7 || '/' || p_partkey AS file, p_type FROM part) a ON a.file = w.file JOIN (SELECT 'd' || p_partkey % 7 || '/' || p_partkey AS file, p_type FROM part) b ON b.p_type = a.p_type AND b.file <> a.file)
+SELECT r.agent, held_file, h.agent AS holder, h.task, CASE min(rank) WHEN 0 THEN 'imports' WHEN 1 THEN 'imported-by' WHEN 2 THEN 'shared-symbol' ELSE 'same-dir' END AS relation FROM r JOIN holds h ON h.file = held_file WHERE h.agent <> r.agent AND (r.agent, held_file) NOT IN (SELECT agent, file FROM wanted) GROUP BY 1, 2, 3, 4""")
 def predict_conflicts(t):
     """J-13"""
     name = lambda k: F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/"), k.cast("string"))
     e = A.edges(t).select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst")).distinct()
-    none = t.spark.createDataFrame([], "file string, other string")
-    return coordination.predict(A.holds(t), _wanted(t), e, none)
+    held = A.holds(t)
+    defs = t.part.select(name(F.col("p_partkey")).alias("file"), F.col("p_type").alias("symbol"))
+    near = defs.join(held.select("file").distinct(), "file", "left_semi").withColumnRenamed("file", "other")  # only held files count
+    shared = defs.join(near, "symbol").where("file <> other").select("file", "other").distinct()
+    return coordination.predict(held, _wanted(t), e, shared)
 
 
 @query("""WITH e AS (SELECT user_id AS agent, json_extract_string(props, '$.k') AS file, floor(epoch(ts))::BIGINT AS ts, event_id FROM events), f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 600 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY agent ORDER BY ts)),
@@ -532,10 +536,11 @@ def reserve(t):
 
 
 @query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+@-]+|[^A-Za-z0-9._%+@-]+') AS parts FROM documents)
-SELECT doc_id, len(list_filter(parts, lambda x: regexp_matches(x, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}[.-]*$')))::INT AS emails FROM p""")
+SELECT doc_id, len(list_filter(parts, lambda x: regexp_matches(x, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}[.-]*$')))::INT AS emails,
+  md5(array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}[.-]*$') THEN '[REDACTED-EMAIL]' || regexp_extract(x, '[.-]*$') ELSE x END), '')) AS scrubbed FROM p""")
 def scrub_emails(t):
-    """F-13, F-14"""
-    return t.documents.select("doc_id", T.count_emails(F.col("text")).alias("emails"))
+    """F-13, F-14: how many, and the text without them"""
+    return t.documents.select("doc_id", T.count_emails(F.col("text")).alias("emails"), F.md5(T.scrub_emails(F.col("text")).cast("binary")).alias("scrubbed"))
 
 
 WILSON_SQL = "(p + z * z / (2 * n) {0} z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)"
@@ -852,6 +857,49 @@ def detection_recall(t):
     return stats.detection(cases.judged(rows, found))
 
 
+@query(f"WITH {A.EDITS} SELECT change, path, 'M' AS kind, (count(*) FILTER (tag = '+'))::INT AS added, (count(*) FILTER (tag = '-'))::INT AS deleted, 'untested' AS proof FROM ops GROUP BY change, path")
+def change_walkthrough(t):
+    """X-31, AGG-10, AGG-11, F-18"""
+    return reports.walkthrough(A.edited_files(t))
+
+
+@query(f"""WITH {A.EDITS}, c AS (SELECT path, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY path ORDER BY pos) - 1 <= 6 THEN 0 ELSE 1 END AS fresh FROM listing WHERE tag <> ' '), h AS (SELECT path, pos, sum(fresh) OVER (PARTITION BY path ORDER BY pos) - 1 AS hunk FROM c),
+b AS (SELECT path, hunk, greatest(min(pos) - 3, 0) AS s, max(pos) + 3 AS e FROM h GROUP BY ALL), x AS (SELECT l.change, l.path, hunk, l.pos, l.tag, l.text, old_line, new_line FROM b JOIN listing l ON l.path = b.path AND l.pos BETWEEN s AND e)
+SELECT change, path, hunk::INT AS hunk, (min(old_line) FILTER (tag <> '+'))::INT AS old_start, (count(*) FILTER (tag <> '+'))::INT AS old_len, (min(new_line) FILTER (tag <> '-'))::INT AS new_start, (count(*) FILTER (tag <> '-'))::INT AS new_len, string_agg(tag || text, chr(10) ORDER BY pos) AS lines FROM x GROUP BY change, path, hunk""")
+def unified_diff(t):
+    """X-28, WIN-06, WIN-07, F-18, F-19"""
+    return reports.unified(A.edited_files(t)).withColumn("lines", F.array_join("lines", "\n"))
+
+
+@query(f"WITH {A.EDITS} SELECT change, CASE tag WHEN '+' THEN 'added' ELSE 'removed' END AS side, path AS file, pos::INT AS pos, 'fn f' || ((floor(i)::INT - 1) // 10 * 10 + 1) AS symbol, text FROM listing WHERE tag <> ' '")
+def changed_semantic_lines(t):
+    """X-30, F-20, F-21, WIN-08: changed lines and the function around each, in the text of their side"""
+    return reports.semantic_lines(A.edited_files(t)).select("change", "side", "file", F.col("seq.at").cast("int").alias("pos"), "symbol", "text")
+
+
+@query(f"WITH {A.EDITS}, s AS (SELECT change, CASE tag WHEN '+' THEN 'added' ELSE 'removed' END AS side, CASE WHEN tag = '+' AND text LIKE '    changed %' THEN '_ #;' WHEN tag = '+' THEN '_ #;' ELSE '_ # _ #;' END AS shape FROM ops WHERE tag <> ' ') SELECT change, side, shape, count(*) AS n, CASE WHEN count(*) >= 3 THEN 'mechanical' ELSE 'substantive' END AS kind FROM s GROUP BY ALL")
+def changed_shapes(t):
+    """X-29: groups of the changed lines of each change and side by shape"""
+    return reports.semantic(A.edited_files(t))[0].select("change", "side", "shape", "n", "kind")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 100 < 80 AND doc_id % 7 <> 0 THEN 'cached' ELSE sha256(coalesce(text, '')) END AS id, doc_id % 3 <> 0 AND doc_id % 100 < 80 AND doc_id % 7 <> 0 AS hit FROM documents""")
+def cached_stats(t):
+    """J-05, STR-11, SRC-03, SRC-10: a third of the documents aren't in the cache, some have another size there, some times aren't before the epoch"""
+    k = F.col("doc_id")
+    walk = t.documents.select("doc_id", k.cast("string").alias("path"), (k % 100).alias("mtime"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    cache = walk.where(k % 3 != 0).select("path", "mtime", F.when(k % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.lit("cached").alias("id"))
+    return trees.cached_ids(walk, cache, 80).select(F.col("path").cast("long").alias("doc_id"), "id", "hit")
+
+
+@query("SELECT doc_id, source FROM documents WHERE NOT (doc_id % 4 = 0 AND text IS NOT NULL)")
+def not_shown(t):
+    """STR-17: documents that a reader hasn't been shown in this content"""
+    rows = t.documents.select("doc_id", "source", F.col("doc_id").cast("string").alias("file"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"), "text")
+    shown = rows.where("text is not null").select("file", F.when(F.col("doc_id") % 4 == 0, F.col("hash")).otherwise(F.reverse("hash")).alias("hash"))
+    return feeds.not_shown(rows, shown).select("doc_id", "source")
+
+
 ASKED_SQL = "SELECT DISTINCT 'm' || p_partkey AS file, p || (p_partkey * m) % 40 AS name FROM part, (VALUES ('g', 1), ('g', 7), ('a', 1), ('h', 3), ('a', 11)) v(p, m) UNION SELECT 'm' || p_partkey, 'c' FROM part"
 
 

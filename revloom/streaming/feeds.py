@@ -95,7 +95,10 @@ def running_total(usage: DataFrame) -> DataFrame:
 def table_run(stream: DataFrame) -> DataFrame:
     """Runs a stream over what its source holds now and gives its whole output, as a table in the folder that the session's spark.checkpoint.dir names (a local one where it is unset)."""
     spark = stream.sparkSession
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{top}/out").option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
