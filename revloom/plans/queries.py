@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, cases, stats, text as T
 from ..operators import brief, chains, coordination, digest, exports, graph, history, linediff, objects, reports, retrieve, reviews, semdiff, similar, statcache, store, trees
+from ..sources import git, symbols
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
 from .adapters import Tables
@@ -857,6 +858,100 @@ def detection_recall(t):
     return stats.detection(cases.judged(rows, found))
 
 
+# Sources: texts, trees and records made of the tables' rows
+
+
+@query(f"""WITH {A.EDGES}, e AS (SELECT src, dst FROM edges), x(src, dst) AS (SELECT 'ts/m' || src || '.ts', 'ts/m' || dst || '.ts' FROM e UNION ALL SELECT 'py/m' || src || '.py', 'py/m' || dst || '.py' FROM e
+  UNION ALL SELECT 'go/m' || src || '/a.go', 'go/m' || dst || '/a.go' FROM e UNION ALL SELECT 'c/m' || src || '.c', 'c/m' || dst || '.h' FROM e) SELECT DISTINCT src, dst FROM x""")
+def source_imports(t):
+    """SRC-22 to SRC-26, J-19, F-30, X-71: the part graph as sources of four languages, read back from their imports"""
+    e = A.edges(t).withColumnRenamed("dst", "d").withColumnRenamed("src", "k")
+    ids = t.part.select(F.col("p_partkey").alias("k"))
+    of = e.groupBy("k").agg(F.sort_array(F.collect_set(F.col("d").cast("string"))).alias("ds"))
+    rows = ids.join(of, "k", "left").select(F.col("k").cast("string").alias("k"), F.coalesce("ds", F.array().cast("array<string>")).alias("ds"))
+    lines = lambda before, after: F.array_join(F.transform("ds", lambda d: F.concat(F.lit(before), d, F.lit(after))), "\n")
+    file = lambda before, after, text: F.struct(F.concat(F.lit(before), "k", F.lit(after)).alias("path"), text.alias("text"))
+    files = F.array(
+        file("ts/m", ".ts", F.concat(lines("import { x } from './m", "';"), F.lit("\nconst s = \"{ from 'x' }\";"))), file("py/m", ".py", lines("from .m", " import x")),
+        file("go/m", "/a.go", F.concat(F.lit("package m\nimport (\n"), lines('  "ex.org/r/go/m', '"'), F.lit("\n)\nfunc f() {}"))), file("go/m", "/a_test.go", F.lit("package m")), file("c/m", ".c", lines('#include "m', '.h"')), file("c/m", ".h", F.lit("")),
+    )
+    return symbols.imports(rows.select(F.explode(files).alias("f")).select("f.*"), "ex.org/r")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS n FROM part) SELECT 'ts/p' || k || '.ts' AS file, 'C' || k AS name, 'class' AS kind, 2 AS start_line, (5 + n)::INT AS end_line FROM p UNION ALL SELECT 'ts/p' || k || '.ts', 'm', 'method', 3, (4 + n)::INT FROM p
+UNION ALL SELECT 'ts/p' || k || '.ts', 'f' || k, 'function', (6 + n)::INT, (6 + n)::INT FROM p UNION ALL SELECT 'go/p' || k || '.go', 'T' || k, 'type', 2, 4 FROM p UNION ALL SELECT 'go/p' || k || '.go', 'Run', 'method', 5, (7 + n)::INT FROM p UNION ALL SELECT 'py/p' || k || '.py', 'g' || k, 'function', 1, (3 + n)::INT FROM p""")
+def source_definitions(t):
+    """SRC-27 to SRC-29, X-32, X-70: definitions of each part's sources, with braces in strings, templates and comments"""
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5).cast("int")
+    times = lambda text: F.repeat(F.lit(text), n)
+    script = F.concat(F.lit("// function no() {{\nexport class C"), k, F.lit(' {\n  m(a = "}") {\n'), times("    a += `${a}} {`;\n"), F.lit("  }\n}\nexport const f"), k, F.lit(" = (x: { y: number }) => x;\n"))
+    go = F.concat(F.lit("package m\ntype T"), k, F.lit(" struct {\n\tX int // }\n}\nfunc (t *T"), k, F.lit(") Run(s string) int {\n"), times('\tprint("}")\n'), F.lit("\treturn 0\n}\nvar q = `\nfunc no() {`\n"))
+    python = F.concat(F.lit("@wrap\ndef g"), k, F.lit("(a):\n"), times("    a += 1\n"), F.lit("    return a\n"))
+    file = lambda lang, ending, text: F.struct(F.concat(F.lit(f"{lang}/p"), k, F.lit(ending)).alias("path"), text.alias("text"))
+    return symbols.symbols(t.part.select(F.explode(F.array(file("ts", ".ts", script), file("go", ".go", go), file("py", ".py", python))).alias("f")).select("f.*"))
+
+
+@query("SELECT 'r' || r AS root, 'd' || p_partkey % 9 || '/e' || p_partkey % 4 || '/p' || p_partkey AS path, 0 AS mode, p_size::VARCHAR AS id FROM part, range(2) v(r) WHERE r = 0 OR p_partkey % 9 < 4")
+def tree_files(t):
+    """J-18, X-42: two trees that share their folders, flattened"""
+    k = F.col("p_partkey")
+    text = lambda before, c: F.concat(F.lit(before), c.cast("string"))
+    row = lambda tree, name, mode, child: F.struct(tree.alias("tree_id"), name.alias("name"), F.lit(mode).alias("mode"), child.alias("child_id"))
+    top, low = k % 9, F.concat(F.lit("t"), (k % 9).cast("string"), F.lit("-"), (k % 4).cast("string"))
+    rows = F.array_compact(F.array(
+        row(F.lit("r0"), text("d", top), trees.MODE_DIR, text("t", top)), F.when(top < 4, row(F.lit("r1"), text("d", top), trees.MODE_DIR, text("t", top))), row(text("t", top), text("e", k % 4), trees.MODE_DIR, low), row(low, text("p", k), 0, F.col("p_size").cast("string")),
+    ))
+    entries = t.part.select(F.explode(rows).alias("r")).select("r.*").distinct()
+    roots = t.region.where("r_regionkey < 2").select(text("r", F.col("r_regionkey")).alias("root"))
+    return trees.flatten(entries, roots).select("root", "path", F.col("mode").cast("int").alias("mode"), "id")
+
+
+@query(f"""WITH f AS (SELECT 'd' || p_partkey % 9 AS dir, 'p' || p_partkey AS name, p_size AS id FROM part), d AS (SELECT dir, count(*) AS n, sha256('tree' || chr(0) || string_agg('0 ' || name || chr(0) || id, '' ORDER BY name)) AS tree_id FROM f GROUP BY dir)
+SELECT dir, n::INT AS n, tree_id FROM d UNION ALL SELECT '', count(*)::INT, sha256('tree' || chr(0) || string_agg('{trees.MODE_DIR} ' || dir || chr(0) || tree_id, '' ORDER BY dir)) FROM d""")
+def tree_hashes(t):
+    """G-09, SRC-01: ids of all directories of the parts as files, from the deepest up"""
+    k = F.col("p_partkey").cast("string")
+    files = t.part.select(F.concat(F.lit("d"), (F.col("p_partkey") % 9).cast("string"), F.lit("/p"), k).alias("path"), F.lit(0).alias("mode"), F.col("p_size").cast("string").alias("id"))
+    return trees.tree_ids(files).select("dir", F.size("entries").alias("n"), "tree_id")
+
+
+@query("SELECT sha1('c' || o_orderkey) AS oid, sha1('t' || o_orderkey % 100) AS tree, CASE WHEN o_orderkey % 3 = 0 THEN [] WHEN o_orderkey % 3 = 1 THEN [sha1('c1')] ELSE [sha1('c1'), sha1('c2')] END AS parents, epoch(o_orderdate)::BIGINT AS ts, o_orderpriority || chr(10) || chr(10) || 'parent of all' AS message FROM orders")
+def commit_rows(t):
+    """SRC-17, F-29, X-56: orders as commits with none, one or two parents, read from their payloads"""
+    hash_of = lambda before, c: F.sha1(F.concat(F.lit(before), c.cast("string")).cast("binary"))
+    k = F.col("o_orderkey")
+    parent = lambda c: F.concat(F.lit("parent "), F.sha1(F.lit(c).cast("binary")), F.lit("\n"))
+    head = F.concat(F.lit("tree "), hash_of("t", k % 100), F.lit("\n"), F.when(k % 3 > 0, parent("c1")).otherwise(""), F.when(k % 3 == 2, parent("c2")).otherwise(""), F.lit("author A B <a@b.c> "), T.epoch_seconds("o_orderdate").cast("string"), F.lit(" +0000\ncommitter C <c@d.e> 1 +0000\n\n"))
+    objs = t.orders.select(hash_of("c", k).alias("oid"), F.lit("commit").alias("kind"), F.concat(head, "o_orderpriority", F.lit("\n\nparent of all")).cast("binary").alias("payload"))
+    return git.commits(objs).select("oid", "tree", "parents", "ts", "message")
+
+
+JOURNAL_SQL = "j AS (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 'end' WHEN 'error' THEN NULL ELSE 'report' END AS op, user_id AS session, 'repo' || user_id % 16 AS repo, [json_extract_string(props, '$.k')] AS paths, floor(value)::BIGINT AS tokens_out FROM events)"
+
+
+def _journal(t):
+    op = F.when(F.col("event_type") == "purchase", "end").when(F.col("event_type") != "error", "report")
+    return t.events.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("session"), F.concat(F.lit("repo"), (F.col("user_id") % 16).cast("string")).alias("repo"), F.array(F.get_json_object("props", "$.k")).alias("paths"), F.floor("value").alias("tokens_out"))
+
+
+@query(f"WITH {JOURNAL_SQL} SELECT session, repo, paths FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS rn FROM j WHERE op IS NOT NULL) WHERE rn = 1 AND op <> 'end'")
+def open_sessions(t):
+    """SRC-35, STR-15, SNK-27: the sessions that a journal leaves open; errors are broken lines"""
+    return feeds.registry(_journal(t))
+
+
+@query(f"WITH {JOURNAL_SQL} SELECT session, seq, tokens_out, (sum(tokens_out) OVER (PARTITION BY session ORDER BY seq))::BIGINT AS total FROM j")
+def usage_totals(t):
+    """SNK-28: what each session has used so far"""
+    return feeds.running_total(_journal(t).select("session", "seq", "tokens_out"))
+
+
+@query("SELECT s_suppkey, s_name, condition, trial::INT AS trial FROM supplier, (VALUES ('with'), ('without')) c(condition), range(4) t(trial)")
+def trial_rows(t):
+    """X-72: every supplier a scenario, under two conditions, four times"""
+    return stats.fan_out(t.supplier.select("s_suppkey", "s_name"), ["with", "without"], 4).select("s_suppkey", "s_name", "condition", F.col("trial").cast("int").alias("trial"))
+
+
 @query(f"WITH {A.EDITS} SELECT change, path, 'M' AS kind, (count(*) FILTER (tag = '+'))::INT AS added, (count(*) FILTER (tag = '-'))::INT AS deleted, 'untested' AS proof FROM ops GROUP BY change, path")
 def change_walkthrough(t):
     """X-31, AGG-10, AGG-11, F-18"""
