@@ -1,6 +1,8 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's documents.
 
-A document with a null doc_id passes every stage that decides by doc_id. Rows that repeat a doc_id are one document to the stages that decide by it.
+A document with a null doc_id passes every stage that decides by doc_id. Rows that repeat a doc_id are one document to the stages that decide by it. A null or empty text is scored like any text, has one empty line, no shingles and length 1; a null one stays
+null. Texts of any length are taken whole. Stages keep all columns of documents, whatever further ones there are and whatever their names, and change none but text and n_chars. Empty documents give no rows; without labels nothing is
+rejected, and without benchmark items nothing goes.
 """
 
 from __future__ import annotations
