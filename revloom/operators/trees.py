@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .closure import _cut
+from .joins import dealt_join
 
 MODE_FILE, MODE_EXEC, MODE_DIR, MODE_LINK, MOST_DEPTH = 0o100644, 0o100755, 0o040000, 0o120000, 256
 
@@ -52,6 +53,13 @@ def tracked(listing: DataFrame) -> DataFrame:
     return listing.select(F.explode(F.array_append(T.ancestors_of(F.col("path")), F.col("path"))).alias("path")).distinct()
 
 
+def emit_side(entries: DataFrame, sides: DataFrame) -> DataFrame:
+    """sides(path, id, kind): folders that only one side of a comparison has -> (path, kind, mode, id) of every file below them (X-37). A tree that stands at several places is flattened once."""
+    files = flatten(entries, sides.select(F.col("id").alias("root")).distinct()).withColumnRenamed("path", "inner")
+    at = _cut(sides.select("path", "kind", F.col("id").alias("root")))
+    return dealt_join(at, files, ["root"]).select(F.when(F.col("path") == "", F.col("inner")).otherwise(F.concat_ws("/", "path", "inner")).alias("path"), "kind", "mode", "id")
+
+
 def tree_ids(files: DataFrame) -> DataFrame:
     """files(path, mode, id) -> (dir, tree_id, entries): ids of all directories from the deepest up; a directory's id is the hash of its entries in order of their names (G-09, SRC-01)."""
     now = files.select(T.directory(F.col("path")).alias("dir"), F.element_at(F.split("path", "/"), -1).alias("name"), "mode", "id")

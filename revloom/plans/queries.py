@@ -906,6 +906,18 @@ def tree_files(t):
     return trees.flatten(entries, roots).select("root", "path", F.col("mode").cast("int").alias("mode"), "id")
 
 
+@query("SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'at' || p_partkey % 9 || '/' END || 'e' || p_partkey % 4 || '/p' || p_partkey AS path, CASE WHEN p_partkey % 9 % 2 = 0 THEN 'deleted' ELSE 'added' END AS kind, p_size::VARCHAR AS id FROM part WHERE p_partkey % 9 < 5")
+def tree_sides(t):
+    """X-37: five folders that one side of a comparison lacks, with all that is below them"""
+    k = F.col("p_partkey")
+    text = lambda before, c: F.concat(F.lit(before), c.cast("string"))
+    row = lambda tree, name, mode, child: F.struct(tree.alias("tree_id"), name.alias("name"), F.lit(mode).alias("mode"), child.alias("child_id"))
+    low = F.concat(F.lit("t"), (k % 9).cast("string"), F.lit("-"), (k % 4).cast("string"))
+    entries = t.part.select(F.explode(F.array(row(text("t", k % 9), text("e", k % 4), trees.MODE_DIR, low), row(low, text("p", k), 0, F.col("p_size").cast("string")))).alias("r")).select("r.*").distinct()
+    sides = t.part.select((k % 9).alias("top")).distinct().where("top < 5").select(F.when(F.col("top") == 0, "").otherwise(text("at", F.col("top"))).alias("path"), text("t", F.col("top")).alias("id"), F.when(F.col("top") % 2 == 0, "deleted").otherwise("added").alias("kind"))
+    return trees.emit_side(entries, sides).select("path", "kind", "id")
+
+
 @query(f"""WITH f AS (SELECT 'd' || p_partkey % 9 AS dir, 'p' || p_partkey AS name, p_size AS id FROM part), d AS (SELECT dir, count(*) AS n, sha256('tree' || chr(0) || string_agg('0 ' || name || chr(0) || id, '' ORDER BY name)) AS tree_id FROM f GROUP BY dir)
 SELECT dir, n::INT AS n, tree_id FROM d UNION ALL SELECT '', count(*)::INT, sha256('tree' || chr(0) || string_agg('{trees.MODE_DIR} ' || dir || chr(0) || tree_id, '' ORDER BY dir)) FROM d""")
 def tree_hashes(t):
