@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, cases, stats, text as T
-from ..operators import brief, chains, coordination, digest, exports, graph, history, linediff, objects, reports, retrieve, reviews, semdiff, similar, statcache, store, trees
+from ..operators import brief, chains, coordination, digest, exports, graph, history, inspect, linediff, objects, reports, retrieve, reviews, semdiff, similar, statcache, store, trees
 from ..sources import git, symbols
 from ..streaming import feeds, holds as hold_stream
 from . import adapters as A
@@ -906,6 +906,21 @@ def tree_files(t):
     return trees.flatten(entries, roots).select("root", "path", F.col("mode").cast("int").alias("mode"), "id")
 
 
+@query(f"""WITH {A.CHANGES}, {A.REVIEWS} SELECT id::VARCHAR AS id, 'change' AS kind, to_json({{'id': id::VARCHAR, 'kind': 'change', 'intent': intent, 'author': author::VARCHAR, 'timestamp': ts, 'verified': CASE WHEN id % 5 = 0 THEN 'unverified' ELSE verification END, 'tree': 't' || id % 50,
+  'parents': list_filter([p1::VARCHAR, p2::VARCHAR], lambda x: x IS NOT NULL), 'session': CASE WHEN id % 3 = 0 THEN 's' || id END}})::VARCHAR AS shown FROM changes
+UNION ALL SELECT id, 'review', to_json({{'id': id, 'kind': 'review', 'target': target, 'reviewer': reviewer, 'by_human': by_human, 'verdict': verdict, 'summary': summary, 'labels': labels, 'findings': []}})::VARCHAR FROM reviews
+UNION ALL SELECT doc_id::VARCHAR, 'blob', to_json({{'id': doc_id::VARCHAR, 'kind': 'blob', 'size': octet_length(encode(source || ' "' || lang || '"')), 'binary': false, 'text': source || ' "' || lang || '"'}})::VARCHAR FROM documents
+UNION ALL SELECT tree, 'tree', to_json({{'id': tree, 'kind': 'tree', 'entries': list({{'name': name, 'mode': '100644', 'id': id}} ORDER BY name)}})::VARCHAR FROM (SELECT 't' || p_partkey % 50 AS tree, 'p' || p_partkey AS name, p_size::VARCHAR AS id FROM part) GROUP BY tree""")
+def inspected(t):
+    """FLT-20: changes, reviews, blobs and trees, each as its kind is shown"""
+    c = A.changes(t)
+    known = c.where("id % 5 <> 0").select("id", "verification")
+    c = c.select("id", "intent", "author", "ts", F.concat(F.lit("t"), (F.col("id") % 50).cast("string")).alias("tree"), "parents", F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("session"))
+    bodies = t.documents.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(' "'), "lang", F.lit('"')).cast("binary").alias("body"))
+    entries = t.part.select(F.concat(F.lit("t"), (F.col("p_partkey") % 50).cast("string")).alias("tree_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit(0o100644).alias("mode"), F.col("p_size").cast("string").alias("child_id"))
+    return inspect.changes(c, known).unionByName(inspect.reviews(A.reviews(t))).unionByName(inspect.blobs(bodies)).unionByName(inspect.trees(entries))
+
+
 @query("SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'at' || p_partkey % 9 || '/' END || 'e' || p_partkey % 4 || '/p' || p_partkey AS path, CASE WHEN p_partkey % 9 % 2 = 0 THEN 'deleted' ELSE 'added' END AS kind, p_size::VARCHAR AS id FROM part WHERE p_partkey % 9 < 5")
 def tree_sides(t):
     """X-37: five folders that one side of a comparison lacks, with all that is below them"""
