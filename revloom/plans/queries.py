@@ -709,7 +709,8 @@ def reservation_stream(t):
 
 
 def _pairs(t):
-    w = Window.partitionBy("lang").orderBy("doc_id")
+    """Each document with the one before it of its language, in blocks of 256 ids, so that no task gets a whole language; a block's first is compared with nothing."""
+    w = Window.partitionBy("lang", F.floor(F.col("doc_id") / 256)).orderBy("doc_id")
     return t.documents.select("doc_id", F.lag("text").over(w).alias("old"), F.col("text").alias("new")).withColumnRenamed("doc_id", "key")
 
 
