@@ -1,7 +1,10 @@
-"""Line differences of text pairs, by an Arrow function over rows; distinct pairs should be diffed once and joined back."""
+"""Line differences of text pairs, by an Arrow function over rows."""
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 CELLS, CONTEXT = 4_000_000, 3
+PAIRS = 256  # rows that Python holds as objects at a time; all rows pass
 
 
 def split_lines(text: str) -> list[str]:
@@ -31,18 +35,32 @@ def edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     x, y = a[lo : len(a) - tail], b[lo : len(b) - tail]
     m, n = len(x), len(y)
     i = j = 0
-    if m and n and m * n <= CELLS:
+    both = set(x) & set(y) if m * n <= CELLS else set()
+    kept = [s for s in x if s in both]
+    if kept and len(kept) == len(both) and kept == [s for s in y if s in both]:  # what both sides have stands once and in one order: the only longest subsequence
+        while i < m and j < n:
+            if x[i] not in both:
+                out.append(("-", lo + i, lo + j))
+                i += 1
+            elif y[j] not in both:
+                out.append(("+", lo + i, lo + j))
+                j += 1
+            else:
+                out.append((" ", lo + i, lo + j))
+                i, j = i + 1, j + 1
+    elif kept:
         ids: dict[str, int] = {}
         p, q = (np.array([ids.setdefault(s, len(ids)) for s in side]) for side in (x, y))
         best = np.zeros((m + 1, n + 1), np.int32)
         for r in range(m - 1, -1, -1):  # a row at a time: a match takes the diagonal, the rest is a running maximum from the right
             cell = np.where(q == p[r], best[r + 1, 1:] + 1, best[r + 1, :-1])
             best[r, :-1] = np.maximum.accumulate(cell[::-1])[::-1]
+        p, q, best = p.tolist(), q.tolist(), best.tolist()
         while i < m and j < n:
             if p[i] == q[j]:
                 out.append((" ", lo + i, lo + j))
                 i, j = i + 1, j + 1
-            elif best[i + 1, j] >= best[i, j + 1]:
+            elif best[i + 1][j] >= best[i][j + 1]:
                 out.append(("-", lo + i, lo + j))
                 i += 1
             else:
@@ -65,14 +83,49 @@ def diff_one(old: str | None, new: str | None) -> list[dict]:
     return [{"at": k, "tag": tag, "old_line": i + 1, "new_line": j + 1, "text": b[j] if tag == "+" else a[i]} for k, (tag, i, j) in enumerate(edits(a, b))]
 
 
-def diff(pairs: DataFrame) -> DataFrame:
-    """pairs(key string, old, new) -> (key, ops) (F-18, F-19)."""
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, PAIRS):
+            yield b.slice(at, PAIRS)
+
+
+def _kept(df: DataFrame, also: tuple[str, ...]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in also)
+
+
+def diff(pairs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """pairs(key string, old, new) -> (key, also.., ops) (F-18, F-19). Each row is diffed where it stands, without a shuffle; equal pairs that follow one another closely are diffed once."""
+    k = 1 + len(also)
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([diff_one(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], OPS)], names=["key", "ops"])
+        for b in _slices(batches):
+            once = cache(diff_one)
+            ops = pa.array([once(x, y) for x, y in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)], OPS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], ops], names=[*b.schema.names[:k], "ops"])
 
-    return pairs.select(F.col("key").cast("string").alias("key"), F.col("old").cast("string").alias("old"), F.col("new").cast("string").alias("new")).mapInArrow(run, f"key string, ops {OPS_SQL}")
+    rows = pairs.select(F.col("key").cast("string").alias("key"), *also, F.col("old").cast("string").alias("old"), F.col("new").cast("string").alias("new"))
+    return rows.mapInArrow(run, f"key string, {_kept(pairs, also)}ops {OPS_SQL}")
+
+
+def changed_in(files: DataFrame, also: tuple[str, ...]) -> DataFrame:
+    """files(also.., old, new) -> (also.., at, side, line, symbol, text): changed lines, and the definition around each in the text of its side, in one pass without a shuffle (F-20, F-21, WIN-08)."""
+    k = len(also)
+
+    def one(old, new):
+        sides = {"-": ("removed", split_lines(old or ""), "old_line"), "+": ("added", split_lines(new or ""), "new_line")}
+        changed = [o for o in diff_one(old, new) if o["tag"] != " "]
+        return [(o["at"], sides[o["tag"]][0], o[sides[o["tag"]][2]], enclosing(sides[o["tag"]][1], o[sides[o["tag"]][2]] - 1), o["text"]) for o in changed]
+
+    def run(batches):
+        for b in _slices(batches):
+            once = cache(one)
+            found = [once(x, y) for x, y in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            columns = list(zip(*(r for f in found for r in f), strict=True)) or [[]] * 5
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in b.columns[:k]), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*b.schema.names[:k], "at", "side", "line", "symbol", "text"])
+
+    return files.select(*also, F.col("old").cast("string").alias("old"), F.col("new").cast("string").alias("new")).mapInArrow(run, f"{_kept(files, also)}at int, side string, line int, symbol string, text string")
 
 
 def changed_lines(diffs: DataFrame) -> DataFrame:
@@ -87,13 +140,15 @@ def changed_text(diffs: DataFrame) -> DataFrame:
     return diffs.select("key", F.array_join(lines, "").alias("text"))
 
 
-def hunks(diffs: DataFrame) -> DataFrame:
-    """(key, hunk, old_start, old_len, new_start, new_len, lines): changes no more than 2 x CONTEXT unchanged lines apart share a hunk, with CONTEXT lines around (WIN-06, WIN-07, AGG-11). All inside the row's own array."""
+def hunks(diffs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also.., hunk, old_start, old_len, new_start, new_len, lines): changes no more than 2 x CONTEXT unchanged lines apart share a hunk, with CONTEXT lines around (WIN-06, WIN-07, AGG-11). All inside the row's own array."""
+
+    of = 1 + len(also)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
-            for key, ops in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, ops in enumerate(b.column(of).to_pylist()):
                 tags = np.array([o["tag"] for o in ops])
                 at = np.flatnonzero(tags != " ") if len(tags) else tags
                 if not len(at):
@@ -104,24 +159,28 @@ def hunks(diffs: DataFrame) -> DataFrame:
                     s, e = max(0, run_[0] - CONTEXT), min(len(ops), run_[-1] + CONTEXT + 1)
                     n_old, n_new = int(old[e] - old[s]), int(new[e] - new[s])
                     rows.append((key, h, int(old[s]) + (n_old > 0), n_old, int(new[s]) + (n_new > 0), n_new, [o["tag"] + o["text"] for o in ops[s:e]]))
-            kinds = [pa.string(), *[pa.int32()] * 5, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "hunk", "old_start", "old_len", "new_start", "new_len", "lines"])
+            kinds = [*[pa.int32()] * 5, pa.list_(pa.string())]
+            own = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(own) for c in b.columns[:of]), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], names=[*b.schema.names[:of], "hunk", "old_start", "old_len", "new_start", "new_len", "lines"])
 
-    return diffs.select("key", "ops").mapInArrow(run, "key string, hunk int, old_start int, old_len int, new_start int, new_len int, lines array<string>")
+    return diffs.select("key", *also, "ops").mapInArrow(run, f"key string, {_kept(diffs, also)}hunk int, old_start int, old_len int, new_start int, new_len int, lines array<string>")
 
 
-def counts(diffs: DataFrame) -> DataFrame:
+def counts(diffs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, added, deleted) (AGG-11)."""
     n = lambda tag: F.size(F.filter("ops", lambda o: o["tag"] == tag)).alias({"+": "added", "-": "deleted"}[tag])
-    return diffs.select("key", n("+"), n("-"))
+    return diffs.select("key", *also, n("+"), n("-"))
+
+
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    definition = re.compile(rf"(?:(?:{'|'.join(re.escape(m) for m in T.MODIFIERS)}) \s*)*((?:{'|'.join(T.DEFINITIONS)}) )\s*(\w+)")
+    return definition, re.compile(rf"\}}|(?:{'|'.join(T.CONTROL_WORDS)})(?!\w)")
 
 
 def enclosing(lines: list[str], at: int) -> str | None:
     """The definition around a line by indentation, climbing through control blocks; none where another container is in between (WIN-08)."""
-    import re
-
-    definition = re.compile(rf"(?:(?:{'|'.join(re.escape(m) for m in T.MODIFIERS)}) \s*)*((?:{'|'.join(T.DEFINITIONS)}) )\s*(\w+)")
-    control = re.compile(rf"\}}|(?:{'|'.join(T.CONTROL_WORDS)})(?!\w)")
+    definition, control = _patterns()
     depth = lambda s: len(s) - len(s.lstrip())
     if not 0 <= at < len(lines):
         return None

@@ -9,34 +9,24 @@ from . import linediff, reviews, semdiff
 
 
 def _diffs(files: DataFrame) -> DataFrame:
-    """Each distinct pair is diffed once."""
-    keyed = files.withColumn("key", F.sha2(F.to_json(F.struct("old", "new")), 256))
-    done = linediff.diff(keyed.select("key", "old", "new").dropDuplicates(["key"]))
-    return keyed.join(done, "key")
+    """Each file's listing beside its names. Texts are read where they stand and aren't shuffled."""
+    return linediff.diff(files.withColumn("key", F.lit("")), ("change", "path", "kind"))
 
 
 def unified(files: DataFrame) -> DataFrame:
     """(change, path, hunk, old_start, old_len, new_start, new_len, lines) (X-28)."""
-    d = _diffs(files)
-    return d.select("change", "path", "key").join(linediff.hunks(d.select("key", "ops").dropDuplicates(["key"])), "key").drop("key")
+    return linediff.hunks(_diffs(files), ("change", "path")).drop("key")
 
 
 def semantic_lines(files: DataFrame) -> DataFrame:
     """Added and removed lines with the definition around each, in the content of their own side: change, side, seq, file, symbol, text (X-30, F-20, F-21, WIN-08)."""
-    d = _diffs(files)
-    changed = d.join(linediff.changed_lines(d.select("key", "ops").dropDuplicates(["key"])), "key")
-    content = F.when(F.col("side") == "added", F.col("new")).otherwise(F.col("old"))
-    keyed = changed.withColumn("of", F.concat_ws(":", "key", "side"))
-    wanted = keyed.withColumn("content", content).groupBy("of").agg(F.first("content").alias("content"), F.collect_set("line").alias("at"))
-    symbols = linediff.attribute(wanted.select(F.col("of").alias("key"), "content", "at")).withColumnRenamed("key", "of")
-    out = keyed.join(symbols, ["of", "line"], "left")
-    return out.select("change", "side", F.struct("path", "at").alias("seq"), F.col("path").alias("file"), "symbol", "text")
+    x = linediff.changed_in(files, ("change", "path"))
+    return x.select("change", "side", F.struct("path", "at").alias("seq"), F.col("path").alias("file"), "symbol", "text")
 
 
 def walkthrough(files: DataFrame) -> DataFrame:
     """One row per changed file: added and deleted lines, proof (AGG-10, AGG-11, X-31)."""
-    d = _diffs(files)
-    n = d.select("change", "path", "kind", "key").join(linediff.counts(d.select("key", "ops").dropDuplicates(["key"])), "key")
+    n = linediff.counts(_diffs(files), ("change", "path", "kind"))
     proof = reviews.proof(files.select("path", "kind").distinct()).select("path", "kind", "proof")
     return n.join(proof, ["path", "kind"]).select("change", "path", "kind", "added", "deleted", "proof")
 
