@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.closure import _cut
 
 _COMMON = r"""(?P<gap>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<word>[^\W\d][\w$]*|[$#][\w$]+|\$)|(?P<number>\d[\w.]*|\.\d[\w.]*)"""
 _QUOTED = r"""'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?"""
@@ -92,6 +93,7 @@ def statements(toks: DataFrame) -> DataFrame:
     step = F.when((F.col("kind") == "mark") & F.col("tok").isin("(", "[", "{"), 1).when((F.col("kind") == "mark") & F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
     t = toks.withColumn("step", step)
     t = t.withColumn("depth", F.sum("step").over(Window.partitionBy("file").orderBy("pos")) - F.least("step", F.lit(0))).withColumn("level", F.col("depth") - F.abs("step"))
+    t = _cut(t)  # read below by its joins with itself, which would each cut the texts into tokens anew and double the plan
     opened = t.where("step = 1").select("file", F.col("depth").alias("level"), "pos", F.col("pos").alias("opens"))
     both = t.select("*", F.lit(None).cast("long").alias("opens")).unionByName(opened, allowMissingColumns=True)
     around = F.last("opens", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("pos"))  # the bracket at that depth that was opened last
@@ -113,6 +115,7 @@ def statements(toks: DataFrame) -> DataFrame:
     script = (F.col("b") == ";") | (F.col("b") == "}") & ~F.coalesce("b_goes_on", F.lit(False)) & ~F.col("tok").isin(")", ",", ";", ".", "?.") | broken & starts & ~decorated & (F.col("b") != "@")
     cut = F.when(F.col("lang") == "go", broken | (F.col("b") == ";")).otherwise(script)
     t = t.withColumn("seg", F.sum(F.when(cut, 1).otherwise(0)).over(w))
+    t = _cut(t.drop("bb", "b_line", "b_kind", "b_goes_on", "b_decorates", "goes_on", "decorates"))
     # names that one const, let or var declares, and members of an object, are statements of their own
     kinds = t.where("step = 1").select("file", F.col("pos").alias("around"), (F.col("object") & (F.col("tok") == "{")).alias("in_object"), ((F.col("tok") == "{") & ~F.col("object")).alias("block"))
     t = t.join(kinds, ["file", "around"], "left")
@@ -137,7 +140,7 @@ RANGES = "file string, name string, kind string, start_line int, end_line int"
 def definitions(files: DataFrame) -> DataFrame:
     """files(path, text) -> (file, name, kind, start_line, end_line), lines from 1, both included. Scripts: functions, classes, methods, constructors, getters, setters, interfaces, enums, namespaces, and variables and properties
     that hold functions or classes, nested ones too. Go: functions, methods and types at the top."""
-    s = statements(tokens(files))
+    s = _cut(statements(tokens(files)))
     head = F.col("head")
     get = lambda pattern, k: F.nullif(F.regexp_extract(head, pattern, k), F.lit(""))
     script = F.col("lang") == "ts"
