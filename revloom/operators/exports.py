@@ -23,12 +23,17 @@ def _node(file: str, name: str):
     return F.struct(F.col(file).cast("string").alias("file"), F.col(name).cast("string").alias("name"))
 
 
+def _met(rows: DataFrame, info: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """rows joined with info, which grows with the repository: by a shuffle of both, even where Spark takes info for small. It estimates tables that a few numbers in a file grow into from the file's size."""
+    return rows.join(info.hint("merge"), on, how)
+
+
 def targets(declares: DataFrame, imports: DataFrame, exports: DataFrame) -> DataFrame:
     """(node, to, found) of all explicit exports: the next export `to`, or the declaration or namespace (file, *) `found`; neither where the name is nowhere."""
     own = declares.select(F.col("file").alias("f"), F.col("name").alias("local"), F.lit(True).alias("declared")).distinct()
     taken = imports.select(F.col("file").alias("f"), "local", F.col("source").alias("from"), F.col("name").alias("of")).dropDuplicates(["f", "local"])
     x = exports.where("name <> '*'").withColumn("f", F.when(F.col("source").isNull(), F.col("file")))
-    x = x.join(own, ["f", "local"], "left").join(taken, ["f", "local"], "left")
+    x = _met(_met(x, own, ["f", "local"], "left"), taken, ["f", "local"], "left")
     file, name = F.coalesce("source", "from"), F.when(F.col("source").isNotNull(), F.col("local")).otherwise(F.col("of"))
     there = F.struct(file.cast("string").alias("file"), name.cast("string").alias("name"))
     found = F.when(F.col("declared") & F.col("source").isNull(), _node("file", "local")).when(file.isNotNull() & (name == "*"), there)
@@ -42,32 +47,32 @@ def resolve(declares: DataFrame, imports: DataFrame, exports: DataFrame, wanted:
     stars = _cut(exports.where("name = '*'").select(F.col("file").cast("string").alias("file"), F.col("source").cast("string").alias("source")).distinct())
     asked = _cut(wanted.select(_node("file", "name").alias("node")).distinct())
     steps = explicit.where("to is not null").select("node", "to")
-    front = _cut(asked.unionByName(steps.select(F.col("to").alias("node"))).distinct().join(explicit.select("node"), "node", "left_anti"))
+    front = _cut(_met(asked.unionByName(steps.select(F.col("to").alias("node"))).distinct(), explicit.select("node"), "node", "left_anti"))
     seen = front
     while not front.isEmpty():  # as many rounds as wildcards stand behind one another
         named = front.where("node.name <> 'default'").select("node", F.col("node.file").alias("file"))
-        new = _cut(dealt_join(named, stars, ["file"]).select("node", F.struct(F.col("source").alias("file"), F.col("node.name").alias("name")).alias("to")).distinct())
+        new = _cut(dealt_join(named, stars.hint("merge"), ["file"]).select("node", F.struct(F.col("source").alias("file"), F.col("node.name").alias("name")).alias("to")).distinct())
         steps = steps.unionByName(new)
-        front = _cut(new.select(F.col("to").alias("node")).distinct().join(explicit.select("node"), "node", "left_anti").join(seen.select("node"), "node", "left_anti"))
+        front = _cut(_met(_met(new.select(F.col("to").alias("node")).distinct(), explicit.select("node"), "node", "left_anti"), seen.select("node"), "node", "left_anti"))
         seen = seen.unionByName(front)
     steps = _cut(steps)
 
     degree = steps.groupBy("node").agg(F.count("*").alias("n"))
-    single = steps.join(degree.where("n = 1").select("node"), "node", "left_semi").select(F.col("node").alias("id"), F.col("to").alias("up"))
+    single = _met(steps, degree.where("n = 1").select("node"), "node", "left_semi").select(F.col("node").alias("id"), F.col("to").alias("up"))
     last = _cut(ends(single).select("id", "last"))  # last is null for a circle
-    forks = steps.join(degree.where("n > 1").select("node"), "node", "left_semi")
-    led = _cut(forks.join(last.withColumnRenamed("id", "to"), "to", "left").join(single.select(F.col("id").alias("to"), F.lit(True).alias("way")), "to", "left").select("node", F.when(F.col("way"), F.col("last")).otherwise(F.col("to")).alias("to")).where("to is not null"))
+    forks = _met(steps, degree.where("n > 1").select("node"), "node", "left_semi")
+    led = _cut(_met(_met(forks, last.withColumnRenamed("id", "to"), "to", "left"), single.select(F.col("id").alias("to"), F.lit(True).alias("way")), "to", "left").select("node", F.when(F.col("way"), F.col("last")).otherwise(F.col("to")).alias("to")).where("to is not null"))
     value = explicit.where("found is not null").select("node", F.col("found").alias("low"), F.col("found").alias("high"))
     known = None
     while True:  # as many rounds as forks stand behind one another; bounds only move apart
         reached = value if known is None else value.unionByName(known)
-        now = _cut(led.join(reached.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+        now = _cut(_met(led, reached.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")))
         if known is None and now.isEmpty() or known is not None and now.exceptAll(known).isEmpty():
             break
         known = now
     reached = value if known is None else value.unionByName(known)
-    at = asked.join(last.withColumnRenamed("id", "node"), "node", "left").join(single.select(F.col("id").alias("node"), F.lit(True).alias("way")), "node", "left").select("node", F.when(F.col("way"), F.col("last")).otherwise(F.col("node")).alias("to"))
-    got = at.join(reached.withColumnRenamed("node", "to"), "to", "left")
+    at = _met(_met(asked, last.withColumnRenamed("id", "node"), "node", "left"), single.select(F.col("id").alias("node"), F.lit(True).alias("way")), "node", "left").select("node", F.when(F.col("way"), F.col("last")).otherwise(F.col("node")).alias("to"))
+    got = _met(at, reached.withColumnRenamed("node", "to"), "to", "left")
     status = F.when(F.col("low").isNull(), "none").when(F.col("low") == F.col("high"), "one").otherwise("ambiguous")
     one = F.when(F.col("low") == F.col("high"), F.col("low"))
     return got.select("node.file", "node.name", status.alias("status"), one["file"].alias("at_file"), one["name"].alias("at_name"))
