@@ -14,9 +14,9 @@ to link thus meet in no long list.
 
 Verification. In rounds (at most STARS), every node of a list whose nodes aren't in one component yet meets the one of the lists' pivots that it shares most lists with; components grow. A list's first pivot is the
 node that meets most others in all its lists, which is the text that a group of copies was made from or one close to it; so a group is one component after a round or two, and few of its pairs are left. Rounds end with one that
-linked fewer than WORTH of the nodes. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
+linked fewer than WORTH of the nodes. In lists that would still make many pairs, the nodes outside the commonest component then meet every EARLY-th node first, and most of those that have a link join a component by it. What is left is exact: in each list, every node outside its commonest component meets every node of another component that it may link with. Lists with more than SHORT
 nodes outside are split first, by the next shingle that two of their nodes have in common (at most DESCENTS times), where that leaves fewer pairs
-or more than LONG are outside. Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
+or more than LONG are outside. Of lists with many pairs, two nodes meet in the first that they share only. Parity bitmaps, which never reject a link, and then the whole sets decide. Every link
 between different components is thus found; links inside one change nothing.
 
 Defined results: a text without words (or null) has an empty set and links with nothing. A null doc_id has a set but takes no part, and its component_id is null. Rows that repeat a doc_id
@@ -39,7 +39,7 @@ from .tokens import BASE, Words, mix
 K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.15
 BUCKETS, MOST_SMALL = 1 << 20, 64
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
-SHORT, LONG, DESCENTS = 64, 1024, 3
+SHORT, LONG, DESCENTS, EARLY = 64, 1024, 3, 6
 EXACT_CLASSES, PER_DOUBLING = 16, 8
 
 
@@ -358,27 +358,53 @@ class Join:
         info = each.groupBy("list", "heavy", "up").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("c"), F.min("n").alias("least"))
         return rows, written(info.where("outside > 0").select("list", "heavy", "up", "common", "outside", "least", (F.col("outside") * F.col("c")).alias("cost")), "info")
 
-    def compared(self, marked: DataFrame) -> DataFrame:
-        """The pairs of nodes of different components that meet in a list, one at least outside the commonest, as far as sizes and bitmaps allow."""
-        a = marked.where("part <> common").select("list", "heavy", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"), F.col("lo").alias("x"), F.col("hi").alias("y"))
-        b = marked.select("list", "heavy", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "lo", "hi", (F.col("part") == F.col("common")).alias("in_common"))
-        met = a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & (F.col("in_common") | (F.col("a") < F.col("b"))) & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
-        both = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
+    @staticmethod
+    def dealt_once(marked: DataFrame) -> DataFrame:
+        """Rows of whole lists with `before`: of lists with more than SHORT x SHORT pairs, those that the node is in by an earlier shingle. A pair that shares one of these meets there, or can't link: its first common shingle bounds its overlap."""
+        many = F.col("cost") > SHORT * SHORT
+        own = marked.where(many).groupBy("node", "h").agg(F.collect_list(F.struct("pos", "list")).alias("own"))
+        before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["list"])
+        rest = marked.where(~many).withColumn("before", F.lit(None).cast("array<long>"))
+        return marked.where(many).join(own, ["node", "h"]).withColumn("before", before).select(*rest.columns).unionByName(rest)
+
+    def meeting(self, marked: DataFrame, share: int = 1) -> DataFrame:
+        """(a, b, n) of nodes of different components that meet in a list, one at least outside the commonest, as far as sizes allow; share: with every so-manieth node b only."""
+        a = marked.where("part <> common").select("list", "heavy", F.col("node").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"), F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("before").alias("z"))
+        b = marked.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("list", "heavy", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "lo", "hi", (F.col("part") == F.col("common")).alias("in_common"), "before")
+        twice = F.coalesce(F.arrays_overlap("z", "before"), F.lit(False))
+        one = F.col("in_common") | (F.col("a") < F.col("b")) if share == 1 else F.col("a") != F.col("b")
+        return a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & one & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")) & ~twice).select("a", "b", (F.col("n") + F.col("m")).alias("n"))
+
+    def compared(self, marked: DataFrame, whole: bool) -> DataFrame:
+        """The pairs of marked that the bitmaps allow. whole: the lists aren't split."""
+        marked = self.dealt_once(marked) if whole else marked.withColumn("before", F.lit(None).cast("array<long>"))
+        both = self.meeting(marked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct()
         return written(self.near(both), "near")
 
+    def early(self, rows: DataFrame, info: DataFrame) -> int:
+        """Links in lists of more than SHORT x SHORT pairs that are found with every EARLY-th node already: who joins a component by one of these need not meet the others. It leaves out nothing: all nodes still outside meet all nodes in rest()."""
+        many = info.where(F.col("cost") > SHORT * SHORT)
+        if many.isEmpty():
+            return 0
+        pairs = self.meeting(self.dealt_once(self.around(rows, many.drop("up"))), EARLY)
+        return self.linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct())
+
     def rest(self) -> None:
         many = (F.col("outside") > SHORT) & (F.ceil(F.col("least") * PERCENT / 100) > F.col("level"))
-        (rows, info), pairs = self.measured(self.found.withColumn("up", F.lit(None).cast("long"))), []
+        found = self.found.withColumn("up", F.lit(None).cast("long"))
+        (rows, info), pairs = self.measured(found), []
+        if self.early(rows, info):
+            rows, info = self.measured(found)
         for step in range(DESCENTS + 1):
             if step == DESCENTS or info.where(F.col("outside") > SHORT).isEmpty():
-                pairs.append(self.compared(self.around(rows, info.drop("up"))))
+                pairs.append(self.compared(self.around(rows, info.drop("up")), not step))
                 break
             parts = written(self.split(self.around(rows, info.drop("up")).where(many)), "split")
             below, under = self.measured(two_sided(parts))
             # a list is split where that leaves fewer pairs, or where its own are too many not to try further; one none of whose parts has two components leaves none
             cost = under.groupBy(F.col("up").alias("list")).agg(F.sum("cost").alias("below"))
             info = written(info.join(cost, "list", "left").withColumn("pays", (F.coalesce("below", F.lit(0)) < F.col("cost")) | (F.col("outside") > LONG)), "chosen")
-            pairs.append(self.compared(self.around(rows, info.drop("up")).where(~(many & F.col("pays")))))
+            pairs.append(self.compared(self.around(rows, info.drop("up")).where(~(many & F.col("pays"))), not step))
             rows, info = below, salted_join(under, info.where("pays").select(F.col("list").alias("up")), ["up"])
         near = pairs[0]
         for p in pairs[1:]:

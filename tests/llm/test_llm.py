@@ -140,6 +140,18 @@ def components_plainly(texts):
     return sorted((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
 
 
+def test_ngram_pairs_meet_once(spark):
+    """In lists with many pairs, two nodes meet in the first that they share (they met in each)."""
+    cols = "list long, heavy boolean, node long, n long, g int, h int, level int, pos int, lo int, hi int, part long, common long, cost long"
+    row = lambda k, node, cost: (k, False, node, 100, 9, 9, 1, int(k), 75, 133, 7 if node else 0, 7, cost)
+    join = ngram_join.Join.__new__(ngram_join.Join)
+    for cost, each in ((10_000, 1), (10, 3)):
+        marked = spark.createDataFrame([row(k, node, cost) for k in (1, 2, 3) for node in range(70)], cols)
+        assert sorted((r.a, r.b, r.n) for r in join.meeting(join.dealt_once(marked)).collect()) == sorted([(0, b, 200) for b in range(1, 70)] * each)
+    some = join.meeting(join.dealt_once(spark.createDataFrame([row(1, node, 10_000) for node in range(70)], cols)), ngram_join.EARLY).collect()
+    assert 0 < len(some) < 35 and {r.a for r in some} == {0}
+
+
 def test_ngram_join(spark, docs, texts):
     got = ngram_join.join(docs).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == components_plainly(texts)
