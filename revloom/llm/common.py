@@ -42,7 +42,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/revloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that are done; else they stay until the driver happens to collect
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned. Only for those that nothing still to be computed reads, be it anew after the loss of an executor."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

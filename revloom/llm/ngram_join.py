@@ -6,7 +6,7 @@ sets are one node, however many documents share them. Two nodes link when their
 Candidates. Shingles have one global order: those that a count sketch of the whole corpus shows as frequent come last, the rest by hash. Sets that link share at least one shingle in
 their prefixes of size - need + 1, and at least two in those of size - need + 2 (need: the least overlap that a link takes). Small sets enumerate the two-element subsets of the
 longer prefix; large sets are found through inverted lists of the shorter one, which small sets enter for their large partners. The boundary is the size for which the estimated
-cost of both is least. Keys in fewer than two sets are left out by two Bloom filters before anything is shuffled.
+cost of both is least. Keys in fewer than two sets are left out by two Bloom filters before their rows are shuffled. Of keys with the same sets, SHORT at most, one is kept.
 
 The place of a key in a set's order bounds the overlap of pairs that have their first common shingles there, and so the sizes of the partners that the set may meet by this key. A list
 holds the sets of a key; one of more than SHORT sets is cut into lists for each pair of size classes, of which those without sets on both sides are dropped. Texts that share most of their words but too few
@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import bits_for, built, has_all, opened, places
-from .common import SHARE, pow2_at_least, salted_join, slices, table, total, written
+from .bloom import bits_for, built, built_from_hashes, has_all, near_places, opened, places
+from .common import SHARE, discard, pow2_at_least, salted_join, slices, table, total, written
 from .components import components
 from .tokens import BASE, Words, mix
 
@@ -40,6 +40,7 @@ K, PERCENT, STARS, PIVOTS, WORTH = 5, 75, 8, 3, 0.15
 BUCKETS, MOST_SMALL = 1 << 20, 64
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 SHORT, LONG, DESCENTS, EARLY = 64, 1024, 3, 6
+FEW_PAIRS = 100_000
 EXACT_CLASSES, PER_DOUBLING = 16, 8
 
 
@@ -180,7 +181,7 @@ def postings(filter_of, bits: int, small: int):
                 part = b.slice(at, FEW_ROWS)
                 got = batch_keys(part, small)
                 key = got["key"]
-                k = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(has_all(twice, places(key[i : i + (1 << 18)], bits))) + i for i in range(0, len(key), 1 << 18))])
+                k = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(has_all(twice, near_places(key[i : i + (1 << 18)], bits))) + i for i in range(0, len(key), 1 << 18))])
                 rows = pa.array(got["row"][k])
                 yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), part.column(2).take(rows), part.column(1).take(rows), *(pa.array(got[c][k].astype(np.int32)) for c in ("level", "pos", "lo", "hi"))], names=["key", "node", "n", "level", "pos", "lo", "hi"])
 
@@ -219,7 +220,22 @@ def size_class(n):
 def tagged(keys: DataFrame) -> DataFrame:
     """keys by lists, one for each pair of size classes: list, node, n, g (the node's class), h (its partners'), level, pos, lo, hi, w (how many sets have the key)."""
     x = keys.withColumn("g", size_class(F.col("n"))).withColumn("h", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
-    return x.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("list"), "node", "n", "g", "h", "level", "pos", "lo", "hi", F.col("c").alias("w"))
+    return x.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("list"), "node", "n", "g", "h", "level", "pos", "lo", "hi", F.col("c").alias("w"), F.lit(1).cast("long").alias("times"))
+
+
+def merged(keys: DataFrame) -> DataFrame:
+    """The keys of postings that two sets have at least: key, c (how many), x and y (their least and largest size). Of keys with the same sets, SHORT at most, only one, with their number as `times`: two near copies share dozens of keys that nobody else has.
+
+    The same sets: as many, with the same sizes at both ends and the same sum of hashes."""
+    each = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("x"), F.max("n").alias("y"), F.bit_xor(F.xxhash64("node")).alias("who")).where("c > 1")
+    return each.groupBy("c", "x", "y", "who", F.when(F.col("c") > SHORT, F.col("key")).alias("own")).agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "c", "x", "y", "times")
+
+
+def widened(met: DataFrame) -> DataFrame:
+    """Rows of keys, with all sizes that a set may link with as lo and hi where the key stands for several."""
+    for c, v in (("lo", F.ceil(F.col("n") * PERCENT / 100)), ("hi", F.floor(F.col("n") * 100 / PERCENT))):
+        met = met.withColumn(c, F.when(F.col("times") > 1, v.cast("int")).otherwise(F.col(c)))
+    return met
 
 
 def two_sided(rows: DataFrame) -> DataFrame:
@@ -240,17 +256,25 @@ class Join:
         counts = np.zeros(BUCKETS, np.uint32) if counts is None else counts
         mean = counts.mean()
         heavy = np.where(counts > mean + 8 * np.sqrt(mean + 1) + 16, counts, 0).astype(np.uint32)
-        self.rows = written(self.docs.mapInArrow(features(self.spark.sparkContext.broadcast(heavy)), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"), "features")
-        whole = self.rows.where("n > 0 and doc_id is not null")
-        self.classes = written(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.own = []
+        every = written(self.docs.mapInArrow(features(self.spark.sparkContext.broadcast(heavy)), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"), "features")
+        self.rows = written(every.select("doc_id", "n", "d1", "d2"), "rows")
+        whole = every.where("n > 0 and doc_id is not null")
+        self.classes = self.kept(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
         of = self.classes.where("n > 2").drop("n")
-        self.nodes = written(whole.where("n > 2").join(of, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "doc_id", "n", "prefix", "bitmap"), "nodes")
+        self.nodes = self.kept(whole.where("n > 2").join(of, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "doc_id", "n", "prefix", "bitmap"), "nodes")
+        discard(every)
         sizes = [(r["n"], r["c"]) for r in self.nodes.groupBy(F.least("n", F.lit(2 * MOST_SMALL)).alias("n")).agg(F.count("*").alias("c")).collect()]  # at most 2 x MOST_SMALL rows
         total_count = float(counts.sum(dtype=np.float64))
         length = max(0.0, float((counts.astype(np.float64) ** 2).sum()) / max(total_count, 1) - total_count / BUCKETS - 1)
         self.small = boundary(sizes, length)
         self.sets = None
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df written, until the join ends."""
+        self.own.append(written(df, name))
+        return self.own[-1]
+
     def lists(self) -> None:
         """The lists with nodes on both sides, and each of their nodes as its own component."""
         expected = int(self.nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).collect()[0][0])
@@ -260,20 +284,30 @@ class Join:
         def hashes(b):
             return np.concatenate([np.zeros(0, np.uint64), *(batch_keys(b.slice(at, FEW_ROWS), small)["key"] for at in range(0, len(b), FEW_ROWS))])
 
-        twice = built(self.nodes.select("prefix", "n"), hashes, bits)
+        twice = built_from_hashes(self.nodes.select("prefix", "n"), hashes, bits)
         keys = written(self.nodes.select("prefix", "n", "node").mapInArrow(postings(twice, bits, small), "key long, node long, n long, level int, pos int, lo int, hi int"), "postings")
-        sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("x"), F.max("n").alias("y")).where("c > 1")
-        met = written(salted_join(keys, sizes, ["key"]).where("hi >= x and lo <= y").drop("x", "y"), "met")
-        none = F.lit(None).cast("int")
-        short = met.where(F.col("c") <= SHORT).select(F.col("key").alias("list"), "node", "n", none.alias("g"), none.alias("h"), "level", "pos", "lo", "hi", F.col("c").alias("w"), F.lit(False).alias("heavy"))
-        long = two_sided(written(tagged(met.where(F.col("c") > SHORT)), "tagged"))
-        found = written(short.unionByName(long), "lists")
-        self.found = found.drop("w")
-        self.parts = written(found.groupBy("node").agg(F.max("n").alias("n"), F.sum("w").alias("w")).select("node", F.col("node").alias("part"), "n", F.floor(F.log2(F.col("w") + 1) * (1 << 13)).alias("w")), "parts")
+        sizes = written(merged(keys), "keys")
+        met = written(widened(salted_join(keys, sizes, ["key"], counts=sizes.select("key", F.col("c").alias("count")))).where("hi >= x and lo <= y").drop("x", "y"), "met")
+        discard(keys, sizes)
+        short = met.where(F.col("c") <= SHORT).select(F.col("key").alias("list"), "node", "n", "lo", "hi", (F.col("c") * F.col("times")).alias("w"), "times", F.lit(False).alias("heavy"))
+        cut = written(tagged(met.where(F.col("c") > SHORT)), "tagged")
+        self.short, self.long = self.kept(short, "short"), self.kept(two_sided(cut), "long")
+        discard(met, cut)
+        self.heavy = not self.long.where("heavy").isEmpty()
+        found = self.short.select("node", "n", "w").unionByName(self.long.select("node", "n", "w"))
+        self.parts = self.kept(found.groupBy("node").agg(F.max("n").alias("n"), F.sum("w").alias("w")).select("node", F.col("node").alias("part"), "n", F.floor(F.log2(F.col("w") + 1) * (1 << 13)).alias("w")), "parts")
+
+    @staticmethod
+    def some(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """rows by node, of few pairs (a table) those of their nodes only."""
+        if pairs.count() > FEW_PAIRS:
+            return rows
+        return rows.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b, n), n being the sizes of both, without those that the bitmaps rule out."""
-        of = lambda a, x: self.nodes.select(F.col("node").alias(a), F.col("bitmap").alias(x))
+        nodes = self.some(self.nodes, pairs)
+        of = lambda a, x: nodes.select(F.col("node").alias(a), F.col("bitmap").alias(x))
         return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "n", "x", "y").mapInArrow(near_enough, "a long, b long")
 
     def have_sets(self, pairs: DataFrame) -> None:
@@ -281,19 +315,20 @@ class Join:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("node"), "node", "left_anti")
-        wanted = written(self.classes.join(ids, "node", "left_semi").select("node", "doc_id", "d1", "d2"), "wanted")
+        wanted = self.kept(self.classes.join(ids, "node", "left_semi").select("node", "doc_id", "d1", "d2"), "wanted")
         n = wanted.count()
         if not n:
             return
         bits = bits_for(n, 16)
         once = built(wanted.select("doc_id"), lambda b: mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits, "once")
         sets = self.docs.where("doc_id is not null").mapInArrow(sets_of(once, bits), "doc_id long, d1 long, d2 long, members array<long>")
-        sets = written(sets.join(wanted, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "members"), "sets")
+        sets = self.kept(sets.join(wanted, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("node", "members"), "sets")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets link."""
-        of = lambda a, x: self.sets.select(F.col("node").alias(a), F.col("members").alias(x))
+        sets = self.some(self.sets, pairs)
+        of = lambda a, x: sets.select(F.col("node").alias(a), F.col("members").alias(x))
         both = F.size(F.array_intersect("x", "y")).cast("long")
         x = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("n"))
         return x.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * PERCENT).select("a", "b")
@@ -301,31 +336,39 @@ class Join:
     def merge(self, links: DataFrame) -> int:
         """Joins the components that links(a, b) connect; how many such links there are."""
         of = lambda s: self.parts.select(F.col("node").alias(s), F.col("part").alias(f"p{s}"))
-        edges = written(links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "links")
+        edges = self.kept(links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "links")
         n = edges.count()
         if not n:
             return 0
         roots = components(edges).withColumnRenamed("node", "part")
-        self.parts = written(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part"), "n", "w"), "parts")
+        self.parts = self.kept(salted_join(self.parts, roots, ["part"], "left").select("node", F.coalesce("root", "part").alias("part"), "n", "w"), "parts")
         return n
 
     def linked(self, pairs: DataFrame) -> int:
-        pairs = written(self.near(pairs), "pairs")
-        if pairs.isEmpty():
-            return 0
-        self.have_sets(pairs)
-        return self.merge(self.verified(pairs))
+        """Joins the components of the nodes of pairs(a, b, n) that link; how many pairs of components do."""
+        pairs = written(pairs, "pairs")
+        near = written(self.near(pairs), "near")
+        discard(pairs)
+        n = 0
+        if not near.isEmpty():
+            self.have_sets(near)
+            n = self.merge(self.verified(near))
+        discard(near)
+        return n
 
     @staticmethod
-    def around(lists: DataFrame, info: DataFrame) -> DataFrame:
-        """Rows of lists with what is known of each list; those with at least 1 / SHARE of all rows, fewer than SHARE, by broadcast."""
+    def around(lists: DataFrame, info: DataFrame, heavy: bool) -> DataFrame:
+        """Rows of lists with what is known of each list; those with at least 1 / SHARE of all rows, fewer than SHARE, by broadcast. heavy: whether there are any."""
         on = ["list", "heavy"]
+        if not heavy:
+            return lists.join(info, on)
         return lists.where("not heavy").join(info.where("not heavy"), on).unionByName(lists.where("heavy").join(F.broadcast(info.where("heavy")), on))
 
     fits = staticmethod(lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT))
 
     def star(self, k: int) -> int:
-        lists = self.found.select("list", "heavy", "node", "lo", "hi").join(self.parts, "node")
+        short, long = (x.select("list", "heavy", "node", "lo", "hi", "times") for x in (self.short, self.long))
+        lists = short.unionByName(long).join(self.parts, "node")
         # the node that meets most others in its lists, in later rounds that of a quarter, so that no pair comes twice for sure; then any nodes
         tried = F.lit(True) if not k else F.pmod(F.xxhash64("node", F.lit(-k)), F.lit(4)) == 0
         firsts = [F.max_by("node", F.when(tried, F.col("w"))).alias("p0")]
@@ -333,8 +376,8 @@ class Join:
         open_ = lists.groupBy("list", "heavy").agg(F.min("part").alias("x"), F.max("part").alias("y"), *firsts).where("x <> y")
         pivots = open_.select("list", "heavy", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a")).where("a is not null")
         of = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("m"), F.col("w").alias("wa"))
-        met = self.around(lists, pivots.join(of, "a")).where((F.col("part") != F.col("pa")) & F.col("m").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
-        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"), F.max("wa").alias("wa"))
+        met = self.around(lists, pivots.join(of, "a"), self.heavy).where((F.col("part") != F.col("pa")) & F.col("m").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")))
+        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.sum("times").alias("c"), F.max(F.col("n") + F.col("m")).alias("n"), F.max("wa").alias("wa"))
         # the pivot with most lists in common; of equal ones, the one that meets most others
         rank = F.col("c") * F.lit(1 << 20) + F.col("wa")
         best = pairs.groupBy("b").agg(F.max_by("a", rank).alias("a"), F.max_by("n", rank).alias("n"))
@@ -356,7 +399,7 @@ class Join:
         rows = written(lists.drop("n").join(self.parts.drop("w"), "node"), "rows")
         each = rows.groupBy("list", "heavy", "up", "part").agg(F.count("*").alias("c"), F.min("n").alias("n"))
         info = each.groupBy("list", "heavy", "up").agg(F.max_by("part", "c").alias("common"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("c"), F.min("n").alias("least"))
-        return rows, written(info.where("outside > 0").select("list", "heavy", "up", "common", "outside", "least", (F.col("outside") * F.col("c")).alias("cost")), "info")
+        return rows, self.kept(info.where("outside > 0").select("list", "heavy", "up", "common", "outside", "least", (F.col("outside") * F.col("c")).alias("cost")), "info")
 
     @staticmethod
     def dealt_once(marked: DataFrame) -> DataFrame:
@@ -376,43 +419,57 @@ class Join:
         return a.join(b, ["list", "heavy"]).where((F.col("pa") != F.col("pb")) & one & F.col("m").between(F.col("x"), F.col("y")) & F.col("n").between(F.col("lo"), F.col("hi")) & self.fits(F.col("n"), F.col("m")) & ~twice).select("a", "b", (F.col("n") + F.col("m")).alias("n"))
 
     def compared(self, marked: DataFrame, whole: bool) -> DataFrame:
-        """The pairs of marked that the bitmaps allow. whole: the lists aren't split."""
+        """The pairs of nodes of marked that are to be compared. whole: long lists that aren't split."""
         marked = self.dealt_once(marked) if whole else marked.withColumn("before", F.lit(None).cast("array<long>"))
-        both = self.meeting(marked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct()
-        return written(self.near(both), "near")
+        return written(self.meeting(marked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct(), "meeting")
+
+    def marked(self, rows: DataFrame, info: DataFrame) -> DataFrame:
+        return written(self.around(rows, info.drop("up"), not info.where("heavy").isEmpty()), "marked")
 
     def early(self, rows: DataFrame, info: DataFrame) -> int:
         """Links in lists of more than SHORT x SHORT pairs that are found with every EARLY-th node already: who joins a component by one of these need not meet the others. It leaves out nothing: all nodes still outside meet all nodes in rest()."""
         many = info.where(F.col("cost") > SHORT * SHORT)
         if many.isEmpty():
             return 0
-        pairs = self.meeting(self.dealt_once(self.around(rows, many.drop("up"))), EARLY)
-        return self.linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct())
+        marked = self.marked(rows, many)
+        pairs = self.meeting(self.dealt_once(marked), EARLY)
+        n = self.linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct())
+        discard(marked)
+        return n
 
     def rest(self) -> None:
+        whole = lambda lists: lists.drop("times", "w").withColumn("up", F.lit(None).cast("long"))
         many = (F.col("outside") > SHORT) & (F.ceil(F.col("least") * PERCENT / 100) > F.col("level"))
-        found = self.found.withColumn("up", F.lit(None).cast("long"))
-        (rows, info), pairs = self.measured(found), []
-        if self.early(rows, info):
-            rows, info = self.measured(found)
-        for step in range(DESCENTS + 1):
-            if step == DESCENTS or info.where(F.col("outside") > SHORT).isEmpty():
-                pairs.append(self.compared(self.around(rows, info.drop("up")), not step))
-                break
-            parts = written(self.split(self.around(rows, info.drop("up")).where(many)), "split")
-            below, under = self.measured(two_sided(parts))
-            # a list is split where that leaves fewer pairs, or where its own are too many not to try further; one none of whose parts has two components leaves none
-            cost = under.groupBy(F.col("up").alias("list")).agg(F.sum("cost").alias("below"))
-            info = written(info.join(cost, "list", "left").withColumn("pays", (F.coalesce("below", F.lit(0)) < F.col("cost")) | (F.col("outside") > LONG)), "chosen")
-            pairs.append(self.compared(self.around(rows, info.drop("up")).where(~(many & F.col("pays"))), not step))
-            rows, info = below, salted_join(under, info.where("pays").select(F.col("list").alias("up")), ["up"])
-        near = pairs[0]
+        pairs = []
+        if not self.long.isEmpty():
+            rows, info = self.measured(whole(self.long))
+            if self.early(rows, info):
+                discard(rows, info)
+                rows, info = self.measured(whole(self.long))
+            for step in range(DESCENTS + 1):
+                marked = self.marked(rows, info)
+                if step == DESCENTS or info.where(F.col("outside") > SHORT).isEmpty():
+                    pairs.append(self.compared(marked, not step))
+                    discard(marked, rows)
+                    break
+                parts = written(self.split(marked.where(many)), "split")
+                below, under = self.measured(two_sided(parts))
+                # a list is split where that leaves fewer pairs, or where its own are too many not to try further; one none of whose parts has two components leaves none
+                cost = under.groupBy(F.col("up").alias("list")).agg(F.sum("cost").alias("below"))
+                info = self.kept(info.join(cost, "list", "left").withColumn("pays", (F.coalesce("below", F.lit(0)) < F.col("cost")) | (F.col("outside") > LONG)), "chosen")
+                pays = info.where("pays").select("list", "heavy")
+                pairs.append(self.compared(marked.where(~many).unionByName(marked.where(many).join(pays, ["list", "heavy"], "left_anti").select(*marked.columns)), not step))
+                discard(marked, rows, parts)
+                rows, info = below, salted_join(under, info.where("pays").select(F.col("list").alias("up")), ["up"])
+        # the short lists, which have at most SHORT x SHORT pairs each
+        rows, info = self.measured(whole(self.short))
+        pairs.append(self.compared(self.around(rows, info.drop("up"), False), False))
+        discard(rows, info)
+        both = pairs[0]
         for p in pairs[1:]:
-            near = near.unionByName(p)
-        if not near.isEmpty():
-            near = written(near.distinct(), "near")
-            self.have_sets(near)
-            self.merge(self.verified(near))
+            both = both.unionByName(p)
+        self.linked(both.distinct())
+        discard(*pairs)
 
     def result(self) -> DataFrame:
         self.lists()
@@ -422,9 +479,10 @@ class Join:
                 break
         self.rest()
         found = written(self.classes.select("node", "d1", "d2", "doc_id").join(self.parts, "node", "left").select("d1", "d2", "doc_id", F.coalesce("part", "node").alias("part")), "found")
+        discard(*self.own)
         least = found.groupBy("part").agg(F.min("doc_id").alias("component"))
         classes = salted_join(found, least, ["part"]).select("d1", "d2", "component")
-        out = salted_join(self.rows.select("doc_id", "n", "d1", "d2"), classes, ["d1", "d2"], "left")
+        out = salted_join(self.rows, classes, ["d1", "d2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

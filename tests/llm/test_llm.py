@@ -3,16 +3,18 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from revloom.llm import common, components, decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality, rans_tokens
+from revloom.llm import bloom, common, components, decontamination, gif_media, hmm, html_extract, license_scan, line_dedup, ngram_join, packing, quality, rans_tokens
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th int, keys string, node string, score string"
@@ -159,6 +161,35 @@ def test_ngram_join(spark, docs, texts):
     assert ngram_join.join(frame(spark, [])).count() == 0
 
 
+def test_ngram_lists_of_the_same_sets_are_one(spark):
+    """Two near copies share dozens of keys, of which one list is kept (there was one for each); what a join wrote is gone when it ends, but for the two tables of its result."""
+    words = [f"w{i}" for i in range(400)]
+    join = ngram_join.Join(frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:-1], "tail"])), (3, "else " * 9)]))
+    join.lists()
+    assert sorted((r.n, r.lo, r.hi) for r in join.short.collect()) == [(396, 297, 528)] * 2 and join.short.first().times > 20
+    folder = common.shared_dir(spark).removeprefix("file://") + "/revloom"
+    before = set(os.listdir(folder))
+    got = ngram_join.join(frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:-1], "tail"])), (3, "else " * 9)]))
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["found", "rows"]
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_filter_of_hashes_grows_with_the_hashes():
+    """What tasks send for a filter follows their hashes, not their number times the filter's size; every hash that comes twice is in it, few others."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    parts = [np.concatenate([p, h[:500], p[:200]]) for p in np.split(h, 8)]
+    of = lambda b: b.column(0).to_numpy()
+    rows = [r for p in parts for r in bloom.packed_hashes(of)([pa.record_batch({"h": p})])]
+    size = lambda rs: sum(len(x.as_py()) for r in rs for c in (1, 2) for x in r.column(c))
+    bits = bloom.bits_for(1 << 26, 8)
+    assert size(rows) < 0.5 * size([r for p in parts for r in bloom.fill(bits, of)([pa.record_batch({"h": p})])])
+    whole = {r.column(0)[0].as_py(): r.column(2)[0].as_py() for r in bloom.fill_segments(bits)(rows)}
+    filled = np.concatenate([np.frombuffer(zlib.decompress(whole[k]), np.uint8) for k in range(bloom.SEGMENTS)])
+    twice = np.concatenate([h[:500], *(p[:200] for p in np.split(h, 8))])
+    assert bloom.has_all(filled, bloom.near_places(twice, bits)).all() and bloom.has_all(filled, bloom.near_places(h, bits)).sum() < len(np.unique(twice)) + 50
+
+
 def test_small_sets_by_subsets(spark):
     rng = random.Random(8)
     sets = [rng.sample(VOCABULARY[:40], rng.randint(5, 14)) for _ in range(30)]
