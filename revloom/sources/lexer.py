@@ -86,6 +86,12 @@ _OBJECT = [":", "|", "&", "<", ",", "=", "(", "[", "?", "return", "extends", "im
 _GOES_ON = "extends implements from as of in instanceof is satisfies".split()
 
 
+def _marked(rows: DataFrame, own: Column, *marks: Column) -> DataFrame:
+    """Each row with the fields of `own`, and again with those of each of `marks` that isn't null."""
+    names = rows.select(own.alias("s")).schema["s"].dataType.names
+    return rows.withColumn("__at", F.explode(F.array_compact(F.array(own, *marks)))).select(*(c for c in rows.columns if c not in names), *(F.col(f"__at.{c}").alias(c) for c in names))
+
+
 def statements(toks: DataFrame) -> DataFrame:
     """(file, lang, around, seg, part, block, in_object, declares, head, rows): the statements of each file, a name of a list of declarations or a member of an object being one of its own. around: the position of the bracket that they stand in, null
     at the top; block, in_object: whether it is the brace of a block or of an object; declares: 1 behind const, let or var; head: their tokens with blanks between and at the end, without what stands in brackets inside of them; rows: these
@@ -93,11 +99,11 @@ def statements(toks: DataFrame) -> DataFrame:
     step = F.when((F.col("kind") == "mark") & F.col("tok").isin("(", "[", "{"), 1).when((F.col("kind") == "mark") & F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
     t = toks.withColumn("step", step)
     t = t.withColumn("depth", F.sum("step").over(Window.partitionBy("file").orderBy("pos")) - F.least("step", F.lit(0))).withColumn("level", F.col("depth") - F.abs("step"))
-    t = _cut(t)  # read below by its joins with itself, which would each cut the texts into tokens anew and double the plan
-    opened = t.where("step = 1").select("file", F.col("depth").alias("level"), "pos", F.col("pos").alias("opens"))
-    both = t.select("*", F.lit(None).cast("long").alias("opens")).unionByName(opened, allowMissingColumns=True)
+    # A bracket that opens stands a second time, as a mark among what it holds, which finds it by a window there: all windows are within files, so tokens are dealt by file once and neither joined nor written.
+    none = F.lit(None)
+    t = _marked(t, F.struct("level", none.cast("long").alias("opens")), F.when(F.col("step") == 1, F.struct(F.col("depth").alias("level"), F.col("pos").alias("opens"))))
     around = F.last("opens", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("pos"))  # the bracket at that depth that was opened last
-    t = both.withColumn("around", around).where("tok is not null").drop("opens")
+    t = t.withColumn("around", around).where("opens is null").drop("opens")
 
     w = Window.partitionBy("file", "around").orderBy("pos")
     before = lambda c, n=1: F.lag(c, n).over(w)
@@ -115,10 +121,12 @@ def statements(toks: DataFrame) -> DataFrame:
     script = (F.col("b") == ";") | (F.col("b") == "}") & ~F.coalesce("b_goes_on", F.lit(False)) & ~F.col("tok").isin(")", ",", ";", ".", "?.") | broken & starts & ~decorated & (F.col("b") != "@")
     cut = F.when(F.col("lang") == "go", broken | (F.col("b") == ";")).otherwise(script)
     t = t.withColumn("seg", F.sum(F.when(cut, 1).otherwise(0)).over(w))
-    t = _cut(t.drop("bb", "b_line", "b_kind", "b_goes_on", "b_decorates", "goes_on", "decorates"))
+    t = t.drop("bb", "b_line", "b_kind", "b_goes_on", "b_decorates", "goes_on", "decorates")
     # names that one const, let or var declares, and members of an object, are statements of their own
-    kinds = t.where("step = 1").select("file", F.col("pos").alias("around"), (F.col("object") & (F.col("tok") == "{")).alias("in_object"), ((F.col("tok") == "{") & ~F.col("object")).alias("block"))
-    t = t.join(kinds, ["file", "around"], "left")
+    brace = F.col("tok") == "{"
+    inside = F.struct(F.col("pos").alias("around"), (F.col("object") & brace).alias("in_object"), (brace & ~F.col("object")).alias("block"), F.lit(True).alias("mark"))
+    t = _marked(t, F.struct("around", none.cast("boolean").alias("in_object"), none.cast("boolean").alias("block"), F.lit(False).alias("mark")), F.when(F.col("step") == 1, inside))
+    t = t.withColumn("in_object", F.first("in_object").over(w)).withColumn("block", F.first("block").over(w)).where("not mark").drop("mark")  # the mark is the first in its bracket
     listed = F.max(F.when(F.col("tok").isin("const", "let", "var"), 1)).over(Window.partitionBy("file", "around", "seg").orderBy("pos")) == 1
     t = t.withColumn("listed", F.coalesce(listed, F.lit(False))).withColumn("after", F.lead("tok").over(w))
     t = t.withColumn("part", F.sum(F.when((F.col("b") == ",") & (F.col("lang") == "ts") & (F.coalesce("in_object", F.lit(False)) | F.col("listed") & (F.col("kind") == "word") & F.col("after").isin("=", ":", "!", ",", ";")), 1).otherwise(0)).over(w))
@@ -140,7 +148,7 @@ RANGES = "file string, name string, kind string, start_line int, end_line int"
 def definitions(files: DataFrame) -> DataFrame:
     """files(path, text) -> (file, name, kind, start_line, end_line), lines from 1, both included. Scripts: functions, classes, methods, constructors, getters, setters, interfaces, enums, namespaces, and variables and properties
     that hold functions or classes, nested ones too. Go: functions, methods and types at the top."""
-    s = _cut(statements(tokens(files)))
+    s = statements(tokens(files))
     head = F.col("head")
     get = lambda pattern, k: F.nullif(F.regexp_extract(head, pattern, k), F.lit(""))
     script = F.col("lang") == "ts"
@@ -152,15 +160,18 @@ def definitions(files: DataFrame) -> DataFrame:
     is_variable = (F.col("declares") == 1) & head.rlike(variable)
     of_value = F.when(get(variable, 2) == "class", "class").otherwise("function")
 
-    classes = s.where(script & ((F.col("block") & is_class) | head.rlike(r"= (?:abstract )?class .*\{ \}"))).select("file", F.try_element_at(F.filter("rows", lambda r: r["tok"] == "{"), F.lit(-1))["pos"].alias("around"), F.lit(True).alias("in_class"))
-    s = s.join(classes, ["file", "around"], "left").withColumn("in_class", F.coalesce("in_class", F.lit(False)))
+    # the bracket of a class, and that of a group of types, as marks among the statements in it
+    class_at = F.when(script & ((F.col("block") & is_class) | head.rlike(r"= (?:abstract )?class .*\{ \}")), F.try_element_at(F.filter("rows", lambda r: r["tok"] == "{"), F.lit(-1))["pos"])
+    group_at = F.when((F.col("lang") == "go") & F.col("around").isNull() & head.rlike(r"^type \( \) "), F.get("rows", 1)["pos"])
+    of = lambda at, in_class, of_types, mark: F.struct(at.alias("around"), F.lit(in_class).alias("in_class"), F.lit(of_types).alias("of_types"), F.lit(mark).alias("mark"))
+    s = _marked(s, of(F.col("around"), False, False, False), *(F.when(at.isNotNull(), of(at, at is class_at, at is group_at, True)) for at in (class_at, group_at)))
+    w = Window.partitionBy("file", "around")
+    s = s.withColumn("in_class", F.max("in_class").over(w)).withColumn("of_types", F.max("of_types").over(w)).where("not mark").drop("mark")
     method = rf"^{_MODIFIER}*(?:(get|set) )?(?:\* )?{_CONTROL}{_NAME} (?:[?!] )?(?:<.*> )?\( \) "
     builder = r"^(?:(?:public|private|protected) )*constructor \( \) "
     held = rf"^{_MODIFIER}*{_NAME} {_TYPED}= {_VALUE}"
     is_method = (F.col("in_class") & head.rlike(method)) | (F.col("in_object") & head.rlike(method + r"(?::.* )?\{ \} (?:, )?$"))
     go_type = get(rf"^type {_NAME} ", 1)
-    groups = s.where((F.col("lang") == "go") & F.col("around").isNull() & head.rlike(r"^type \( \) ")).select("file", F.get("rows", 1)["pos"].alias("around"), F.lit(True).alias("of_types"))
-    s = s.join(groups, ["file", "around"], "left").withColumn("of_types", F.coalesce("of_types", F.lit(False)))
     go_function = rf"^func (\( \) )?{_NAME} (?:\[ \] )?\( \) "
     top = (F.col("lang") == "go") & F.col("around").isNull()
 
@@ -182,13 +193,13 @@ def definitions(files: DataFrame) -> DataFrame:
     d = s.withColumn("d", what).where("d is not null")
     rest = F.filter("rows", lambda r: ~r["tok"].isin(";", ",") | F.col("in_class"))
     first = F.when(F.col("d.begin").isNull(), F.get("rows", 0)).otherwise(F.get(F.filter("rows", lambda r: r["tok"] == F.col("d.begin")), 0))
-    return d.select("file", "d.name", "d.kind", first["line"].cast("int").alias("start_line"), F.try_element_at(rest, F.lit(-1))["end_line"].cast("int").alias("end_line"))
+    return _cut(d.select("file", "d.name", "d.kind", first["line"].cast("int").alias("start_line"), F.try_element_at(rest, F.lit(-1))["end_line"].cast("int").alias("end_line")))  # of all that was made, only the ranges are written
 
 
 def module_names(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What scripts import, (file, local, spec, name), and export, (file, name, local, spec): the rows that exports.resolve takes, with specifiers in place of files."""
     toks = tokens(files).where("lang = 'ts'")
-    s = statements(toks).where("around is null").withColumn("head", F.regexp_replace("head", f"^{_DECORATOR}+", "")).where("head rlike '^(import|export) '")
+    s = _cut(statements(toks).where("around is null")).withColumn("head", F.regexp_replace("head", f"^{_DECORATOR}+", "")).where("head rlike '^(import|export) '")
     # the names in braces are the statements of their own brackets; a brace's are joined back to where it stands
     lists = F.try_element_at(F.filter("rows", lambda r: r["tok"] == "{"), F.lit(1))["pos"]
     spec = F.try_element_at(F.filter("rows", lambda r: r["said"].isNotNull()), F.lit(-1))["said"]
